@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from emberlog.llm import encoding, packing, token_counts
+from emberlog.llm import encoding, fingerprints, packing, quality, token_counts, url_filters
 
-MODULES = [token_counts, encoding, packing]
+MODULES = [token_counts, url_filters, quality, encoding, fingerprints, packing]
 
 
 def queries() -> dict:
