@@ -28,7 +28,7 @@ RIDGE = [0.02**2, 0.03**2, 0.06**2, 0.06**2]
 #: Groups with fewer documents use the estimate of their language, or else of all documents.
 MIN_GROUP = 200
 #: Squared distance from which a document is rejected.
-CUTOFF = 200.0
+CUTOFF = 160.0
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
