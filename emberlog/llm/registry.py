@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from emberlog.llm import encoding, fingerprints, packing, quality, substring_dedup, token_counts, url_filters
+from emberlog.llm import encoding, fingerprints, lm_scoring, packing, quality, substring_dedup, token_counts, url_filters
 
-MODULES = [token_counts, url_filters, quality, encoding, substring_dedup, fingerprints, packing]
+MODULES = [token_counts, url_filters, quality, encoding, lm_scoring, substring_dedup, fingerprints, packing]
 
 
 def queries() -> dict:
