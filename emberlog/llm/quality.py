@@ -64,9 +64,9 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = rows.select(
         "doc_id", "lang", "source", stats.alias("w"), line_stats.alias("l"),
         F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"), F.xxhash64("text").alias("text_hash"),
     )
-    return out.select("doc_id", "lang", "source", "w.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words")
+    return out.select("doc_id", "text_hash", "lang", "source", "w.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words")
 
 
 def features(stats: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def mcd(rows: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, n_words, the base statistics, base_failed, distance (squared; null if base_failed) and kept.
+    """doc_id, text_hash (xxhash64 of the text), n_words, the base statistics, base_failed, distance (squared; null if base_failed) and kept.
 
     A document without words fails the base rule, as do those under 50 words or with more than half of their words in
     repeated windows; they take no part in the fit. The rest are judged against their language and source (null counts
@@ -166,11 +166,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     worse = (F.col("f_symbols") > F.col("m1") + 0.1) | (F.col("f_dup_lines") > F.col("m2") + 0.1) | (F.col("f_repeats") > F.col("m3") + 0.1) | (F.abs(F.col("f_word_length") - F.col("m0")) > log(1.4))
     distance = F.when(~F.col("base_failed"), d2)
     kept = ~F.col("base_failed") & ~F.coalesce((distance > cutoff) & worse, F.lit(False))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), distance.alias("distance"), *FEATURES)
+    return judged.select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), distance.alias("distance"), *FEATURES)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).drop(*FEATURES)
+    return quality_rules(table(spark, sf_dir, "documents")).drop("text_hash", *FEATURES)
 
 
 QUERIES = {"op4_quality_rules": op4_quality_rules}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,9 +75,11 @@ class Levels:
         return np.cumsum(edge[:-1]) > 0
 
 
-def substring_dedup(docs: DataFrame, size: int = 50, text_col: str = "text", carry: dict[str, str] | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, size: int = 50, text_col: str = "text", carry: dict[str, str] | None = None, keep_layout: bool = False) -> DataFrame:
     """The carried columns, n_words, n_removed and kept: the words left of every whole text, joined by one space.
 
+    With keep_layout a text that loses nothing is given back as it was.
+
     Removed is each word covered by a window of size words whose word sequence also starts anywhere else, in another
     document or the same; windows are judged on the input. Null and empty texts, and those without words, keep an
     empty text; shorter texts than a window keep all words. Repeated rows are repeats of each other. An empty table
@@ -111,7 +114,11 @@ def substring_dedup(docs: DataFrame, size: int = 50, text_col: str = "text", car
         gone = state.removed()
         upto = np.concatenate([[0], np.cumsum(gone)])
         n_removed = np.diff(upto[state.words.of_doc])
-        return texts.drop_columns(["block", "text"]).append_column("n_words", pa.array(state.words.counts, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64())).append_column("kept", state.words.joined(~gone))
+        kept = state.words.joined(~gone)
+        if keep_layout:
+            text = texts.column("text").combine_chunks()
+            kept = pc.if_else(pa.array(n_removed == 0), text.cast(pa.string()), kept)
+        return texts.drop_columns(["block", "text"]).append_column("n_words", pa.array(state.words.counts, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64())).append_column("kept", kept)
 
     schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes if c not in ("block", "text")), "n_words long, n_removed long, kept string"])
     return rows.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(finish, schema)

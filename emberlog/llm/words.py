@@ -98,18 +98,22 @@ class Words:
 
     def joined(self, kept: np.ndarray) -> pa.Array:
         """Each text's kept words joined by one space."""
-        mask = np.zeros(len(self.data) + 1, np.int8)
-        np.add.at(mask, self.starts[kept], 1)
-        np.subtract.at(mask, self.ends[kept], 1)
-        mask = np.cumsum(mask[:-1], dtype=np.int8).astype(bool)
-        data = self.data.copy()
-        places = np.flatnonzero(kept)
-        owner = np.searchsorted(self.of_doc, places, "right") - 1
-        gap = self.ends[places[:-1][owner[:-1] == owner[1:]]] if len(places) else places
-        data[gap] = 32
-        mask[gap] = True
-        ends = np.concatenate([[0], np.cumsum(mask)])[self.offsets] if len(mask) else np.zeros(len(self.offsets), np.int64)
-        return to_strings(data[mask], ends)
+        return join_runs(self.data, self.offsets, self.starts, self.ends, self.of_doc, kept, 32)
+
+
+def join_runs(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, of_doc: np.ndarray, kept: np.ndarray, separator: int) -> pa.Array:
+    """Each text's kept runs of bytes joined by a separator, which takes the place of the byte after a run."""
+    mask = np.zeros(len(data) + 1, np.int32)
+    np.add.at(mask, starts[kept], 1)
+    np.subtract.at(mask, ends[kept], 1)
+    mask = np.cumsum(mask[:-1], dtype=np.int32) > 0
+    data = data.copy()
+    places = np.flatnonzero(kept)
+    owner = np.searchsorted(of_doc, places, "right") - 1
+    gap = ends[places[:-1][owner[:-1] == owner[1:]]] if len(places) else places
+    data[gap] = separator
+    mask[gap] = True
+    return to_strings(data[mask], np.concatenate([[0], np.cumsum(mask)])[offsets])
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
