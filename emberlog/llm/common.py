@@ -51,7 +51,7 @@ def text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, slice_bytes: int = 8 << 20) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, slice_bytes: int = 2 << 20) -> DataFrame:
     """mapInArrow by slices of about slice_bytes of text (one text at least), so memory stays bounded for any batch size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

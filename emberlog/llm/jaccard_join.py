@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import blocks
@@ -21,6 +21,10 @@ from emberlog.llm.words import U64, WORD_BASE, Words, mix, run_hashes
 
 #: Bytes of a shingle hash that verification compares.
 WIDTH = 5
+#: Most node ids (8 bytes each) that are broadcast to the table of hashes.
+BROADCAST_NODES = 1_000_000
+#: 64-bit words of the fixed sketch that pairs are tested with before verification.
+FOLD = 8
 SETS = "doc_id long, block long, n_shingles long, low long, high long"
 
 
@@ -129,6 +133,14 @@ def narrow(h: np.ndarray) -> bytes:
     return np.sort(h >> U64(64 - 8 * WIDTH)).view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
 
 
+def fold_sketches(sets: Shingles) -> np.ndarray:
+    """A parity sketch of FOLD words for each set: their Hamming distance never exceeds the symmetric difference."""
+    bits = 64 * FOLD
+    place = sets.owner * bits + ((sets.h >> U64(7)) & U64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=len(sets.sizes) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(-1, FOLD)
+
+
 def widen(raw: bytes) -> np.ndarray:
     out = np.zeros((len(raw) // WIDTH, 8), np.uint8)
     out[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
@@ -183,10 +195,11 @@ def candidate_rows(docs: DataFrame, reps: DataFrame, size: int, percent: int, te
             "sets": pa.array([*blob(low[owner]), *[None] * len(with_word)], pa.binary()),
             "sizes": pa.array([*blob(sizes[owner]), *[None] * len(with_word)], pa.binary()),
             "node": pa.array([*[None] * len(some), *low[with_word].view(np.int64)], pa.int64()),
+            "sketch": pa.array([*[None] * len(some), *fold_sketches(sets)[with_word].tolist()], pa.list_(pa.int64())),
             "hashes": pa.array([*[None] * len(some), *(narrow(sets.h[sets.begins[i] : sets.begins[i + 1]]) for i in with_word)], pa.binary()),
         })
 
-    out = rows.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(finish, "part int, keys binary, sets binary, sizes binary, node long, hashes binary")
+    out = rows.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(finish, "part int, keys binary, sets binary, sizes binary, node long, sketch array<long>, hashes binary")
     return materialize(out)
 
 
@@ -243,8 +256,12 @@ def verify(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_())})
 
-    x = hashes.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    y = hashes.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    # Few nodes are left after the sketch test; up to a checked number they go to the hashes, beyond it both are shuffled.
+    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+    needed = materialize(hashes.select("node", "hashes").join(wanted, "node", "left_semi"))
+    x = needed.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+    y = needed.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
@@ -267,50 +284,52 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    return materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()))
 
 
 #: Rounds in which each bucket compares one centre with the others, before the rest is compared pair by pair.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 
 
-def linked_components(met: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
-    """node and comp for all nodes that have a link, given who met in which bucket.
+def linked_components(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node and comp for all nodes that have a link, given who met in which bucket (bucket, node, n) and the sets of the
+    nodes (node, sketch, hashes).
 
-    Pairs inside a bucket count only as far as they can join different components. In a star round every bucket with
-    more than one component picks a centre (another one each round) and compares it with the members of the other
-    components; copies of one text are soon all in one. After STAR_ROUNDS, or once there is no more to gain, the
-    remaining pairs across components are compared, all of them: no link between components is lost.
+    Pairs inside a bucket count only as far as they can join different components, and only those are verified whose
+    sizes and whose sketches' Hamming distance allow the wanted similarity; both tests sit in the join's condition. In
+    a star round every bucket with more than one component picks a centre (another one each round) and compares it
+    with the members of the other components; copies of one text are soon all in one. Then the remaining pairs across
+    components are compared, all of them: no link between components is lost.
     """
-    links, checked, comps = None, None, None
-    fits = f"least(n, cn) * 100 >= {percent} * greatest(n, cn)"
+    checked, comps = None, None
+    hamming = " + ".join(f"bit_count(sketch[{k}] ^ csketch[{k}])" for k in range(FOLD))
+    may_link = F.expr(f"comp <> ccomp and least(n, cn) * 100 >= {percent} * greatest(n, cn) and ({hamming}) * {100 + percent} <= (n + cn) * {100 - percent}")
+    members = materialize(met.join(sets.select("node", "sketch"), "node"))
     for turn in range(STAR_ROUNDS + 1):
-        labelled = met if comps is None else met.join(comps, "node", "left")
-        labelled = labelled.withColumn("comp", F.coalesce(F.col("comp"), F.col("node")) if comps is not None else F.col("node"))
-        labelled = materialize(labelled.select("bucket", "node", "n", "comp"))
-        open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn))).alias("c")).where("lo <> hi")
+        labelled = members.withColumn("comp", F.col("node")) if comps is None else members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        if comps is not None:
+            labelled = materialize(labelled)
+        center = F.min_by(F.struct("node", "n", "sketch", "comp"), F.xxhash64("node", F.lit(turn)))
+        open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), center.alias("c")).where("lo <> hi")
         if turn < STAR_ROUNDS:
-            others = labelled.join(open_.select("bucket", F.col("c.node").alias("cnode"), F.col("c.n").alias("cn"), F.col("c.comp").alias("ccomp")), "bucket")
-            pairs = others.where(f"comp <> ccomp and {fits}")
+            other, once = open_.select("bucket", F.col("c.node").alias("cnode"), F.col("c.n").alias("cn"), F.col("c.sketch").alias("csketch"), F.col("c.comp").alias("ccomp")), F.lit(True)
+            here = labelled
         else:
-            rest = labelled.join(open_.select("bucket"), "bucket", "left_semi")
-            other = rest.select("bucket", F.col("node").alias("cnode"), F.col("n").alias("cn"), F.col("comp").alias("ccomp"))
-            pairs = rest.join(other, "bucket").where(f"node < cnode and comp <> ccomp and {fits}")
-        pairs = pairs.select(F.least("node", "cnode").alias("a"), F.greatest("node", "cnode").alias("b")).distinct()
+            here = labelled.join(open_.select("bucket"), "bucket", "left_semi")
+            other, once = here.select("bucket", F.col("node").alias("cnode"), F.col("n").alias("cn"), F.col("sketch").alias("csketch"), F.col("comp").alias("ccomp")), F.col("node") < F.col("cnode")
+        met_here = F.col("h.bucket") == F.col("o.bucket")
+        pairs = here.alias("h").join(other.alias("o"), met_here & once & may_link).select(F.least("node", "cnode").alias("a"), F.greatest("node", "cnode").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        got = materialize(verify(pairs, hashes, percent))
-        new = got.where("linked").select("a", "b")
-        any_new, any_pair = bool(new.head(1)), bool(got.head(1))
+        got = materialize(verify(materialize(pairs), sets, percent))
         checked = got.select("a", "b") if checked is None else checked.unionByName(got.select("a", "b"))
-        if any_new:
+        new = got.where("linked").select("a", "b")
+        if new.head(1):
             # The stars of earlier components and the new links say all that is needed.
             links = new if comps is None else new.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a <> b"))
-            comps = materialize(components(links))
-        if not any_pair and turn < STAR_ROUNDS and turn > 0:
-            met = labelled.join(open_.select("bucket"), "bucket", "left_semi").drop("comp")
-        else:
-            met = labelled.drop("comp") if turn == STAR_ROUNDS else labelled.join(open_.select("bucket"), "bucket", "left_semi").drop("comp")
+            comps = components(links)
+        if turn < STAR_ROUNDS:
+            members = labelled.join(open_.select("bucket"), "bucket", "left_semi").drop("comp")
     if comps is None:
         return met.sparkSession.createDataFrame([], "node long, comp long")
     return comps
@@ -341,8 +360,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     least = materialize(least.select("low", "high", F.col("r.id").alias("id"), F.col("r.block").alias("block")))
     parts = candidate_rows(docs, least.select("block", F.col("id").alias("doc_id")), size, percent, text_col, id_col)
     met = buckets(parts.where("part >= 0"), blocks.parts(docs))
-    hashes = parts.where("part = -1").select("node", "hashes")
-    comps = linked_components(met, hashes, percent)
+    comps = linked_components(met, parts.where("part = -1").select("node", "sketch", "hashes"), percent)
     named = least.join(comps.withColumnRenamed("node", "low"), "low", "left").withColumn("comp", F.coalesce("comp", "low"))
     ids = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     classes = named.join(ids, "comp").select("low", "high", "component_id")
