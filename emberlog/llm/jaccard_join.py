@@ -21,8 +21,8 @@ from emberlog.llm.words import U64, WORD_BASE, Words, mix, run_hashes
 
 #: Bytes of a shingle hash that verification compares.
 WIDTH = 5
-#: Most node ids (8 bytes each) that are broadcast to the table of hashes.
-BROADCAST_NODES = 1_000_000
+#: Most pairs (16 bytes each) that are broadcast to the table of hashes.
+BROADCAST_PAIRS = 1_000_000
 #: 64-bit words of the fixed sketch that pairs are tested with before verification.
 FOLD = 8
 SETS = "doc_id long, block long, n_shingles long, low long, high long"
@@ -245,7 +245,10 @@ def buckets(entries: DataFrame, n: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
-    """a, b and linked for distinct pairs of nodes: the intersection of the two sets, counted."""
+    """member, center and linked for distinct pairs of nodes: the intersection of the two sets, counted.
+
+    Only the members' sets travel, once a pair, to where their centre's set is; the ids of the pairs go to the table of
+    hashes, broadcast up to a checked number of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,15 +257,13 @@ def verify(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
                 x, y = widen(x), widen(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_())})
+            yield pa.RecordBatch.from_pydict({"member": batch.column("member"), "center": batch.column("center"), "linked": pa.array(linked, pa.bool_())})
 
-    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    # Few nodes are left after the sketch test; up to a checked number they go to the hashes, beyond it both are shuffled.
-    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-    needed = materialize(hashes.select("node", "hashes").join(wanted, "node", "left_semi"))
-    x = needed.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    y = needed.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+    few = pairs.count() <= BROADCAST_PAIRS
+    centers = pairs.select("center").distinct()
+    x = hashes.select(F.col("node").alias("center"), F.col("hashes").alias("x")).join(F.broadcast(centers) if few else centers, "center", "left_semi")
+    y = hashes.select(F.col("node").alias("member"), F.col("hashes").alias("y")).join(F.broadcast(pairs) if few else pairs, "member")
+    return y.join(x.hint("merge"), "center").select("member", "center", "x", "y").mapInArrow(run, "member long, center long, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -287,7 +288,7 @@ def components(links: DataFrame) -> DataFrame:
     return materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()))
 
 
-#: Rounds in which each bucket compares one centre with the others, before the rest is compared pair by pair.
+#: Rounds in which each set is compared with one centre, before the rest is compared pair by pair.
 STAR_ROUNDS = 3
 
 
@@ -297,9 +298,10 @@ def linked_components(met: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
     Pairs inside a bucket count only as far as they can join different components, and only those are verified whose
     sizes and whose sketches' Hamming distance allow the wanted similarity; both tests sit in the join's condition. In
-    a star round every bucket with more than one component picks a centre (another one each round) and compares it
-    with the members of the other components; copies of one text are soon all in one. Then the remaining pairs across
-    components are compared, all of them: no link between components is lost.
+    a star round every bucket with more than one component picks a centre (another one each round), and every set of
+    another component is compared with one centre of its buckets; copies of one text are soon all in one component.
+    Then the remaining pairs across components are compared, all of them: no link between components is lost. At least
+    one of such a pair lies outside the bucket's commonest component, so only those meet the whole bucket.
     """
     checked, comps = None, None
     hamming = " + ".join(f"bit_count(sketch[{k}] ^ csketch[{k}])" for k in range(FOLD))
@@ -310,20 +312,24 @@ def linked_components(met: DataFrame, sets: DataFrame, percent: int) -> DataFram
         if comps is not None:
             labelled = materialize(labelled)
         center = F.min_by(F.struct("node", "n", "sketch", "comp"), F.xxhash64("node", F.lit(turn)))
-        open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), center.alias("c")).where("lo <> hi")
+        open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("most"), center.alias("c")).where("lo <> hi")
         if turn < STAR_ROUNDS:
             other, once = open_.select("bucket", F.col("c.node").alias("cnode"), F.col("c.n").alias("cn"), F.col("c.sketch").alias("csketch"), F.col("c.comp").alias("ccomp")), F.lit(True)
             here = labelled
         else:
-            here = labelled.join(open_.select("bucket"), "bucket", "left_semi")
-            other, once = here.select("bucket", F.col("node").alias("cnode"), F.col("n").alias("cn"), F.col("sketch").alias("csketch"), F.col("comp").alias("ccomp")), F.col("node") < F.col("cnode")
+            here = materialize(labelled.join(open_.select("bucket", "most"), "bucket"))
+            other = here.where("comp <> most").select("bucket", F.col("node").alias("cnode"), F.col("n").alias("cn"), F.col("sketch").alias("csketch"), F.col("comp").alias("ccomp"))
+            once = (F.col("comp") == F.col("most")) | (F.col("node") < F.col("cnode"))
         met_here = F.col("h.bucket") == F.col("o.bucket")
-        pairs = here.alias("h").join(other.alias("o"), met_here & once & may_link).select(F.least("node", "cnode").alias("a"), F.greatest("node", "cnode").alias("b")).distinct()
+        pairs = here.alias("h").join(other.alias("o"), met_here & once & may_link).select(F.col("node").alias("member"), F.col("cnode").alias("center")).distinct()
         if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+            pairs = pairs.join(checked, (F.least("member", "center") == F.col("a")) & (F.greatest("member", "center") == F.col("b")), "left_anti")
+        if turn < STAR_ROUNDS:
+            pairs = pairs.groupBy("member").agg(F.min_by("center", F.xxhash64("center", F.lit(turn))).alias("center"))
         got = materialize(verify(materialize(pairs), sets, percent))
-        checked = got.select("a", "b") if checked is None else checked.unionByName(got.select("a", "b"))
-        new = got.where("linked").select("a", "b")
+        seen = got.select(F.least("member", "center").alias("a"), F.greatest("member", "center").alias("b"))
+        checked = seen if checked is None else checked.unionByName(seen)
+        new = got.where("linked").select(F.col("member").alias("a"), F.col("center").alias("b"))
         if new.head(1):
             # The stars of earlier components and the new links say all that is needed.
             links = new if comps is None else new.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a <> b"))
