@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import blocks
-from emberlog.llm.common import map_arrow, materialize, table
+from emberlog.llm.common import drop_scratch, map_arrow, materialize, table
 from emberlog.llm.words import U64, WORD_BASE, Words, mix, run_hashes
 
 #: Bytes of a shingle hash that verification compares.
@@ -297,31 +297,38 @@ def linked_components(met: DataFrame, sets: DataFrame, percent: int) -> DataFram
     nodes (node, sketch, hashes).
 
     Pairs inside a bucket count only as far as they can join different components, and only those are verified whose
-    sizes and whose sketches' Hamming distance allow the wanted similarity; both tests sit in the join's condition. In
+    sizes and whose sketches' Hamming distance allow the wanted similarity. In
     a star round every bucket with more than one component picks a centre (another one each round), and every set of
     another component is compared with one centre of its buckets; copies of one text are soon all in one component.
     Then the remaining pairs across components are compared, all of them: no link between components is lost. At least
     one of such a pair lies outside the bucket's commonest component, so only those meet the whole bucket.
     """
-    checked, comps = None, None
+    checked, comps, left_over = None, None, []
+    sizes_fit = f"comp <> ccomp and least(n, cn) * 100 >= {percent} * greatest(n, cn)"
     hamming = " + ".join(f"bit_count(sketch[{k}] ^ csketch[{k}])" for k in range(FOLD))
-    may_link = F.expr(f"comp <> ccomp and least(n, cn) * 100 >= {percent} * greatest(n, cn) and ({hamming}) * {100 + percent} <= (n + cn) * {100 - percent}")
-    members = materialize(met.join(sets.select("node", "sketch"), "node"))
+    sketches_fit = f"({hamming}) * {100 + percent} <= (n + cn) * {100 - percent}"
+    sketches = sets.select("node", "sketch")
+    members = met
     for turn in range(STAR_ROUNDS + 1):
-        labelled = members.withColumn("comp", F.col("node")) if comps is None else members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if comps is not None:
-            labelled = materialize(labelled)
-        center = F.min_by(F.struct("node", "n", "sketch", "comp"), F.xxhash64("node", F.lit(turn)))
+        written = comps is not None
+        labelled = members.withColumn("comp", F.col("node")) if not written else materialize(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        for old in left_over:
+            drop_scratch(met.sparkSession, old)
+        left_over = []
+        center = F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn)))
         open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("most"), center.alias("c")).where("lo <> hi")
+        met_here = F.col("h.bucket") == F.col("o.bucket")
         if turn < STAR_ROUNDS:
-            other, once = open_.select("bucket", F.col("c.node").alias("cnode"), F.col("c.n").alias("cn"), F.col("c.sketch").alias("csketch"), F.col("c.comp").alias("ccomp")), F.lit(True)
-            here = labelled
+            # Ids and sizes only: a set meets the same centre in many buckets, so sketches are added to distinct pairs.
+            other = open_.select("bucket", F.col("c.node").alias("cnode"), F.col("c.n").alias("cn"), F.col("c.comp").alias("ccomp"))
+            near = labelled.alias("h").join(other.alias("o"), met_here & F.expr(sizes_fit)).select("node", "n", "cnode", "cn").distinct()
+            near = near.join(sketches, "node").join(sketches.select(F.col("node").alias("cnode"), F.col("sketch").alias("csketch")), "cnode").where(sketches_fit)
         else:
-            here = materialize(labelled.join(open_.select("bucket", "most"), "bucket"))
+            here = materialize(labelled.join(open_.select("bucket", "most"), "bucket").join(sketches, "node"))
             other = here.where("comp <> most").select("bucket", F.col("node").alias("cnode"), F.col("n").alias("cn"), F.col("sketch").alias("csketch"), F.col("comp").alias("ccomp"))
             once = (F.col("comp") == F.col("most")) | (F.col("node") < F.col("cnode"))
-        met_here = F.col("h.bucket") == F.col("o.bucket")
-        pairs = here.alias("h").join(other.alias("o"), met_here & once & may_link).select(F.col("node").alias("member"), F.col("cnode").alias("center")).distinct()
+            near = here.alias("h").join(other.alias("o"), met_here & once & F.expr(f"{sizes_fit} and {sketches_fit}")).select("node", "cnode").distinct()
+        pairs = near.select(F.col("node").alias("member"), F.col("cnode").alias("center"))
         if checked is not None:
             pairs = pairs.join(checked, (F.least("member", "center") == F.col("a")) & (F.greatest("member", "center") == F.col("b")), "left_anti")
         if turn < STAR_ROUNDS:
@@ -335,6 +342,7 @@ def linked_components(met: DataFrame, sets: DataFrame, percent: int) -> DataFram
             links = new if comps is None else new.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a <> b"))
             comps = components(links)
         if turn < STAR_ROUNDS:
+            left_over = [labelled] if written else []
             members = labelled.join(open_.select("bucket"), "bucket", "left_semi").drop("comp")
     if comps is None:
         return met.sparkSession.createDataFrame([], "node long, comp long")
