@@ -1,8 +1,11 @@
 """Operator 3: n-gram Jaccard join by parity sketches.
 
-A document's shingle hashes are XORed into k words of 64 bits, one bit flipped by each shingle. Two sets that differ in
-d shingles have sketches that differ in at most d bits, so at most d words. For the pairs of sizes that meet in a size
-band, d is bounded by the wanted similarity; with k > d words at least one is equal, and equal words are joined.
+A document's sketch is k blocks of 2^64 parity bits, one bit flipped by each shingle, so that the Hamming distance of
+two sketches is at most the size d of their sets' symmetric difference. The bits are too sparse to be written out: a
+block is held as the XOR of the mixed positions of its set bits, which is equal for equal blocks and else by a chance
+of 2^-64. (Written-out blocks of 64 bits made one pair in a hundred of unrelated long texts meet.) At most d blocks
+differ. For the sizes that meet in a size band, d is bounded by the wanted similarity; with k > d blocks at least one
+is equal, and equal blocks are joined. Second, a folded sketch of 512 written-out bits tests pairs before verification.
 """
 
 from __future__ import annotations
@@ -61,11 +64,11 @@ class Shingles:
 
 @lru_cache(maxsize=8)
 def bands(percent: int, largest: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Edges of the size bands up to largest, and (words, light words allowed) of each band's sketch.
+    """Edges of the size bands up to largest, and (blocks, empty blocks allowed) of each band's sketch.
 
     Two sets of the wanted similarity lie in one band or in neighbours; a band's sketch serves its own pairs and those
     with the next band. They differ in at most (a + b) * (100 - percent) / (100 + percent) shingles. A sketch has as
-    many words more as light ones (under two set bits, which say little) may be left out.
+    many blocks more as empty ones, which say nothing, may be left out.
     """
     edges, plans = [1], []
     while edges[-1] <= largest:
@@ -80,11 +83,11 @@ def bands(percent: int, largest: int) -> tuple[np.ndarray, list[tuple[int, int]]
 
 
 def sketch_keys(sets: Shingles, chosen: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, text) for every sketch word that the chosen texts send, in their own band and in the one before.
+    """(key, text) for every sketch block that the chosen texts send, in their own band and in the one before.
 
-    Words with two or more set bits are always sent. If a text has more light words than its sketch allows for, it
-    sends those too: of two similar texts either one stays within the allowance, and then a heavy word is equal, or
-    both send everything.
+    Blocks with a shingle are always sent. If a text has more empty blocks than its sketch allows for, it sends those
+    too: of two similar texts either one stays within the allowance, and then a block with shingles is equal, or both
+    send everything.
     """
     edges, plans = bands(percent, int(sets.sizes.max(initial=1)))
     own = np.searchsorted(edges, sets.sizes, "right") - 1
@@ -102,13 +105,12 @@ def sketch_keys(sets: Shingles, chosen: np.ndarray, percent: int) -> tuple[np.nd
             continue
         place = ((h >> U64(32)) * k[owner].astype(np.uint64)) >> U64(32)
         new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])]))
-        word = np.bitwise_xor.reduceat(U64(1) << (h & U64(63)), new)
+        word = np.bitwise_xor.reduceat(mix(h), new)
         place, owner = place[new].astype(np.int64), owner[new]
-        heavy = np.bitwise_count(word) >= 2
-        light = k - np.bincount(owner[heavy], minlength=len(k))
+        light = k - np.bincount(owner, minlength=len(k))
         all_too = np.flatnonzero(use & (light > light_of[np.clip(band, 0, len(plans) - 1)]))
         if len(all_too):
-            # Every word of these texts: the ones found, and zero for the others.
+            # The empty blocks of these texts count too, as zero.
             base = np.concatenate([[0], np.cumsum(k[all_too])])
             o2 = np.repeat(all_too, k[all_too])
             p2 = np.arange(base[-1]) - np.repeat(base[:-1], k[all_too])
@@ -117,10 +119,7 @@ def sketch_keys(sets: Shingles, chosen: np.ndarray, percent: int) -> tuple[np.nd
             row[all_too] = np.arange(len(all_too))
             inside = row[owner] >= 0
             w2[base[row[owner[inside]]] + place[inside]] = word[inside]
-            heavy &= ~inside
-            word, place, owner = np.concatenate([word[heavy], w2]), np.concatenate([place[heavy], p2]), np.concatenate([owner[heavy], o2])
-        else:
-            word, place, owner = word[heavy], place[heavy], owner[heavy]
+            word, place, owner = np.concatenate([word[~inside], w2]), np.concatenate([place[~inside], p2]), np.concatenate([owner[~inside], o2])
         salt = mix((band[owner].astype(np.uint64) << U64(32)) + place.astype(np.uint64))
         keys.append(mix(word ^ salt))
         owners.append(owner)
