@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.common import total_bytes
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 LEAST_BLOCKS = 64
 SENT = "part int, block long, level int, keys binary, twice binary"
 MASKS = "block long, level int, part int, mask binary"

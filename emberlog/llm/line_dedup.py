@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm import blocks
 from emberlog.llm.common import table
-from emberlog.llm.words import BYTE_BASE, BYTE_VALUE, IS_SPACE, join_runs, run_hashes, sliding, text_buffers, windows
+from emberlog.llm.words import IS_SPACE, byte_hashes, join_runs, sliding, text_buffers, windows
 
 LAST = np.iinfo(np.int64).max
 FIRSTS = "part int, block long, level int, keys binary, ids binary"
@@ -38,7 +38,7 @@ class Lines:
         words = np.concatenate([[0], np.cumsum(~IS_SPACE[data])])
         self.lines = np.flatnonzero(words[self.ends] > words[self.starts])
         self.doc = np.searchsorted(self.of_doc, self.lines, "right") - 1
-        hashes = run_hashes(BYTE_VALUE[data], self.starts[self.lines], self.ends[self.lines], BYTE_BASE)
+        hashes = byte_hashes(data, self.starts[self.lines], self.ends[self.lines])
         full = max(0, len(hashes) - run + 1)
         self.valid = np.flatnonzero(self.doc[:full] == self.doc[run - 1 :]) if full else np.zeros(0, np.int64)
         self.least = sliding(np.minimum, hashes, run)
