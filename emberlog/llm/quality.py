@@ -24,11 +24,13 @@ STEPS = 3
 #: Medians and distance quantiles come from counts in bins of this width, so they are exact to it and the same in any order.
 BIN = 0.002
 #: Added to each variance: what is constant in the clean part must not make small deviations infinitely far.
-RIDGE = [0.02**2, 0.03**2, 0.06**2, 0.06**2]
+RIDGE = [0.02**2, 0.01**2, 0.04**2, 0.04**2]
+#: What chance adds to each variance of one document: the root of a share of n parts varies by 1 / (4 n), and a repeat covers six words.
+NOISE = [(0.25, "n_words"), (0.25, "word_chars"), (0.25, "n_lines"), (1.5, "n_words")]
 #: Groups with fewer documents use the estimate of their language, or else of all documents.
 MIN_GROUP = 200
-#: Squared distance from which a document is rejected.
-CUTOFF = 160.0
+#: Squared distance from which a document is rejected: the 0.999 quantile of chi-square with P degrees of freedom.
+CUTOFF = 18.467
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -101,15 +103,27 @@ def with_distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
     return joined.withColumn("d2", d2).drop(*[c for c in fit.columns if c != "grp"], *[f"y{i}" for i in range(P)])
 
 
-def cholesky(fit: DataFrame) -> DataFrame:
-    """From columns v00.. (lower triangle of a covariance) to c00.., one group a row."""
+def with_factor(rows: DataFrame) -> DataFrame:
+    """From columns v00.. (lower triangle of a covariance) to c00.. beside the other columns."""
     for i in range(P):
         for j in range(i + 1):
             rest = F.col(f"v{i}{j}")
             for k in range(j):
                 rest = rest - F.col(f"c{i}{k}") * F.col(f"c{j}{k}")
-            fit = fit.withColumn(f"c{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"c{j}{j}"))
-    return fit.select("grp", *[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i in range(P) for j in range(i + 1)])
+            rows = rows.withColumn(f"c{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"c{j}{j}"))
+    return rows
+
+
+def cholesky(fit: DataFrame) -> DataFrame:
+    """The factor of each group's covariance, one group a row."""
+    return with_factor(fit).select("grp", *[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i in range(P) for j in range(i + 1)])
+
+
+def widened(rows: DataFrame) -> DataFrame:
+    """c00.. of each document's group with what chance adds for a document of this size."""
+    back = {f"v{i}{j}": sum((F.col(f"c{i}{k}") * F.col(f"c{j}{k}") for k in range(1, j + 1)), F.col(f"c{i}0") * F.col(f"c{j}0")) for i in range(P) for j in range(i + 1)}
+    back |= {f"v{i}{i}": back[f"v{i}{i}"] + F.lit(a) / F.greatest(F.col(n), F.lit(1)) for i, (a, n) in enumerate(NOISE)}
+    return with_factor(rows.withColumns(back))
 
 
 def concentrate(rows: DataFrame, scale: float) -> DataFrame:
@@ -145,7 +159,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A document without words fails the base rule, as do those under 50 words or with more than half of their words in
     repeated windows; they take no part in the fit. The rest are judged against their language and source (null counts
     as its own value), or their language, or all documents, whichever is the first with MIN_GROUP documents. Rejected:
-    distance beyond cutoff, with more symbols, repeated lines or repeated words than the centre, or odd word lengths.
+    distance beyond cutoff under the group's covariance widened by what chance gives a document of its size, with more symbols, repeated lines or repeated words than the centre, or odd word lengths.
     Repeated rows are judged alike; an empty table gives an empty result; other columns are not read.
 
     The text is read once and no text is shuffled: what is grouped are four numbers a document. A hot source only adds
@@ -162,7 +176,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = passed.select("lang", "source").distinct().select("lang", "source", F.posexplode(F.array(*levels)).alias("k", "grp"))
     chosen = names.join(big, "grp").groupBy("lang", "source").agg(F.min_by("grp", "k").alias("grp"))
     fits = chosen.join(fit, "grp").drop("grp").withColumn("grp", F.concat_ws("\x01", "lang", "source")).drop("lang", "source")
-    judged, d2 = squared_distance(stats.withColumn("grp", F.concat_ws("\x01", "lang", "source")).join(fits, "grp", "left"))
+    judged, d2 = squared_distance(widened(stats.withColumn("grp", F.concat_ws("\x01", "lang", "source")).join(fits, "grp", "left")))
     worse = (F.col("f_symbols") > F.col("m1") + 0.1) | (F.col("f_dup_lines") > F.col("m2") + 0.1) | (F.col("f_repeats") > F.col("m3") + 0.1) | (F.abs(F.col("f_word_length") - F.col("m0")) > log(1.4))
     distance = F.when(~F.col("base_failed"), d2)
     kept = ~F.col("base_failed") & ~F.coalesce((distance > cutoff) & worse, F.lit(False))

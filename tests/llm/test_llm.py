@@ -147,6 +147,31 @@ def test_outliers_go_and_clean_stay(spark):
     assert {k for k, kept in got.items() if not kept} == set(range(0, 400, 20))
 
 
+def test_each_kind_of_junk_goes_by_itself(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+
+    def text(kind):
+        if kind == 0:  # one symbol for each two words: 9 % of the characters
+            return " | ".join(line(2) for _ in range(60))
+        if kind == 1:  # 40 % of the words repeated, no line
+            phrase = line(6)
+            return " ".join(line(12) + " " + phrase for _ in range(10)) + " " + line(30)
+        if kind == 2:  # half of the lines repeated, two words each
+            again = line(2)
+            return "\n".join(line(6) + "\n" + again for _ in range(20))
+        if kind == 3:  # clean and short: one line of five occurs again
+            again = line(2)
+            return "\n".join([again, line(30), line(30), again, line(20)])
+        return "\n".join(line(20) for _ in range(r.randint(4, 20)))
+
+    rows = [(k, text(k % 20), "en", "s") for k in range(400)]
+    got = {x["doc_id"]: x for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(x["base_failed"] for x in got.values())
+    assert {k for k, x in got.items() if not x["kept"]} == {k for k in got if k % 20 in (0, 1, 2)}
+
+
 def test_mcd_resists_a_cluster_of_outliers(spark):
     r = np.random.default_rng(0)
     clean = r.normal([1.5, 0.1, 0.1, 0.1], [0.1, 0.05, 0.05, 0.05], (900, 4))
