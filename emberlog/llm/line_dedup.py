@@ -20,10 +20,11 @@ class Lines:
 
     Lines without a word are no part of the sequences. Of every window of run lines the least line hash is selected: a
     fingerprint that equal windows share. Where a fingerprint occurs more than once, matches are extended both ways to
-    all windows of run lines around it; those that occur earlier in the corpus are repeats.
+    all windows of run lines around it; those that occur earlier in the corpus are repeats. Lines of single words or
+    more (0: none) are all fingerprints and windows of their own.
     """
 
-    def __init__(self, rows: pa.Table, run: int, n: int):
+    def __init__(self, rows: pa.Table, run: int, n: int, single: int = 0):
         self.rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])  # nulls last
         self.run, self.n = run, n
         self.data, self.offsets = data, offsets = text_buffers(self.rows.column("text"))
@@ -35,10 +36,11 @@ class Lines:
         if len(ends):
             ends[self.of_doc[1:] - 1] = offsets[1:]
         self.ends = ends
-        words = np.concatenate([[0], np.cumsum(~IS_SPACE[data])])
+        inside = ~IS_SPACE[data]
+        words = np.concatenate([[0], np.cumsum(inside)])
         self.lines = np.flatnonzero(words[self.ends] > words[self.starts])
         self.doc = np.searchsorted(self.of_doc, self.lines, "right") - 1
-        hashes = byte_hashes(data, self.starts[self.lines], self.ends[self.lines])
+        self.hashes = hashes = byte_hashes(data, self.starts[self.lines], self.ends[self.lines])
         full = max(0, len(hashes) - run + 1)
         self.valid = np.flatnonzero(self.doc[:full] == self.doc[run - 1 :]) if full else np.zeros(0, np.int64)
         self.least = sliding(np.minimum, hashes, run)
@@ -46,6 +48,15 @@ class Lines:
         held[self.valid] = self.least[self.valid]
         pad = np.zeros(run - 1, np.uint64)
         chosen = sliding(np.maximum, np.concatenate([pad, held, pad]), run) == hashes if full else np.zeros(len(hashes), bool)
+        self.alone = np.zeros(0, np.int64)
+        if single:
+            begins = inside.copy()
+            begins[1:] &= ~inside[:-1]
+            edges = offsets[:-1][offsets[:-1] < len(data)]
+            begins[edges] = inside[edges]
+            words = np.concatenate([[0], np.cumsum(begins)])
+            self.alone = np.flatnonzero(words[self.ends[self.lines]] - words[self.starts[self.lines]] >= single)
+            chosen[self.alone] = True
         self.fingerprints = blocks.distinct_keys(hashes[chosen])
         self.long = windows(hashes, run)
         ids = self.rows.column("doc_id").to_numpy(zero_copy_only=False) if self.rows.column("doc_id").null_count == 0 else self.rows.column("doc_id").fill_null(LAST).to_numpy()
@@ -55,9 +66,12 @@ class Lines:
         """Distinct windows around repeated fingerprints and the least document id of each in this block."""
         keys, _ = self.fingerprints
         repeated = keys[blocks.unmask(keys, masks, 0, self.n)]
-        self.at = self.valid[np.isin(self.least[self.valid], repeated, kind="sort")]
+        at = self.valid[np.isin(self.least[self.valid], repeated, kind="sort")]
+        alone = self.alone[np.isin(self.hashes[self.alone], repeated, kind="sort")]
+        self.at = np.concatenate([at, alone])
+        self.stop = np.concatenate([at + self.run, alone + 1])
         # Rows are sorted by id, so the first place of a key has its least id.
-        self.keys, self.first, self.which = np.unique(self.long[self.at], return_index=True, return_inverse=True)
+        self.keys, self.first, self.which = np.unique(np.concatenate([self.long[at], windows(self.hashes, 1)[alone]]), return_index=True, return_inverse=True)
         return self.keys, self.ids[self.doc[self.at[self.first]]] if len(self.at) else np.zeros(0, np.int64)
 
     def removed(self, masks: pa.Table) -> np.ndarray:
@@ -66,8 +80,8 @@ class Lines:
         later = np.ones(len(self.at), bool)
         later[self.first[own]] = False
         edge = np.zeros(len(self.lines) + 1, np.int32)
-        edge[self.at[later]] += 1
-        np.subtract.at(edge, self.at[later] + self.run, 1)
+        np.add.at(edge, self.at[later], 1)
+        np.subtract.at(edge, self.stop[later], 1)
         gone = np.zeros(len(self.starts), bool)
         gone[self.lines] = np.cumsum(edge[:-1]) > 0
         return gone
@@ -91,23 +105,26 @@ def find_firsts(sent: DataFrame) -> DataFrame:
     return sent.groupBy("part").applyInArrow(run, blocks.MASKS)
 
 
-def line_dedup(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, str] | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, str] | None = None, single: int = 0) -> DataFrame:
     """doc_id, the carried columns, n_lines, n_removed and kept: every whole text without its repeated runs of lines.
 
     Lines are what newlines separate; those without a word are ignored and stay. A line goes if it lies in run
     consecutive lines (ignoring wordless ones) that occur earlier as well, in a document of a smaller id or further up
     in the same one; the first occurrence stays. Ids that are null come last; of repeated rows with one id the first
-    in text order keeps the run. Null and empty texts have no lines and stay empty; shorter texts than run lines stay
-    whole; an empty table gives an empty result. Columns that are not carried are not read.
+    in text order keeps the run. With single, a line of that many words or more goes by itself if it occurs earlier;
+    run must be over one then. Null and empty texts have no lines and stay empty; shorter texts than run lines stay
+    whole without single; an empty table gives an empty result. Columns that are not carried are not read.
 
     Fingerprints are sent once a block; only windows around repeated ones are sent in full; no pairs are formed.
     """
+    if single and run < 2:
+        raise ValueError("single lines go anyway where run is one")
     rows = blocks.with_blocks(docs, text_col, {"doc_id": id_col, **(carry or {})}).withColumn("doc_id", F.col("doc_id").cast("long"))
     n = blocks.parts(docs)
-    masks = blocks.find_repeats(blocks.send(rows, lambda texts, _, n: Lines(texts, run, n).fingerprints, 0, n))
+    masks = blocks.find_repeats(blocks.send(rows, lambda texts, _, n: Lines(texts, run, n, single).fingerprints, 0, n))
 
     def send_firsts(key: tuple, texts: pa.Table, back: pa.Table) -> pa.Table:
-        keys, ids = Lines(texts, run, n).extend(back)
+        keys, ids = Lines(texts, run, n, single).extend(back)
         some, edges = blocks.cuts(keys, n)
         packed = blocks.pack(key[0].as_py(), 1, keys, np.zeros(len(keys), bool), n)
         return packed.drop_columns(["twice"]).append_column("ids", pa.array([ids[edges[p] : edges[p + 1]].tobytes() for p in some], pa.binary()))
@@ -115,7 +132,7 @@ def line_dedup(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col:
     firsts = find_firsts(rows.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(send_firsts, FIRSTS))
 
     def finish(key: tuple, texts: pa.Table, back: pa.Table) -> pa.Table:
-        state = Lines(texts, run, n)
+        state = Lines(texts, run, n, single)
         state.extend(back)
         gone = state.removed(back)
         count = lambda x: pa.array(np.diff(np.concatenate([[0], np.cumsum(x)])[state.of_doc]), pa.int64())

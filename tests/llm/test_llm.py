@@ -198,6 +198,39 @@ def test_line_dedup(docs, nothing):
     assert line_dedup.line_dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("single", [1, 5, 9])
+def test_line_dedup_single_lines(spark, docs, nothing, single):
+    r = random.Random(8)
+    pool = [" ".join(r.choice(["a", "bc", "é", "def"]) for _ in range(r.randint(1, 12))) for _ in range(60)]
+    rows = ROWS + [(k, "\n".join(r.choice([*pool, "", " \t"]) for _ in range(r.randint(1, 6)))) for k in range(1000, 1100)]
+    seen, want = set(), []
+    for i, t in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
+        lines = (t or "").split("\n")
+        real = [k for k, x in enumerate(lines) if WORD.search(x)]
+        gone = set()
+        for k in range(len(real)):
+            for size in (1, 3):
+                gram = tuple(lines[j] for j in real[k : k + size])
+                if len(gram) == size and (size == 3 or len(words(gram[0])) >= single):
+                    if gram in seen:
+                        gone |= set(real[k : k + size])
+                    seen.add(gram)
+        want.append((i, len(real), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bag(line_dedup.line_dedup(table, single=single).collect()) == bag(want)
+    assert line_dedup.line_dedup(nothing, single=single).count() == 0
+
+
+def test_pipeline_cuts_single_repeated_lines(spark):
+    import corpus_pipeline
+
+    license = "this line of nine words stands in every text"
+    rows = [(1, f"first own text here\n{license}"), (2, f"{license}\nsecond own text here"), (3, license), (4, f"{license}\n{license}\nshort\nlast"), (5, "short")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, table, "").collect()}
+    assert got == {1: rows[0][1], 2: "second own text here", 4: "short\nlast", 5: "short"}
+
+
 @pytest.mark.parametrize("size", [8, 35])
 def test_substring_dedup(docs, nothing, size):
     c = collections.Counter(tuple(w[k : k + size]) for _, t in ROWS for w in [words(t)] for k in range(len(w) - size + 1))
