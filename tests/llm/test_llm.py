@@ -316,6 +316,27 @@ def test_lm_scores(docs, nothing):
     assert lm_scoring.lm_scores(nothing, path).count() == 0
 
 
+def test_lm_fit_reads_every_training_text_and_gains_on_the_prior(spark):
+    path = vocabulary_path("byte_bpe_50k.json")
+    r = random.Random(9)
+    names = [x + "zq" for x in "abcdefgh"]  # a bigram of subwords sees the common ending, not which word it ends
+    texts = [" ".join(names[(k + r.randrange(2)) % 8] for k in range(r.randrange(8), 700)) for _ in range(150)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    # Few distinct texts, none of them in the first classes of a fine hash.
+    table = table.where(F.pmod(F.xxhash64("text"), F.lit(48)) > 2).cache()
+    train = table.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
+    prior = lm_scoring.Model(*map(lm_scoring.smoothed, lm_scoring.prior_counts(train, path)))
+    prior.w["high"][:] = 0
+    prior.w["low"][:] = 0
+    rows = table.orderBy("doc_id").toArrow()
+    _, _, tokens, begins = lm_scoring.token_stream(rows, path)
+    by_prior = dict(zip(rows.column("doc_id").to_pylist(), prior.score(tokens, begins) / math.log(10), strict=True))
+    got = lm_scoring.lm_scores(table, path).collect()
+    assert len(got) == rows.num_rows > 60
+    gain = {held: sum(x["score"] - by_prior[x["doc_id"]] for x in got if x["held_out"] == held) / sum(x["n_tokens"] for x in got if x["held_out"] == held) for held in (False, True)}
+    assert min(gain.values()) > 0.02, gain
+
+
 def test_lm_gradients_and_probabilities():
     r = np.random.default_rng(3)
     model = lm_scoring.Model(np.zeros((lm_scoring.END + 1, lm_scoring.RADIX)), np.zeros((lm_scoring.END + 1, lm_scoring.RADIX, lm_scoring.RADIX)))
