@@ -348,7 +348,7 @@ def linked_components(met: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return comps
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", leaders: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id for every document.
 
     A document's set: the distinct word shingles of its whole text (A-Z lower-cased), or its whole word sequence if it
@@ -357,6 +357,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     component is their own id. Null ids are kept and never lend their id to a component that has another. Repeated
     rows are equal sets. An empty table gives an empty result; other columns are not read.
 
+    leaders adds text_hash (xxhash64 of the text) and leads: whether the row's id and text are those of the one chosen
+    member of its component (the least id, null ids last; rows that repeat both are told alike). A text with an empty
+    set leads itself.
+
     Equal sets are found by signature first, so copies of one text are one node from there on.
     """
     rows = blocks.with_blocks(docs, text_col, {"doc_id": id_col}).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -366,20 +370,27 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
         low, high = s.signatures()
         return {"doc_id": batch.column("doc_id"), "block": batch.column("block"), "n_shingles": pa.array(s.sizes, pa.int64()), "low": low.view(np.int64), "high": high.view(np.int64)}
 
-    found = materialize(map_arrow(rows, sets, SETS))
+    if leaders:
+        rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    keep = ["text_hash"] if leaders else []
+    found = materialize(map_arrow(rows, lambda batch: sets(batch) | {c: batch.column(c) for c in keep}, SETS + "".join(f", {c} long" for c in keep)))
     real = found.where("n_shingles > 0")
     # Nodes are named by the first half of the signature; the second must agree too.
-    least = real.groupBy("low", "high").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)).alias("id"), "block")).alias("r"))
-    least = materialize(least.select("low", "high", F.col("r.id").alias("id"), F.col("r.block").alias("block")))
+    least = real.groupBy("low", "high").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)).alias("id"), "block", *keep)).alias("r"))
+    least = materialize(least.select("low", "high", F.col("r.id").alias("id"), F.col("r.block").alias("block"), *[F.col(f"r.{c}").alias(f"first_{c}") for c in keep]))
     parts = candidate_rows(docs, least.select("block", F.col("id").alias("doc_id")), size, percent, text_col, id_col)
     met = buckets(parts.where("part >= 0"), blocks.parts(docs))
     comps = linked_components(met, parts.where("part = -1").select("node", "sketch", "hashes"), percent)
     named = least.join(comps.withColumnRenamed("node", "low"), "low", "left").withColumn("comp", F.coalesce("comp", "low"))
-    ids = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    classes = named.join(ids, "comp").select("low", "high", "component_id")
+    firsts = [F.min(F.struct("id", "block", *[f"first_{c}" for c in keep])).alias("first")] if leaders else []
+    ids = named.groupBy("comp").agg(F.min("id").alias("component_id"), *firsts)
+    classes = named.join(ids, "comp").select("low", "high", "component_id", *(["first"] if leaders else []))
     out = found.join(classes, ["low", "high"], "left")
     own = F.when((F.col("n_shingles") > 0) & (F.col("component_id") < np.iinfo(np.int64).max), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    if not leaders:
+        return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    first = (F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)) == F.col("first.id")) & (F.col("text_hash") == F.col("first.first_text_hash"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), "text_hash", ((F.col("n_shingles") == 0) | first).alias("leads"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,6 +231,25 @@ def test_pipeline_cuts_single_repeated_lines(spark):
     assert got == {1: rows[0][1], 2: "second own text here", 4: "short\nlast", 5: "short"}
 
 
+def test_pipeline_keeps_one_of_each_group(spark):
+    import corpus_pipeline
+
+    r = random.Random(10)
+    text = lambda: [f"w{r.randrange(10**6)}" for _ in range(80)]
+    near = lambda w: [*w[:-1], "other"]
+    a, b, c, d, e = (text() for _ in range(5))
+    # repeated rows; null ids only; a null id beside an id; an id with two texts, one of them a near copy
+    rows = [(1, a), (1, a), (1, near(a)), (None, b), (None, near(b)), (None, near(b)), (4, near(c)), (None, c), (4, near(d)), (5, d), (5, e), (None, []), (6, [])]
+    table = spark.createDataFrame([(i, " ".join(w), "en", "s", None) for i, w in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(x["doc_id"], x["text"]) for x in corpus_pipeline.near_duplicates(spark, table, "").collect()]
+    left = lambda *some: sorted(g for g in got if g[1] in [" ".join(w) for w in some])
+    assert len(left(a, near(a))) == len(left(b, near(b))) == 1
+    assert left(c, near(c)) == [(4, " ".join(near(c)))] and left(d, near(d)) == [(4, " ".join(near(d)))] and left(e) == [(5, " ".join(e))]
+    assert len(got) == 7 and sum(not x for _, x in got) == 2
+    final = corpus_pipeline.substrings(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in got], table.schema), "").collect()
+    assert len(final) == 7
+
+
 @pytest.mark.parametrize("size", [8, 35])
 def test_substring_dedup(docs, nothing, size):
     c = collections.Counter(tuple(w[k : k + size]) for _, t in ROWS for w in [words(t)] for k in range(len(w) - size + 1))
