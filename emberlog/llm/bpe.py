@@ -1,29 +1,27 @@
 """Byte-pair encodings read from the public vocabulary files: splitting, merging and decoding, exact to the library.
 
 A text is first cut at white space (no token crosses from a non-space to a space), so what is kept per worker is the
-result for one chunk; texts are never truncated. Caches are bounded and hold results only, never decisions.
+result for one chunk; texts are never truncated. Caches are bounded and hold results only, never decisions. Which
+characters are letters, digits or spaces beyond ASCII, and what they are in lower case, is asked of the library itself:
+its Unicode tables are of another age than Python's.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
-import numpy as np
-import regex
-
 # Unicode White_Space, which is what \s means to the library's regex engine.
 WHITE = r"\t-\r \x85\xa0  -     　"
 
-#: Python's str.split also cuts at these four, which the library treats as symbols.
-ODD_SPACES = re.compile("[\x1c-\x1f]")
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-SPLIT_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
-SPLIT_BYTES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: The words of printable ASCII in lower case; anything else is split by the library.
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: The same for the byte-level vocabulary, where a space goes with what follows it.
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 CACHE_ENTRIES = 400_000
 
 
@@ -56,8 +54,6 @@ class Vocabulary:
             self.merged.append(both)
             self.split.setdefault(both, (left, right))
         alphabet = byte_alphabet()
-        self.byte_ids = [self.ids[c] for c in alphabet]
-        self.last_byte_ids = [self.ids[c + self.word_end] for c in alphabet]
         back = {c: b for b, c in enumerate(alphabet)}
         self.token_bytes: dict[int, bytes] = {}
         for token, i in self.ids.items():
@@ -66,11 +62,8 @@ class Vocabulary:
         self.token_bytes |= {i: s.encode() for s, i in self.specials.items()}
 
     def symbols(self, word: str) -> list[int]:
-        raw = word.encode("utf-8", "surrogatepass")
-        out = list(map(self.byte_ids.__getitem__, raw))
-        if raw:
-            out[-1] = self.last_byte_ids[raw[-1]]
-        return out
+        """The ids of a word's symbols; the word is in the byte alphabet."""
+        return [*map(self.ids.__getitem__, word[:-1]), self.ids[word[-1] + self.word_end]]
 
 
 @lru_cache(maxsize=4)
@@ -83,11 +76,6 @@ def pieces_between_specials(vocab: Vocabulary, text: str) -> list[str]:
     return vocab.special_split.split(text) if vocab.special_split else [text]
 
 
-def fold(text: str) -> str:
-    """NFC and lower case character by character, as the library's normalizers do (no final-sigma rule)."""
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-
-
 class Cached(dict):
     """Chunk results, computed once; emptied when full so that a worker's memory stays bounded."""
 
@@ -104,12 +92,17 @@ class Cached(dict):
         return out
 
 
-def chunks_of(text: str) -> list[str]:
-    """White-space separated chunks, spaces dropped."""
-    return CHUNK_WORDS.findall(text) if ODD_SPACES.search(text) else text.split()
+def library(path: str):
+    """The tokenizers library on this file, whole texts and one thread."""
+    import os
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
 
-CHUNK_WORDS = re.compile(f"[^{WHITE}]+")
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
 
 
 AFTER, BEFORE = [*range(1, 129)], [*range(-1, 127)]
@@ -152,60 +145,53 @@ def merged_length(ids: list[int], rank_of: dict[int, int], merged: list[int]) ->
 
 
 class WordCounter:
-    """Token counts of whole texts for a vocabulary with word ends."""
+    """Token counts of whole texts for a vocabulary with word ends. Chunks are what ASCII white space separates."""
 
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
+        own = library(path)
+        self.normalize, self.split = own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str
         self.words = Cached(lambda word: merged_length(self.vocab.symbols(word), self.vocab.merge, self.vocab.merged), 1_000_000)
-        self.counts = Cached(lambda chunk: sum(map(self.words.__getitem__, SPLIT_WORDS.findall(chunk))))
+        self.counts = Cached(lambda chunk: sum(map(self.words.__getitem__, self.words_of(chunk.decode()))))
+
+    def words_of(self, chunk: str) -> list[str]:
+        """In the byte alphabet, where printable ASCII stands for itself."""
+        if chunk.isascii() and chunk.isprintable():
+            return ASCII_WORDS.findall(chunk.lower())
+        return [word for word, _ in self.split(self.normalize(chunk))]
 
     def count(self, text: str) -> int:
         if "<|" not in text:
-            return sum(map(self.counts.__getitem__, chunks_of(fold(text))))
+            return sum(map(self.counts.__getitem__, text.encode().split()))
         parts = pieces_between_specials(self.vocab, text)
-        return len(parts) // 2 + sum(sum(map(self.counts.__getitem__, chunks_of(fold(p)))) for p in parts[::2])
+        return len(parts) // 2 + sum(sum(map(self.counts.__getitem__, p.encode().split())) for p in parts[::2])
 
 
 class WordEncoder:
     """Ids of whole texts, little-endian unsigned 32-bit, by the tokenizers library: it sees each distinct chunk once."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         self.vocab = vocabulary(path)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.is_end = np.zeros(max(self.vocab.token_bytes) + 1, bool)
-        self.is_end[[i for token, i in self.vocab.ids.items() if token.endswith(self.vocab.word_end)]] = True
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encode unknown chunks many at a time, joined by spaces; each pre-token's last id carries the word end."""
+        self.library = library(path)
+        self.known: dict[bytes, bytes] = {}
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Encode unknown chunks, each as a text of its own."""
         if len(self.known) + len(chunks) > 2 * CACHE_ENTRIES:
             self.known.clear()
         new = [c for c in chunks if c not in self.known]
-        for k in range(0, len(new), 500):
-            some = new[k : k + 500]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            words = np.cumsum([1 if c.isalpha() else len(SPLIT_WORDS.findall(c)) for c in some])
-            raw, at = ids.tobytes(), 0
-            for chunk, end in zip(some, (ends[words - 1] * 4).tolist(), strict=True):
-                self.known[chunk] = raw[at:end]
-                at = end
+        for k in range(0, len(new), 2000):
+            some = new[k : k + 2000]
+            for chunk, got in zip(some, self.library.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
+                self.known[chunk] = array("I", got.ids).tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """One slice of texts at a time: its chunks are all known before the first text is put together."""
         parts = [pieces_between_specials(self.vocab, t) if "<|" in t else [t] for t in texts]
-        chunked = [[self.vocab.specials[p] if k % 2 else chunks_of(fold(p)) for k, p in enumerate(pp)] for pp in parts]
+        chunked = [[self.vocab.specials[p] if k % 2 else p.encode().split() for k, p in enumerate(pp)] for pp in parts]
         self.learn({c for cc in chunked for k, chunks in enumerate(cc) if k % 2 == 0 for c in chunks})
         known = self.known.__getitem__
-        out = [b"".join(x.to_bytes(4, "little") if isinstance(x, int) else b"".join(map(known, x)) for x in cc) for cc in chunked]
-        return out
+        return [b"".join(x.to_bytes(4, "little") if isinstance(x, int) else b"".join(map(known, x)) for x in cc) for cc in chunked]
 
 
 class PrefixEncoder:
@@ -234,7 +220,11 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         self.bodies = [vocab.token_bytes.get(i, b"") for i in range(max(vocab.token_bytes) + 1)]
         self.words = Cached(self.encode_word)
-        self.chunks = Cached(lambda chunk: b"".join(map(self.words.__getitem__, SPLIT_BYTES.findall(chunk))))
+        self.split = library(path).pre_tokenizer.pre_tokenize_str
+        self.chunks = Cached(lambda chunk: b"".join(map(self.words.__getitem__, self.words_of(chunk))))
+
+    def words_of(self, chunk: str) -> list[str]:
+        return ASCII_PIECES.findall(chunk) if chunk.isascii() else [chunk[a:b] for _, (a, b) in self.split(chunk)]
 
     def compatible(self, left: int, right: int, limit: int) -> bool:
         """Whether two adjacent tokens stay apart: no pair that ever meets at the seam merges before it is used up.

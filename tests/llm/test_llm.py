@@ -102,6 +102,44 @@ def test_residual_rounds(spark):
     assert sorted(got["doc_id"]) == list(range(2000)) and got.groupby("sequence_id")["length"].sum().max() <= 100
 
 
+@pytest.mark.parametrize("sizes", [[37], [60, 70], [1], list(range(1, 101)), [100], [30, 90, 95]])
+def test_residual_rounds_end_close_to_the_bound(spark, sizes):
+    r = random.Random(len(sizes))
+    rows = [(k if k % 9 else None, k % 3, 0, r.choice(sizes), 0) for k in range(3000)]
+    got = packing.best_fit_packing(spark.createDataFrame(rows, packing.PIECES), 100, group_items=40).toPandas()
+    assert len(got) == 3000
+    fills = got.groupby("sequence_id")["length"].sum()
+    assert fills.max() <= 100
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert list(g["offset"]) == list(np.cumsum([0, *g["length"]])[:-1])
+    alone = packing.best_fit([x[3] for x in rows], 100)
+    assert len(fills) <= 1.1 * len(alone) + 2
+    assert (fills <= 50).sum() <= 1
+
+
+def random_texts(n, seed=3):
+    """Texts of any code point, a third of their characters, among letters, spaces and special strings."""
+    r = random.Random(seed)
+    points = [chr(k) for k in range(1, 0x30000) if not 0xD800 <= k < 0xE000]
+    some = [*"abcXYZ 12\x85 \x1c\x0bé><|Σß 's 'T  \n\t\r", "<|endoftext|>"]
+    return ["".join(r.choice(points) if r.random() < 1 / 3 else r.choice(some) for _ in range(r.randint(0, 40))) for _ in range(n)]
+
+
+def test_tokens_of_any_code_point_are_the_librarys():
+    from emberlog.llm import bpe
+
+    word, byte = vocabulary_path("word_bpe_49k.json"), vocabulary_path("byte_bpe_50k.json")
+    texts = random_texts(10_000) + [f"a{chr(k)}b" for k in range(1, 0x30000) if not 0xD800 <= k < 0xE000]
+    count, encode, prefix = bpe.WordCounter(word), bpe.WordEncoder(word), bpe.PrefixEncoder(byte)
+    for k in range(0, len(texts), 10_000):
+        part = texts[k : k + 10_000]
+        by_word = [x.ids for x in bpe.library(word).encode_batch(part, add_special_tokens=False)]
+        assert encode.encode_all(part) == [np.array(x, "<u4").tobytes() for x in by_word]
+        assert list(map(count.count, part)) == list(map(len, by_word))
+        assert list(map(prefix.encode, part)) == [np.array(x.ids, "<u4").tobytes() for x in bpe.library(byte).encode_batch(part, add_special_tokens=False)]
+
+
 def test_url_filters(spark):
     rules = [(h, p, v) for h, p, v in url_filters.RULES] + [("b.example.com", "/en/77", "block"), ("example.com", "/en/7", "block"), ("a.b.example.com", "", "allow")]
     hosts = ["example.com", "b.example.com", "x.b.example.com", "a.b.example.com", "notexample.com", "com", "Example.NET", "example.org:80", ""]
@@ -289,6 +327,31 @@ def test_jaccard_components(docs, nothing, size, percent):
     assert jaccard_join.jaccard_components(nothing).count() == 0
 
 
+def test_many_unlinked_copies_of_one_template(spark):
+    """500 texts with the same words but for their own 12 of 100, and ten that are near to one of them each."""
+    r = random.Random(12)
+    template = [f"t{k}" for k in range(100)]
+    own = []
+    for k in range(500):
+        w = template[:]
+        for j in r.sample(range(100), 12):
+            w[j] = f"u{k}x{j}"
+        own.append(w)
+    rows = [*own, *([*w[:-1], "end"] for w in own[::50])]
+    sets = [frozenset(zip(w, w[1:], w[2:], w[3:])) for w in rows]
+    near = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    comp = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if near(sets[a], sets[b]):
+                old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
+                comp = [new if c == old else c for c in comp]
+    assert len(set(comp)) <= 501 and len(set(comp)) > 400
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.jaccard_components(table, 4, 85).collect()}
+    assert got == dict(enumerate(comp))
+
+
 def test_sketch_distance_never_exceeds_difference():
     import pyarrow as pa
 
