@@ -69,11 +69,12 @@ def best_fit_packing(pieces: DataFrame, capacity: int, nearly_full: float = 0.99
     """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset added.
 
     Round 1 deals the pieces into groups of about group_items and packs each group by best fit. Bins filled to
-    nearly_full leave at once; the others become the items of the next round, in fewer groups, until one group is left
-    or merging stops paying (fewer than one bin in fifty saved), and then all that is left is emitted as it is. An item
-    carries its members (at most capacity of them), so a group stays bounded and nothing has to be looked up later.
-    Groups are numbered by hash; repeated rows and null ids are items like any other, an empty table packs to nothing.
-    sequence_id is unique per sequence: round, group and bin.
+    nearly_full leave at once, and so do those that could not take even the least filled one of any group. The others
+    become the items of the next round, in fewer groups, until one group is left. Best fit leaves one bin at most in a
+    group that is half empty or more; where the items do not get fewer by half, only those few go on, so the tree ends
+    at one group for any input. An item carries its members (at most capacity of them), so a group stays bounded and
+    nothing has to be looked up later. Groups are numbered by hash; repeated rows and null ids are items like any
+    other, an empty table packs to nothing. sequence_id is unique per sequence: round, group and bin.
     """
     spark = pieces.sparkSession
     full = int(capacity * nearly_full)
@@ -85,6 +86,7 @@ def best_fit_packing(pieces: DataFrame, capacity: int, nearly_full: float = 0.99
             sizes = items["fill"].tolist()
             bins = best_fit(sizes, capacity)
             out = {c: [np.concatenate([v[i] for i in b]) for b in bins] for c, v in columns.items()}
+            out["offsets"] = [np.cumsum(x) - x for x in out["lengths"]]
             return pd.DataFrame({"fill": [sum(sizes[i] for i in b) for b in bins], **out, "sequence_id": [(level << 56) + (int(key[0]) << 24) + k for k in range(len(bins))]})
 
         return run
@@ -95,33 +97,40 @@ def best_fit_packing(pieces: DataFrame, capacity: int, nearly_full: float = 0.99
     done: list[DataFrame] = []
     level = 0
     while left:
-        groups = max(1, -(-left // group_items))
+        groups = -(-left // group_items)
         deal = F.pmod(F.xxhash64(F.lit(level), F.element_at("doc_ids", 1), F.element_at("pieces", 1)), F.lit(groups))
-        packed = materialize(items.withColumn("g", deal).groupBy("g").applyInPandas(pack(level), f"{BINS}, sequence_id long"))
-        bins = packed.count()
-        # In round 1 nearly every piece finds company; later a round must save bins to be worth another.
-        last = groups == 1 or (level and bins > 0.98 * left)
-        done.append(packed if last else packed.where(F.col("fill") >= full))
-        if last:
+        packed = materialize(items.withColumn("g", deal).groupBy("g").applyInPandas(pack(level), f"{BINS}, offsets array<long>, sequence_id long"))
+        if groups == 1:
+            done.append(packed)
             break
-        items = packed.where(F.col("fill") < full).drop("sequence_id")
-        left = items.count()
+        least = packed.agg(F.min("fill")).first()[0]
+        most = min(full - 1, capacity - least)
+        left = packed.where(F.col("fill") <= most).count()
+        if 2 * -(-left // group_items) > groups:
+            most = min(most, capacity // 2)
+            left = packed.where(F.col("fill") <= most).count()
+        done.append(packed.where(F.col("fill") > most))
+        items = packed.where(F.col("fill") <= most).drop("offsets", "sequence_id")
         level += 1
     if not done:
         return spark.createDataFrame([], PIECES + ", sequence_id long, offset long")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    offsets = F.expr("transform(sequence(1, size(lengths)), i -> aggregate(slice(lengths, 1, i - 1), 0L, (a, x) -> a + x))")
-    members = F.explode(F.arrays_zip("doc_ids", "pieces", "starts", "lengths", "crcs", offsets.alias("offsets")))
+    members = F.explode(F.arrays_zip("doc_ids", "pieces", "starts", "lengths", "crcs", "offsets"))
     return out.select("sequence_id", members.alias("m")).select(F.col("m.doc_ids").alias("doc_id"), F.col("m.pieces").alias("piece"), F.col("m.starts").alias("start"), F.col("m.lengths").alias("length"), F.col("m.crcs").alias("ids_crc32"), "sequence_id", F.col("m.offsets").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096) -> DataFrame:
+    """Every whole document's tokens and end id in sequences of at most capacity; see tokenized_pieces, best_fit_packing.
+
+    Columns are those of best_fit_packing; null texts are a single end id, other columns than id and text are not read.
+    """
     return best_fit_packing(tokenized_pieces(docs, vocabulary, capacity), capacity)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's query: all documents, sequences of 4096 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
