@@ -22,8 +22,8 @@ from emberlog.llm import blocks
 from emberlog.llm.common import drop_scratch, map_arrow, materialize, table
 from emberlog.llm.words import U64, WORD_BASE, Words, mix, run_hashes
 
-#: Bytes of a shingle hash that verification compares.
-WIDTH = 5
+#: Of a set's buckets, how many of the least are known where it meets others, to skip a pair that met before.
+FIRST = 16
 #: Most pairs (16 bytes each) that are broadcast to the table of hashes.
 BROADCAST_PAIRS = 1_000_000
 #: 64-bit words of the fixed sketch that pairs are tested with before verification.
@@ -128,10 +128,6 @@ def sketch_keys(sets: Shingles, chosen: np.ndarray, percent: int) -> tuple[np.nd
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def narrow(h: np.ndarray) -> bytes:
-    return np.sort(h >> U64(64 - 8 * WIDTH)).view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
-
-
 def fold_sketches(sets: Shingles) -> np.ndarray:
     """A parity sketch of FOLD words for each set: their Hamming distance never exceeds the symmetric difference."""
     bits = 64 * FOLD
@@ -140,12 +136,6 @@ def fold_sketches(sets: Shingles) -> np.ndarray:
     return np.packbits(odd).view(np.int64).reshape(-1, FOLD)
 
 
-def widen(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // WIDTH, 8), np.uint8)
-    out[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
-    return out.reshape(-1).view(np.uint64)
-
-
 def candidate_rows(docs: DataFrame, reps: DataFrame, size: int, percent: int, text_col: str, id_col: str) -> DataFrame:
     """Two kinds of rows: with part >= 0 packed (key, set) entries of sketch words that more than one set has, and with
     part -1 the shingle hashes of a set that has such a word. reps: block and doc_id of the set's representative."""
@@ -195,7 +185,7 @@ def candidate_rows(docs: DataFrame, reps: DataFrame, size: int, percent: int, te
             "sizes": pa.array([*blob(sizes[owner]), *[None] * len(with_word)], pa.binary()),
             "node": pa.array([*[None] * len(some), *low[with_word].view(np.int64)], pa.int64()),
             "sketch": pa.array([*[None] * len(some), *fold_sketches(sets)[with_word].tolist()], pa.list_(pa.int64())),
-            "hashes": pa.array([*[None] * len(some), *(narrow(sets.h[sets.begins[i] : sets.begins[i + 1]]) for i in with_word)], pa.binary()),
+            "hashes": pa.array([*[None] * len(some), *(sets.h[sets.begins[i] : sets.begins[i + 1]].tobytes() for i in with_word)], pa.binary()),
         })
 
     out = rows.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(finish, "part int, keys binary, sets binary, sizes binary, node long, sketch array<long>, hashes binary")
@@ -253,7 +243,7 @@ def verify(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             linked = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = widen(x), widen(y)
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_pydict({"member": batch.column("member"), "center": batch.column("center"), "linked": pa.array(linked, pa.bool_())})
@@ -300,7 +290,9 @@ def linked_components(met: DataFrame, sets: DataFrame, percent: int) -> DataFram
     a star round every bucket with more than one component picks a centre (another one each round), and every set of
     another component is compared with one centre of its buckets; copies of one text are soon all in one component.
     Then the remaining pairs across components are compared, all of them: no link between components is lost. At least
-    one of such a pair lies outside the bucket's commonest component, so only those meet the whole bucket.
+    one of such a pair lies outside the bucket's commonest component, so only those meet the whole bucket. Two sets
+    that share many words share many buckets; they are paired in the least of those they both know of (each knows its
+    FIRST least), and never skipped in the least that they have in common at all.
     """
     checked, comps, left_over = None, None, []
     sizes_fit = f"comp <> ccomp and least(n, cn) * 100 >= {percent} * greatest(n, cn)"
@@ -323,10 +315,13 @@ def linked_components(met: DataFrame, sets: DataFrame, percent: int) -> DataFram
             near = labelled.alias("h").join(other.alias("o"), met_here & F.expr(sizes_fit)).select("node", "n", "cnode", "cn").distinct()
             near = near.join(sketches, "node").join(sketches.select(F.col("node").alias("cnode"), F.col("sketch").alias("csketch")), "cnode").where(sketches_fit)
         else:
-            here = materialize(labelled.join(open_.select("bucket", "most"), "bucket").join(sketches, "node"))
-            other = here.where("comp <> most").select("bucket", F.col("node").alias("cnode"), F.col("n").alias("cn"), F.col("sketch").alias("csketch"), F.col("comp").alias("ccomp"))
+            still = materialize(labelled.join(open_.select("bucket", "most"), "bucket"))
+            firsts = still.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("bucket")), 1, FIRST).alias("firsts"))
+            here = materialize(still.join(firsts, "node").join(sketches, "node"))
+            other = here.where("comp <> most").select("bucket", F.col("node").alias("cnode"), F.col("n").alias("cn"), F.col("sketch").alias("csketch"), F.col("comp").alias("ccomp"), F.col("firsts").alias("cfirsts"))
             once = (F.col("comp") == F.col("most")) | (F.col("node") < F.col("cnode"))
-            near = here.alias("h").join(other.alias("o"), met_here & once & F.expr(f"{sizes_fit} and {sketches_fit}")).select("node", "cnode").distinct()
+            unmet = "coalesce(array_min(array_intersect(firsts, cfirsts)) >= h.bucket, true)"
+            near = here.alias("h").join(other.alias("o"), met_here & once & F.expr(f"{sizes_fit} and {sketches_fit} and {unmet}")).select("node", "cnode").distinct()
         pairs = near.select(F.col("node").alias("member"), F.col("cnode").alias("center"))
         if checked is not None:
             pairs = pairs.join(checked, (F.least("member", "center") == F.col("a")) & (F.greatest("member", "center") == F.col("b")), "left_anti")
