@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.text import redact
+from emberlog.functions.text import redact, redact_payload
 
 KEY = ["source", "source_id", "ts"]
 
@@ -16,7 +16,7 @@ def upsert_events(state: DataFrame, incoming: DataFrame, redacted: bool = True)
     Text and payload of a known event change only if the new text differs and is not empty; the newest of several
     incoming rows with one key counts. One full join on the key; write the years it touches by dynamic overwrite.
     """
-    rows = incoming.withColumn("text", redact(F.col("text"))) if redacted else incoming
+    rows = incoming.withColumns({"text": redact(F.col("text")), **({"payload": redact_payload(F.col("payload"))} if "payload" in incoming.columns else {})}) if redacted else incoming
     newest = rows.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in KEY]), F.struct("watermark_ts", "text")).alias("i"))
     old = state.select(*KEY, F.struct(*[c for c in state.columns if c not in KEY]).alias("s"))
     both = old.join(newest, KEY, "full")
@@ -88,8 +88,11 @@ def purge(doomed: DataFrame, events: DataFrame, segments: DataFrame, facts: Data
 
 
 def redaction_backfill(events: DataFrame) -> DataFrame:
-    """Events whose text a redaction changes, with the new text; nothing else is rewritten."""
-    return events.withColumn("redacted", redact(F.col("text"))).where(~F.col("redacted").eqNullSafe(F.col("text")))
+    """Events whose text or payload a redaction changes, with the new ones; nothing else is rewritten."""
+    payload = "payload" in events.columns
+    out = events.withColumns({"redacted": redact(F.col("text")), **({"redacted_payload": redact_payload(F.col("payload"))} if payload else {})})
+    changed = ~F.col("redacted").eqNullSafe(F.col("text"))
+    return out.where(changed | ~F.col("redacted_payload").eqNullSafe(F.col("payload")) if payload else changed)
 
 
 def gate_queue(segments: DataFrame, sources: DataFrame, threshold: float = 0.42, version: str = "1") -> DataFrame:

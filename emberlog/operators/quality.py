@@ -9,17 +9,17 @@ from emberlog.functions.times import seconds_between
 
 
 def freshness(events: DataFrame, key: str, ts: str, now: Column) -> DataFrame:
-    """key, last_day, active_days, longest_gap, days_silent, status.
+    """key, last_event, active_days, usual_gap_days, days_silent, status.
 
-    unknown under ten active days; dormant beyond a year of silence; silent beyond three days and twice the longest
-    gap between active days; else ok.
+    usual_gap_days: the longest gap between active days, null under ten of them. dormant beyond 365 days of silence;
+    else unknown without a usual gap; silent beyond three days and twice the usual gap; else ok.
     """
-    days = events.select(key, F.to_date(ts).alias("day")).distinct()
+    days = events.where(F.col(ts).isNotNull()).groupBy(key, F.to_date(ts).alias("day")).agg(F.max(ts).alias("at"))
     gap = F.datediff("day", F.lag("day").over(Window.partitionBy(key).orderBy("day")))
-    out = days.withColumn("gap", gap).groupBy(key).agg(F.max("day").alias("last_day"), F.count("*").alias("active_days"), F.coalesce(F.max("gap"), F.lit(0)).alias("longest_gap"))
-    out = out.withColumn("days_silent", F.datediff(F.to_date(now), "last_day"))
-    status = F.when(F.col("active_days") < 10, "unknown").when(F.col("days_silent") > 365, "dormant").when(F.col("days_silent") > F.greatest(F.lit(3), 2 * F.col("longest_gap")), "silent").otherwise("ok")
-    return out.withColumn("status", status)
+    out = days.withColumn("gap", gap).groupBy(key).agg(F.max("at").alias("last_event"), F.count("*").alias("active_days"), F.max("gap").alias("gap"))
+    out = out.withColumns({"silent": seconds_between(now, F.col("last_event")) / 86400, "usual_gap_days": F.when(F.col("active_days") >= 10, F.col("gap")).cast("long")})
+    status = F.when(F.col("silent") > 365, "dormant").when(F.col("usual_gap_days").isNull(), "unknown").when(F.col("silent") > F.greatest(F.lit(3), 2 * F.col("usual_gap_days")), "silent").otherwise("ok")
+    return out.select(key, "last_event", "active_days", "usual_gap_days", F.round("silent", 1).alias("days_silent"), status.alias("status"))
 
 
 def doctor_checks(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

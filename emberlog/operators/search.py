@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from datetime import datetime
+from math import log
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlog.functions.text import lexemes, tokens
+from emberlog.functions.text import let, lexemes, tokens, unaccent
 from emberlog.functions.times import bin_start, recency_factor
 from emberlog.functions.vectors import cosine_distance
 
@@ -28,7 +29,7 @@ def restrict(segments: DataFrame, date_from: datetime | None = None, date_to: da
 
 
 def postings(segments: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """lexeme, id: the table to keep, bucketed by lexeme, where many questions are asked of one archive."""
+    """lexeme, id: one row for each distinct lexeme of a segment."""
     return segments.select(F.explode(lexemes(F.col(text_col))).alias("lexeme"), F.col(id_col).alias("id"))
 
 
@@ -36,6 +37,30 @@ def lexeme_df(segments: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return postings(segments, id_col, text_col).groupBy("lexeme").agg(F.count("*").alias("df"))
 
 
+def keep_index(segments: DataFrame, name: str, id_col: str = "segment_id", text_col: str = "raw_text", buckets: int = 64) -> None:
+    """Write what questions need, once for each state of the archive: name_postings (lexeme, id), bucketed and sorted
+    by lexeme, and name_df (lexeme, df), of which the row with the null lexeme holds the number of segments. A question
+    then reads the buckets of its own terms only."""
+    postings(segments, id_col, text_col).write.mode("overwrite").bucketBy(buckets, "lexeme").sortBy("lexeme").saveAsTable(f"{name}_postings")
+    spark = segments.sparkSession
+    counts = spark.table(f"{name}_postings").groupBy("lexeme").agg(F.count("*").alias("df"))
+    counts.unionByName(segments.agg(F.lit(None).cast("string").alias("lexeme"), F.count("*").alias("df"))).write.mode("overwrite").bucketBy(buckets, "lexeme").sortBy("lexeme").saveAsTable(f"{name}_df")
+
+
+def question_terms(spark: SparkSession, question: str) -> list[str]:
+    """The distinct tokens of a question, by the same analyzer as the texts'."""
+    return list(dict.fromkeys(spark.range(1).select(tokens(F.lit(question))).first()[0] or []))
+
+
+def matches(segments: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
+    """lexeme, id of the given terms only: whole words looked up in each text, without cutting it into words."""
+    clean = F.lower(unaccent(F.col(text_col)))
+    edge = r"[\p{L}\p{N}_]"
+    found = lambda t, c: F.when(F.contains(c, F.lit(t)) & c.rlike(f"(?<!{edge})\\Q{t}\\E(?!{edge})"), F.lit(t))
+    hits = let(clean, lambda c: F.array_compact(F.array(*[found(t, c) for t in terms]) if terms else F.array().cast("array<string>")))
+    return segments.select(F.explode(hits).alias("lexeme"), F.col(id_col).alias("id"))
+
+
 def kept_terms(question: str, df: DataFrame, n: int, unknown_as_rare: bool = False) -> DataFrame:
     """lexeme, idf of the question's terms that fewer than 5 % of the segments hold; bounded by the question."""
     terms = df.sparkSession.range(1).select(F.explode(F.array_distinct(tokens(F.lit(question)))).alias("lexeme"))
@@ -71,16 +96,31 @@ def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 60) -> DataFrame:
     return every.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
 
 
-def hybrid_search(segments: DataFrame, question: str, vector: list[float] | None, n_candidates: int = 100, n_final: int = 20, rrf_k: int = 60, id_col: str = "segment_id", text_col: str = "raw_text", enrich_col: str | None = None, df: DataFrame | None = None, n: int | None = None) -> DataFrame:
+def hybrid_search(segments: DataFrame, question: str, vector: list[float] | None, n_candidates: int = 100, n_final: int = 20, rrf_k: int = 60, id_col: str = "segment_id", text_col: str = "raw_text", enrich_col: str | None = None, df: DataFrame | None = None, n: int | None = None, index: str | None = None) -> DataFrame:
     """id, score, dense_rank, lex_rank of the n_final best by fused ranks. Without frequencies it is dense only, and
-    without a vector lexical only; never a recency prior."""
-    n = n if n is not None else segments.count()
-    df = df if df is not None else lexeme_df(segments, id_col, text_col)
-    branches = [lexical_topk(postings(segments, id_col, text_col), kept_terms(question, df, n), n_candidates).select("id", F.lit(None).cast("long").alias("dense_rank"), "lex_rank", F.col("lex_rank").alias("rank"))]
+    without a vector lexical only; never a recency prior.
+
+    index: the name of a kept index (keep_index); without one, texts are searched for the question's terms only, and
+    frequencies are counted for those. Terms and their frequencies are a handful of rows on the driver.
+    """
+    spark = segments.sparkSession
+    words = question_terms(spark, question)
+    if index is not None:
+        posts = spark.table(f"{index}_postings").where(F.col("lexeme").isin(words))
+        counted = spark.table(f"{index}_df").where(F.col("lexeme").isin(words) | F.col("lexeme").isNull()) if df is None else df.where(F.col("lexeme").isin(words))
+        freq = dict(counted.collect())
+        n = n if n is not None else freq.get(None, 0)
+    else:
+        posts = matches(segments, words, id_col, text_col)
+        freq = dict((df.where(F.col("lexeme").isin(words)) if df is not None else posts.groupBy("lexeme").agg(F.count("*").alias("df"))).collect())
+        n = n if n is not None else segments.count()
+    idf = lambda counts: spark.createDataFrame([(t, log(n / c)) for t, c in counts.items() if t is not None and c < RARE * n], "lexeme string, idf double")
+    known = {t: freq[t] for t in words if t in freq}
+    branches = [lexical_topk(posts, idf(known), n_candidates).select("id", F.lit(None).cast("long").alias("dense_rank"), "lex_rank", F.col("lex_rank").alias("rank"))]
     if vector is not None:
         branches.append(dense_topk(segments, id_col, vector, n_candidates).select("id", "dense_rank", F.lit(None).cast("long").alias("lex_rank"), F.col("dense_rank").alias("rank")))
     if enrich_col is not None:
-        extra = lexical_topk(postings(segments, id_col, enrich_col), kept_terms(question, df, n, unknown_as_rare=True), n_candidates)
+        extra = lexical_topk(matches(segments, words, id_col, enrich_col), idf({t: max(1, freq.get(t, 1)) for t in words}), n_candidates)
         branches.append(extra.select("id", F.lit(None).cast("long").alias("dense_rank"), F.lit(None).cast("long").alias("lex_rank"), F.col("lex_rank").alias("rank")))
     every = branches[0]
     for more in branches[1:]:

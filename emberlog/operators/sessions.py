@@ -17,6 +17,23 @@ def gap_sessions(rows: DataFrame, keys: list[str], ts: str, gap_seconds: float,
     return rows.withColumn("_new", new.cast("int")).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def timeline_sessions(rows: DataFrame, ts: str, gap_seconds: float, order: list[str] | None = None) -> DataFrame:
+    """rows with session_start: the sessions of one timeline without keys, worked on by day.
+
+    Only one row a day goes through the order of all days: the day's first and last instant, and its last start.
+    """
+    w = Window.partitionBy("_day").orderBy(ts, *(order or []))
+    days = Window.orderBy("_day")  # a row a day
+    dated = rows.withColumn("_day", F.to_date(ts))
+    ends = dated.groupBy("_day").agg(F.max(ts).alias("_last")).select("_day", F.lag("_last").over(days).alias("_before"))
+    held = dated.join(ends, "_day")
+    new = F.coalesce(seconds_between(F.col(ts), F.coalesce(F.lag(ts).over(w), F.col("_before"))) > gap_seconds, F.lit(True))
+    held = held.withColumn("_start", F.when(new, F.col(ts)))
+    starts = held.groupBy("_day").agg(F.max("_start").alias("_s")).select("_day", F.last("_s", ignorenulls=True).over(days.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    own = F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return held.join(starts, "_day").withColumn("session_start", F.coalesce(own, F.col("_carried"))).drop("_day", "_before", "_start", "_carried")
+
+
 def summarise_sessions(sessions: DataFrame, keys: list[str], ts: str, *more: Column) -> DataFrame:
     span = seconds_between(F.max(ts), F.min(ts))
     return sessions.groupBy(*keys, "session").agg(F.min(ts).alias("started_at"), F.max(ts).alias("ended_at"), F.count("*").alias("n"), F.greatest(F.lit(1), F.floor(span / 60)).cast("long").alias("minutes"), *more)

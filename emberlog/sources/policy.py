@@ -4,24 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Source, density, tier (1 core, 2 useful, 3 optional), bank (None: never enriched or promoted).
+# Source, density, tier (1 core, 2 behaviour, 3 artifact, 4 ambient), bank (None: never promoted).
 POLICIES = [
-    ("telegram", "narrative", 1, "personal"), ("wakapi", "telemetry", 1, "projects"), ("dawarich", "telemetry", 1, "personal"),
-    ("firefly", "discrete", 1, "personal"), ("immich", "telemetry", 1, "personal"), ("nytka", "narrative", 1, None),
-    ("calendar", "discrete", 1, "personal"), ("gmail", "narrative", 2, "personal"), ("github", "discrete", 2, "projects"),
-    ("forgejo", "discrete", 2, "projects"), ("karakeep", "discrete", 2, "personal"), ("paperless", "discrete", 2, "personal"),
-    ("owntracks", "telemetry", 2, "personal"), ("lastfm", "telemetry", 3, "personal"), ("miniflux", "ambient", 3, None),
-    ("jira", "discrete", 2, "projects"), ("slack", "narrative", 2, "projects"), ("notion", "discrete", 2, "projects"), ("linkedin", "discrete", 3, "personal"),
-]
+    ("telegram", "narrative", 1, "personal"),
+    ("wakapi", "telemetry", 1, "projects"),
+    ("dawarich", "telemetry", 1, "personal"),
+    ("calendar", "discrete", 1, "personal"),
+    ("firefly", "discrete", 2, "finance"),
+    ("lastfm", "telemetry", 2, "personal"),
+    ("forgejo", "narrative", 2, "projects"),
+    ("jira", "discrete", 2, "employer"),
+    ("immich", "telemetry", 3, "personal"),
+    ("paperless", "discrete", 3, "personal"),
+    ("gmail", "narrative", 3, "personal"),
+    ("notion", "narrative", 3, "learning"),
+    ("karakeep", "discrete", 3, "learning"),
+    ("github", "narrative", 3, "projects"),
+    ("linkedin", "discrete", 3, "social"),
+    ("slack", "narrative", 3, "employer"),
+    ("miniflux", "ambient", 4, None),
+    ("nytka", "narrative", 4, None),
+    ("owntracks", "telemetry", 4, None),
+]
 #: Two readers of one thing: use one of each pair.
-CONFLICTS = [("dawarich", "owntracks"), ("forgejo", "github")]
+CONFLICTS = [("dawarich", "owntracks")]
 
 
 def policies(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(POLICIES, "source string, density string, tier int, bank string")
 
 
-def enabled(spark: SparkSession, max_tier: int) -> DataFrame:
+def enabled(spark: SparkSession, max_tier: int = 1) -> DataFrame:
     return policies(spark).where(f"tier <= {int(max_tier)}")
 
 

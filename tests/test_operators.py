@@ -59,19 +59,50 @@ def test_islands_equal_one_sweep(spark):
     assert {t: [v[k] for k in range(len(v))] for t, v in got.items()} == want
 
 
-def test_fitted_gap_finds_the_valley():
+def test_fitted_gaps(spark):
     r = random.Random(2)
-    at, stamps = 0.0, []
+    rows, at = [], 0.0
     for _ in range(300):
         for _ in range(r.randint(2, 25)):
             at += r.uniform(5, 180)
-            stamps.append(at)
+            rows.append(("two peaks", at))
         at += r.choice([1, 2, 8, 24]) * 3600
-    import numpy as np
-
-    gap, how = segments.fitted_gap(np.array(stamps))
-    assert how == "valley" and 180 < gap < 3600
-    assert segments.fitted_gap(np.arange(5.0)) == (1800, "default")
+    rows += [("one gap", 700.0 * k) for k in range(200)] + [("few", float(k)) for k in range(5)] + [("same instant", 5.0)] * 150 + [(None, 40.0 * k * k) for k in range(150)]
+    table = spark.createDataFrame(rows, "thread string, s double").withColumn("ts", F.timestamp_seconds("s"))
+    got = {x["thread"]: x for x in segments.fit_gaps(table, "thread", "ts").collect()}
+    assert got["two peaks"]["method"] == "valley" and 600 <= got["two peaks"]["gap_seconds"] < 3600
+    assert tuple(got["one gap"])[1:] == (700, "p90", 199)
+    assert tuple(got["few"])[1:] == (1800, "default", 5) and tuple(got["same instant"])[1:] == (1800, "default", 0)
+    assert segments.fit_gaps(table.where("false"), "thread", "ts").count() == 0
+
+
+def test_voice_and_images_count_for_the_cap(spark):
+    rows = [("s", str(k), T0 + timedelta(minutes=k), "me", None, "w" * 300 if k % 2 else None, "i" * 300 if not k % 2 else None, None, "t") for k in range(8)]
+    table = spark.createDataFrame(rows, "source string, source_id string, ts timestamp, actor string, text string, transcript string, ocr_text string, reply_to string, thread_key string")
+    got = {x["source_id"]: x["segment"] for x in segments.segment_threads(table).collect()}
+    assert [got[str(k)] for k in range(8)] == [0, 0, 0, 1, 1, 1, 1, 1]  # the last two are too few to stand alone
+
+
+def test_long_threads_cross_batches(spark):
+    """More rows of one thread than an Arrow batch holds, against one sweep."""
+    r = random.Random(7)
+    at, minutes, reply = 0.0, [], {}
+    for k in range(1200):
+        at += r.choice([0.5, 3, 20, 40, 130])
+        minutes.append(at)
+        if k and r.random() < 0.3:
+            reply[k] = f"{r.randrange(max(0, k - 20), k):05}"
+    rows = [("s", f"{k:05}", T0 + timedelta(minutes=m), "me", "some words here", reply.get(k), "t") for k, m in enumerate(minutes)]
+    parts = segments.cut([(m * 60, len("me: some words here"), int(reply[k]) if k in reply else -1, k) for k, m in enumerate(minutes)], 1800)
+    n = max(parts) + 1
+    of = lambda f, p: f(minutes[k] * 60 for k in range(len(minutes)) if parts[k] == p)
+    final = segments.merge_runts([parts.count(p) for p in range(n)], [of(min, p) for p in range(n)], [of(max, p) for p in range(n)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {x["source_id"]: x["segment"] for x in segments.segment_threads(spark.createDataFrame(rows, SCHEMA)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [got[f"{k:05}"] for k in range(1200)] == [final[p] for p in parts]
 
 
 def test_cluster_stays_by_brute_force(spark):
