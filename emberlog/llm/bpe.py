@@ -144,21 +144,30 @@ def merged_length(ids: list[int], rank_of: dict[int, int], merged: list[int]) ->
     return left
 
 
-class WordCounter:
-    """Token counts of whole texts for a vocabulary with word ends. Chunks are what ASCII white space separates."""
+class Words:
+    """Whole texts by their words, for a vocabulary with word ends. Chunks are what ASCII white space separates; each
+    distinct chunk and word is worked on once."""
 
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
-        own = library(path)
-        self.normalize, self.split = own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str
-        self.words = Cached(lambda word: merged_length(self.vocab.symbols(word), self.vocab.merge, self.vocab.merged), 1_000_000)
-        self.counts = Cached(lambda chunk: sum(map(self.words.__getitem__, self.words_of(chunk.decode()))))
+        self.library = library(path)
+        self.normalize, self.split = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
 
-    def words_of(self, chunk: str) -> list[str]:
+    def words_of(self, chunk: bytes) -> list[str]:
         """In the byte alphabet, where printable ASCII stands for itself."""
-        if chunk.isascii() and chunk.isprintable():
-            return ASCII_WORDS.findall(chunk.lower())
-        return [word for word, _ in self.split(self.normalize(chunk))]
+        text = chunk.decode()
+        if text.isascii() and text.isprintable():
+            return ASCII_WORDS.findall(text.lower())
+        return [word for word, _ in self.split(self.normalize(text))]
+
+
+class WordCounter(Words):
+    """Token counts of whole texts."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.words = Cached(lambda word: merged_length(self.vocab.symbols(word), self.vocab.merge, self.vocab.merged), 1_000_000)
+        self.counts = Cached(lambda chunk: sum(map(self.words.__getitem__, self.words_of(chunk))))
 
     def count(self, text: str) -> int:
         if "<|" not in text:
@@ -167,31 +176,21 @@ class WordCounter:
         return len(parts) // 2 + sum(sum(map(self.counts.__getitem__, p.encode().split())) for p in parts[::2])
 
 
-class WordEncoder:
-    """Ids of whole texts, little-endian unsigned 32-bit, by the tokenizers library: it sees each distinct chunk once."""
+class WordEncoder(Words):
+    """Ids of whole texts, little-endian unsigned 32-bit; the library's model turns each distinct word into ids."""
 
     def __init__(self, path: str):
-        self.vocab = vocabulary(path)
-        self.library = library(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """Encode unknown chunks, each as a text of its own."""
-        if len(self.known) + len(chunks) > 2 * CACHE_ENTRIES:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        for k in range(0, len(new), 2000):
-            some = new[k : k + 2000]
-            for chunk, got in zip(some, self.library.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
-                self.known[chunk] = array("I", got.ids).tobytes()
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """One slice of texts at a time: its chunks are all known before the first text is put together."""
-        parts = [pieces_between_specials(self.vocab, t) if "<|" in t else [t] for t in texts]
-        chunked = [[self.vocab.specials[p] if k % 2 else p.encode().split() for k, p in enumerate(pp)] for pp in parts]
-        self.learn({c for cc in chunked for k, chunks in enumerate(cc) if k % 2 == 0 for c in chunks})
-        known = self.known.__getitem__
-        return [b"".join(x.to_bytes(4, "little") if isinstance(x, int) else b"".join(map(known, x)) for x in cc) for cc in chunked]
+        super().__init__(path)
+        model = self.library.model.tokenize
+        self.words = Cached(lambda word: array("I", [t.id for t in model(word)]).tobytes())
+        self.chunks = Cached(lambda chunk: b"".join(map(self.words.__getitem__, self.words_of(chunk))))
+
+    def encode(self, text: str) -> bytes:
+        chunks = self.chunks.__getitem__
+        if "<|" not in text:
+            return b"".join(map(chunks, text.encode().split()))
+        specials = self.vocab.specials
+        return b"".join(specials[p].to_bytes(4, "little") if k % 2 else b"".join(map(chunks, p.encode().split())) for k, p in enumerate(pieces_between_specials(self.vocab, text)))
 
 
 class PrefixEncoder:

@@ -33,7 +33,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: in
     def cut(batch: pa.RecordBatch) -> dict:
         end = end_id.to_bytes(4, "little")
         owner, piece, start, length, crc = [], [], [], [], []
-        for doc, raw in zip(batch.column("doc_id").to_pylist(), encoder(vocabulary).encode_all(batch.column("text").to_pylist()), strict=True):
+        for doc, raw in zip(batch.column("doc_id").to_pylist(), map(encoder(vocabulary).encode, batch.column("text").to_pylist()), strict=True):
             raw += end
             for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                 own = raw[at : at + 4 * capacity]

@@ -135,7 +135,7 @@ def test_tokens_of_any_code_point_are_the_librarys():
     for k in range(0, len(texts), 10_000):
         part = texts[k : k + 10_000]
         by_word = [x.ids for x in bpe.library(word).encode_batch(part, add_special_tokens=False)]
-        assert encode.encode_all(part) == [np.array(x, "<u4").tobytes() for x in by_word]
+        assert list(map(encode.encode, part)) == [np.array(x, "<u4").tobytes() for x in by_word]
         assert list(map(count.count, part)) == list(map(len, by_word))
         assert list(map(prefix.encode, part)) == [np.array(x.ids, "<u4").tobytes() for x in bpe.library(byte).encode_batch(part, add_special_tokens=False)]
 
@@ -219,6 +219,63 @@ def test_mcd_resists_a_cluster_of_outliers(spark):
     assert np.allclose([fit[f"m{i}"] for i in range(4)], clean.mean(0), atol=0.02)
 
 
+def test_quality_verdicts_by_brute_force(spark):
+    """The estimate, the distances and the verdicts again, a document at a time, with a small language and a null one."""
+    r = random.Random(21)
+    word = lambda a, b: "".join(r.choice("abcdefgh") for _ in range(r.randint(a, b)))
+
+    def text(k):
+        lines = [" ".join(word(2, 7 + k % 3) + (r.choice("*|") if r.random() < (0.02 if k % 11 else 0.5) else "") for _ in range(r.randint(8, 20))) for _ in range(r.randint(6, 14))]
+        return "\n".join(lines + lines[: k % 5 if k % 13 == 0 else 0])
+
+    rows = [(k, text(k), "en" if k % 3 else "de" if k % 9 else None, "s" if k % 2 else "t") for k in range(700)] + [(900, "too short", "en", "s"), (None, None, None, None)]
+    got = {x["doc_id"]: x for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    P, B, F4 = quality.P, quality.BIN, quality.FEATURES
+    stats = {i: got[i] for i, *_ in rows if not got[i]["base_failed"]}
+    x = {i: [math.log(s["word_chars"] / s["n_words"]), math.sqrt(s["n_symbols"] / s["word_chars"]), math.sqrt(s["n_dup_lines"] / sum(1 for z in (rows[i][1]).split("\n") if z.strip())), math.sqrt(s["n_repeat_words"] / s["n_words"])] for i, s in stats.items()}
+    assert all(abs(a - stats[i][f]) < 1e-9 for i in x for a, f in zip(x[i], F4, strict=True))
+
+    def quantile(values, share):
+        return (sorted(math.floor(v / B) for v in values)[math.ceil(len(values) * share) - 1] + 1) * B
+
+    def distance(v, m, cov, one_sided=False):
+        d = np.array(v) - m
+        if one_sided:
+            d[1:] = np.maximum(d[1:], 0)
+        y = np.linalg.solve(np.linalg.cholesky(cov), d)
+        return float(y @ y)
+
+    def estimate(ids):
+        mid = [quantile([x[i][k] for i in ids], 0.5) for k in range(P)]
+        mad = [quantile([abs((math.floor(x[i][k] / B) + 0.5) * B - mid[k]) for i in ids], 0.5) for k in range(P)]
+        m, cov = np.array(mid), np.diag([(v * 1.4826) ** 2 + quality.RIDGE[k] for k, v in enumerate(mad)])
+        for step in range(quality.STEPS):
+            d = {i: math.log1p(distance(x[i], m, cov)) for i in ids}
+            edge = quantile(list(d.values()), quality.SHARE)
+            near = np.array([x[i] for i in ids if d[i] <= edge])
+            m = near.mean(0)
+            cov = (near.T @ near / len(near) - np.outer(m, m)) * (quality.CONSISTENT if step == quality.STEPS - 1 else 1.0) + np.diag(quality.RIDGE)
+        return m, cov
+
+    of = {i: (rows[i][2] or "", rows[i][3]) for i in x}
+    fits = {}
+    for i in x:
+        for level in (("s", *of[i]), ("l", of[i][0]), ("a",)):
+            ids = [j for j in x if level[0] == "a" or of[j][0] == of[i][0] and (level[0] == "l" or of[j] == of[i])]
+            if len(ids) >= quality.MIN_GROUP or level[0] == "a":
+                break
+        if level not in fits:
+            fits[level] = estimate(ids)
+        m, cov = fits[level]
+        lines = sum(1 for z in rows[i][1].split("\n") if z.strip())
+        sizes = [stats[i]["n_words"], stats[i]["word_chars"], lines, stats[i]["n_words"]]
+        want = distance(x[i], m, cov + np.diag([a / n for (a, _), n in zip(quality.NOISE, sizes, strict=True)]), True)
+        assert abs(got[i]["distance"] - want) < 1e-6 * max(1, want)
+        assert got[i]["kept"] == (want <= quality.CUTOFF)
+    assert len(fits) >= 3 and 20 < sum(not got[i]["kept"] for i in x) < 150
+    assert not got[900]["kept"] and not got[None]["kept"]
+
+
 def test_line_dedup(docs, nothing):
     seen, want = set(), []
     order = sorted(ROWS, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
