@@ -8,7 +8,6 @@ metric, on the side where text is worse, are rejected. Everything is DataFrame e
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,19 +76,25 @@ def features(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"f_word_length": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1))), "f_symbols": share("n_symbols", "word_chars"), "f_dup_lines": share("n_dup_lines", "n_lines"), "f_repeats": share("n_repeat_words", "n_words")})
 
 
-def binned_quantile(rows: DataFrame, keys: list[str], value: Column, share: float, name: str) -> DataFrame:
-    """keys and name: the upper edge of the bin in which the share of each group's values is reached."""
-    counts = rows.groupBy(*keys, F.floor(value / BIN).alias("bin")).agg(F.count("*").alias("n"))
+def weighted_quantile(counts: DataFrame, keys: list[str], share: float, name: str) -> DataFrame:
+    """keys and name: the upper edge of the bin (keys, bin, n) in which the share of each group's values is reached."""
     w = Window.partitionBy(*keys)
     upto = counts.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
     return upto.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg(((F.min("bin") + 1) * BIN).alias(name))
 
 
-def squared_distance(rows: DataFrame) -> Column:
-    """From the joined columns m0.. (centre) and c00.. (lower triangle of the Cholesky factor)."""
+def binned_quantile(rows: DataFrame, keys: list[str], value: Column, share: float, name: str) -> DataFrame:
+    """keys and name: the quantile of value by group, exact to BIN."""
+    return weighted_quantile(rows.groupBy(*keys, F.floor(value / BIN).alias("bin")).agg(F.count("*").alias("n")), keys, share, name)
+
+
+def squared_distance(rows: DataFrame, one_sided: bool = False) -> tuple[DataFrame, Column]:
+    """From the joined columns m0.. (centre) and c00.. (lower triangle of the Cholesky factor). one_sided: a share below
+    its centre counts as the centre, as fewer symbols, repeated lines or repeated words make no text worse."""
     y: list[Column] = []
     for i, f in enumerate(FEATURES):
         rest = F.col(f) - F.col(f"m{i}")
+        rest = F.greatest(rest, F.lit(0.0)) if one_sided and i else rest
         for j in range(i):
             rest = rest - F.col(f"c{i}{j}") * F.col(f"y{j}")
         rows = rows.withColumn(f"y{i}", rest / F.col(f"c{i}{i}"))
@@ -140,9 +145,12 @@ def mcd(rows: DataFrame) -> DataFrame:
     Starts from medians and a diagonal of median absolute deviations; each step keeps the SHARE of a group that is
     nearest under the present estimate and refits to it, which never raises the determinant.
     """
-    long = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f).alias("v")) for i, f in enumerate(FEATURES)])).alias("x")).select("grp", "x.k", "x.v")
-    median = binned_quantile(long, ["grp", "k"], F.col("v"), 0.5, "mid")
-    spread = binned_quantile(long.join(median, ["grp", "k"]), ["grp", "k"], F.abs(F.col("v") - F.col("mid")), 0.5, "mad")
+    # One pass over the rows: counts by group, feature and bin, pre-aggregated before the shuffle. The rest is bins.
+    binned = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.floor(F.col(f) / BIN).alias("bin")) for i, f in enumerate(FEATURES)])).alias("x")).groupBy("grp", "x.k", "x.bin").agg(F.count("*").alias("n"))
+    binned = materialize(binned)
+    median = weighted_quantile(binned, ["grp", "k"], 0.5, "mid")
+    away = binned.join(median, ["grp", "k"]).select("grp", "k", F.floor(F.abs((F.col("bin") + 0.5) * BIN - F.col("mid")) / BIN).alias("bin"), "n")
+    spread = weighted_quantile(away.groupBy("grp", "k", "bin").agg(F.sum("n").alias("n")), ["grp", "k"], 0.5, "mad")
     start = median.join(spread, ["grp", "k"]).groupBy("grp").agg(*[F.max(F.when(F.col("k") == i, F.col("mid"))).alias(f"m{i}") for i in range(P)], *[F.max(F.when(F.col("k") == i, F.pow(F.col("mad") * 1.4826, 2) + RIDGE[i])).alias(f"v{i}{i}") for i in range(P)])
     fit = materialize(cholesky(start.withColumns({f"v{i}{j}": F.lit(0.0) for i in range(P) for j in range(i)})))
     for step in range(STEPS):
@@ -159,7 +167,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A document without words fails the base rule, as do those under 50 words or with more than half of their words in
     repeated windows; they take no part in the fit. The rest are judged against their language and source (null counts
     as its own value), or their language, or all documents, whichever is the first with MIN_GROUP documents. Rejected:
-    distance beyond cutoff under the group's covariance widened by what chance gives a document of its size, with more symbols, repeated lines or repeated words than the centre, or odd word lengths.
+    one-sided distance (odd word lengths, more symbols, repeated lines or repeated words than the centre) beyond cutoff,
+    under the group's covariance widened by what chance gives a document of its size.
     Repeated rows are judged alike; an empty table gives an empty result; other columns are not read.
 
     The text is read once and no text is shuffled: what is grouped are four numbers a document. A hot source only adds
@@ -176,10 +185,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = passed.select("lang", "source").distinct().select("lang", "source", F.posexplode(F.array(*levels)).alias("k", "grp"))
     chosen = names.join(big, "grp").groupBy("lang", "source").agg(F.min_by("grp", "k").alias("grp"))
     fits = chosen.join(fit, "grp").drop("grp").withColumn("grp", F.concat_ws("\x01", "lang", "source")).drop("lang", "source")
-    judged, d2 = squared_distance(widened(stats.withColumn("grp", F.concat_ws("\x01", "lang", "source")).join(fits, "grp", "left")))
-    worse = (F.col("f_symbols") > F.col("m1") + 0.1) | (F.col("f_dup_lines") > F.col("m2") + 0.1) | (F.col("f_repeats") > F.col("m3") + 0.1) | (F.abs(F.col("f_word_length") - F.col("m0")) > log(1.4))
+    judged, d2 = squared_distance(widened(stats.withColumn("grp", F.concat_ws("\x01", "lang", "source")).join(fits, "grp", "left")), one_sided=True)
     distance = F.when(~F.col("base_failed"), d2)
-    kept = ~F.col("base_failed") & ~F.coalesce((distance > cutoff) & worse, F.lit(False))
+    kept = ~F.col("base_failed") & F.coalesce(distance <= cutoff, F.lit(True))
     return judged.select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), distance.alias("distance"), *FEATURES)
 
 
