@@ -24,9 +24,9 @@ SENT = "part int, block long, level int, keys binary, twice binary"
 MASKS = "block long, level int, part int, mask binary"
 
 
-def with_blocks(docs: DataFrame, text_col: str, carry: dict[str, str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def with_blocks(docs: DataFrame, text_col: str, carry: dict[str, str] | None = None, block_bytes: int = BLOCK_BYTES, least: int = LEAST_BLOCKS) -> DataFrame:
     """block, text (null: empty) and the carried columns ({new name: old name}), and no others."""
-    count = max(LEAST_BLOCKS, -(-total_bytes(docs, text_col) // block_bytes))
+    count = max(least, -(-total_bytes(docs, text_col) // block_bytes))
     text = F.coalesce(F.col(text_col), F.lit(""))
     carried = [F.col(old).alias(new) for new, old in (carry or {}).items()]
     salt = [F.col(old) for old in (carry or {}).values()]

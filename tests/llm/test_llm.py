@@ -449,12 +449,58 @@ def test_lm_scores(docs, nothing):
     c = collections.Counter(x for i, t in ROWS if not held(i) for x in [*words(t, True), "\n"])
     n, v = sum(c.values()), len(c)
     want = [(i, held(i), len(words(t)) + 1, sum(c[x] > 0 for x in [*words(t, True), "\n"]), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in [*words(t, True), "\n"]), 6)) for i, t in ROWS]
-    got = lm_scoring.lm_scores(docs, path, share=2).collect()
+    got = lm_scoring.lm_scores(docs, path).collect()
     assert bag((*r[:5], round(r["base_score"], 6)) for r in got) == bag(want)
-    assert all(r["score"] < 0 for r in got)
+    assert all(r["score"] < 0 and r["spelled"] < 0 for r in got)
+    again = lm_scoring.lm_scores(docs.repartition(7), path).collect()  # the same weights however tasks are dealt
+    assert bag((r["doc_id"], r["n_tokens"], round(r["score"], 5), round(r["spelled"], 5)) for r in again) == bag((r["doc_id"], r["n_tokens"], round(r["score"], 5), round(r["spelled"], 5)) for r in got)
     assert lm_scoring.lm_scores(nothing, path).count() == 0
 
 
+def test_lm_scores_loop_by_loop(spark, monkeypatch):
+    """The query's scores again, token by token and word by word, with the model that it fitted."""
+    path = vocabulary_path("byte_bpe_50k.json")
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["Some", "words", "other", "things", "ünseen" + str(r.randrange(99)), "z" * 70]) for _ in range(r.randrange(60))) for _ in range(40)] + [None, ""]
+    models = []
+    fit = lm_scoring.fitted
+    monkeypatch.setattr(lm_scoring, "fitted", lambda *a: models.append(fit(*a)) or models[-1])
+    got = {x["doc_id"]: x for x in lm_scoring.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    (model,) = models
+    w, cut = {k: x.astype(float) for k, x in model.w.items()}, lm_scoring.subwords(path).slow
+    W, R, E = lm_scoring.WIDTH, lm_scoring.RADIX, lm_scoring.END
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    c = collections.Counter(x for i, t in enumerate(texts) if not held(i) for x in [*words(t, True), None])
+    n, v = sum(c.values()), len(c)
+
+    def logprob(ids, k):
+        """Of ids[k], from the ids of its window before it."""
+        first = max(0, k // lm_scoring.FRESH * lm_scoring.FRESH - lm_scoring.CONTEXT)
+        base = k // lm_scoring.FRESH * lm_scoring.FRESH - lm_scoring.CONTEXT
+        before = lambda j: ids[j - 1] if j else E
+        x = [model.embed[before(j)].astype(float) + model.place[j - base] for j in range(first, k + 1)]
+        qkv = [y @ w["qkv"] for y in x]
+        s = np.exp([np.clip(qkv[-1][:W] @ y[W : 2 * W] * W**-0.5, -30, 30) for y in qkv])
+        z = x[-1] + sum(a * y[2 * W :] for a, y in zip(s / s.sum(), qkv, strict=True)) @ w["out"]
+        z = z / (1 + np.abs(z))
+        hi, lo = divmod(ids[k], R)
+        a = z @ w["high"] + model.prior_high[before(k)]
+        b = (z + w["given"][hi]) @ w["low"] + model.prior_low[before(k), hi]
+        return a[hi] - math.log(np.exp(a).sum()) + b[lo] - math.log(np.exp(b).sum())
+
+    for i, t in enumerate(texts):
+        own = words(t, True)
+        pieces = [cut(b" " + x.encode()) for x in own]
+        ids = [*(k for p in pieces for k in p), E]
+        each = [logprob(ids, k) for k in range(len(ids))]
+        assert abs(sum(each) / math.log(10) - got[i]["spelled"]) < 1e-3
+        score, at = 0.0, 0
+        for x, p in [*zip(own, pieces, strict=True), (None, [E])]:
+            score += math.log10((c[x] + v * math.exp(sum(each[at : at + len(p)]))) / (n + v))
+            at += len(p)
+        assert abs(score - got[i]["score"]) < 1e-3
+
+
 def test_lm_fit_reads_every_training_text_and_gains_on_the_prior(spark):
     path = vocabulary_path("byte_bpe_50k.json")
     r = random.Random(9)
@@ -463,16 +509,20 @@ def test_lm_fit_reads_every_training_text_and_gains_on_the_prior(spark):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     # Few distinct texts, none of them in the first classes of a fine hash.
     table = table.where(F.pmod(F.xxhash64("text"), F.lit(48)) > 2).cache()
-    train = table.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
-    prior = lm_scoring.Model(*map(lm_scoring.smoothed, lm_scoring.prior_counts(train, path)))
-    prior.w["high"][:] = 0
-    prior.w["low"][:] = 0
     rows = table.orderBy("doc_id").toArrow()
     _, _, tokens, begins = lm_scoring.token_stream(rows, path)
+    held = np.array([zlib.crc32(str(i).encode()) % 7 == 2 for i in rows.column("doc_id").to_pylist()])
+    low = np.zeros((lm_scoring.END + 1, lm_scoring.END + 1))
+    learned = np.repeat(~held, np.diff(begins))
+    np.add.at(low, (lm_scoring.previous(tokens, begins)[learned], tokens[learned]), 1)
+    low = low.reshape(-1, lm_scoring.RADIX, lm_scoring.RADIX)
+    prior = lm_scoring.Model(lm_scoring.smoothed(low.sum(2)), lm_scoring.smoothed(low))
+    prior.w["high"][:] = 0
+    prior.w["low"][:] = 0
     by_prior = dict(zip(rows.column("doc_id").to_pylist(), prior.score(tokens, begins) / math.log(10), strict=True))
     got = lm_scoring.lm_scores(table, path).collect()
     assert len(got) == rows.num_rows > 60
-    gain = {held: sum(x["score"] - by_prior[x["doc_id"]] for x in got if x["held_out"] == held) / sum(x["n_tokens"] for x in got if x["held_out"] == held) for held in (False, True)}
+    gain = {held: sum(x["spelled"] - by_prior[x["doc_id"]] for x in got if x["held_out"] == held) / sum(x["n_tokens"] for x in got if x["held_out"] == held) for held in (False, True)}
     assert min(gain.values()) > 0.02, gain
 
 
