@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,19 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or one of our own where none is set (local tests)."""
+    """Folder that all executors share: spark.checkpoint.dir. Where none is set, a local session, whose executors are
+    this machine, has one of its own; a cluster must name one, as its executors would each write to their own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return base or "file:///tmp/checkpoints/emberlog"
+    if base:
+        return base
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file:///tmp/checkpoints/emberlog"
 
 
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
+def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write df as a Parquet table on shared storage and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/emberlog-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,9 @@
 """Operator 9 [native]: canonical exact digests.
 
 A text is normalised (NFKC), case-folded and its white space folded; the fingerprint is 128 bits of xxhash over that.
-Inside a bucket of equal hashes the canonical bytes are compared through their SHA-256: texts that a hash collision
-put together get different fingerprints. Two fingerprints are alike (1.0) if equal and else not (0.0).
+Inside a bucket of equal hashes the canonical bytes are compared: each bucket of two and more keeps its least and its
+greatest text, and where these differ, texts that a hash collision put together get different fingerprints. Two
+fingerprints are alike (1.0) if equal and else not (0.0).
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.common import hex_of, materialize, table, total_bytes
 
-#: Text in one range of ids, about; ranges are sorted one by one and may spill.
-RANGE_BYTES = 4 << 20
+#: Text in one range of ids, about; ranges are sorted one by one and may spill. Beyond MOST_RANGES they get longer.
+RANGE_BYTES, MOST_RANGES = 4 << 20, 65_536
+#: Most keys of buckets of two and more (16 bytes each) that are broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def canonical(text: Column) -> Column:
@@ -28,40 +31,62 @@ def canonical(text: Column) -> Column:
 
 
 def wide_hash(canon: Column) -> Column:
-    return F.struct(F.xxhash64(canon).alias("low"), F.xxhash64(F.lit("wide"), canon).alias("high"), F.unhex(F.sha2(canon, 256)).alias("sha"))
+    return F.struct(F.xxhash64(canon).alias("low"), F.xxhash64(F.lit("wide"), canon).alias("high"))
 
 
-def document_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (null: empty) and digest (low, high, sha of the canonical text)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("digest", wide_hash(canonical(F.col("text"))))
+def digest(text: Column) -> Column:
+    """canon, low and high of a text, which is made canonical once."""
+    return F.element_at(F.transform(F.array(canonical(text)), lambda c: F.struct(c.alias("canon"), wide_hash(c).alias("key"))), 1)
 
 
-def colliding(digests: DataFrame) -> DataFrame:
-    """low, high, sha, place: buckets in which one hash stands for different bytes, numbered by sha. Nearly always empty.
+def colliding(texts: DataFrame) -> DataFrame | None:
+    """low, high, canon, place of texts whose bucket holds different bytes, numbered in order of their bytes; None, as
+    nearly always, if there is no such bucket.
 
-    digests: rows of low, high, sha. First pass: least and greatest sha of each bucket, pre-aggregated.
+    texts: rows of key and canon. Only the texts of buckets with two rows and more are moved, and of these a task sends
+    the least and the greatest of each bucket, so a text that a third of all documents share is two rows a task.
     """
-    mixed = digests.groupBy("low", "high").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a <> b").select("low", "high")
-    members = digests.join(mixed, ["low", "high"], "left_semi").distinct()
-    return members.withColumn("place", F.row_number().over(Window.partitionBy("low", "high").orderBy("sha")))
+    keys = texts.select("key.low", "key.high")
+    many = keys.groupBy("low", "high").count().where("count > 1").select("low", "high")
+    many = materialize(many)
+    flat = texts.select("key.low", "key.high", "canon")
+    shared = flat.join(F.broadcast(many) if many.count() <= BROADCAST_KEYS else many, ["low", "high"], "left_semi")
+    odd = shared.groupBy("low", "high").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).where("a <> b").select("low", "high")
+    odd = materialize(odd)
+    if not odd.head(1):
+        return None
+    members = flat.join(odd, ["low", "high"], "left_semi").distinct()
+    return materialize(members.withColumn("place", F.row_number().over(Window.partitionBy("low", "high").orderBy("canon"))))
 
 
 def fingerprint(row: Column, place: Column) -> Column:
     return F.concat(hex_of(row["low"], row["high"]), F.when(place > 1, F.concat(F.lit("-"), place)).otherwise(""))
 
 
+def named(rows: DataFrame, odd: DataFrame | None, key: str, canon: str, name: str) -> DataFrame:
+    """rows with the fingerprint of the columns key and canon."""
+    if odd is None:
+        return rows.withColumn(name, fingerprint(F.col(key), F.lit(1)))
+    marks = odd.select(F.struct("low", "high").alias(key), F.col("canon").alias(canon), "place")
+    return rows.join(marks, [key, canon], "left").withColumn(name, fingerprint(F.col(key), F.coalesce("place", F.lit(1)))).drop("place")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, fingerprint of every whole text. Null texts are empty; null ids and repeated rows stay."""
-    rows = materialize(document_digests(docs, id_col, text_col).select("doc_id", F.length("text").cast("long").alias("n_chars"), "digest.*"))
-    marked = rows.join(colliding(rows.select("low", "high", "sha")), ["low", "high", "sha"], "left")
-    return marked.select("doc_id", "n_chars", fingerprint({c: F.col(c) for c in ("low", "high")}, F.col("place")).alias("fingerprint"))
+    """doc_id, n_chars, fingerprint of every whole text. Null texts are empty; null ids and repeated rows stay; an empty
+    table gives an empty result; other columns are not read."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), digest(text).alias("d"))
+    rows = materialize(rows.select("doc_id", "n_chars", "d.key", "d.canon"), compression="zstd")
+    return named(rows, colliding(rows.select("key", "canon")), "key", "canon", "fingerprint").select("doc_id", "n_chars", "fingerprint")
 
 
-def bucket_of(bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most doc_id, by binary search; nulls come before all."""
+def bucket_of(bounds: list[int], ranges: int) -> Column:
+    """How many of the sorted bounds are at most doc_id, by binary search. Nulls come before all, in ranges of their own
+    by the text's hash (tie), from -1 down."""
+    unsigned = F.col("tie").cast("double") / 2.0**64 + 0.5
+    null = -1 - F.least(F.lit(ranges - 1), F.floor(unsigned * ranges)).cast("int")
     if not bounds:
-        return F.lit(0)
+        return F.when(F.col("doc_id").isNull(), null).otherwise(0)
     steps, reach = [], 1
     while reach <= len(bounds):
         steps.append(reach)
@@ -69,60 +94,64 @@ def bucket_of(bounds: list[int]) -> Column:
     array = F.lit(bounds)
     found = F.lit(0)
     step = lambda at, s: F.when((at + s <= len(bounds)) & (F.get(array, at + s - 1) <= F.col("doc_id")), at + s).otherwise(at)
-    return F.when(F.col("doc_id").isNull(), -1).otherwise(F.aggregate(F.array(*[F.lit(s) for s in reversed(steps)]), found, step))
+    return F.when(F.col("doc_id").isNull(), null).otherwise(F.aggregate(F.array(*[F.lit(s) for s in reversed(steps)]), found, step))
 
 
-def with_next(digested: DataFrame, ranges: int) -> DataFrame:
-    """Each row of (doc_id, text, digest) with next_text and next_digest: the row after it in descending doc_id, nulls
+def with_next(texts: DataFrame, ranges: int) -> DataFrame:
+    """Each row of (doc_id, text) with key, canon, next_text and next_key: the row after it in descending doc_id, nulls
     last, after the last the first. Rows of one id are ordered by their hash.
 
     Ids are cut into ranges at approximate quantiles. The first row of each range (a table of one row a range) is also
     given to the range before it, so that ranges can be worked on apart; texts are shuffled once.
     """
-    spark = digested.sparkSession
-    quantiles = digested.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else None
+    spark = texts.sparkSession
+    quantiles = texts.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else None
     bounds = sorted(set(quantiles or []))
-    ranged = digested.withColumns({"range": bucket_of(bounds).cast("int"), "tie": F.xxhash64("text")})
+    ranged = texts.withColumn("tie", F.xxhash64("text")).withColumn("range", bucket_of(bounds, ranges).cast("int"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    heads = ranged.groupBy("range").agg(F.max("doc_id").alias("doc_id")).collect()  # one id a range: at most ranges + 1
+    heads = ranged.groupBy("range").agg(F.max("doc_id").alias("doc_id")).collect()  # one id a range: twice the ranges at most
     heads = sorted(heads, key=lambda r: -r["range"])
     # Range r ends where the next lower one begins; the lowest ends where the highest begins.
     links = [(heads[(k + 1) % len(heads)]["range"], heads[(k + 1) % len(heads)]["doc_id"], heads[k]["range"]) for k in range(len(heads))]
     link = F.broadcast(spark.createDataFrame(links, "head_range int, head_id long, range int"))
     first = ranged.withColumnRenamed("range", "own").join(link, (F.col("own") == F.col("head_range")) & F.col("doc_id").eqNullSafe(F.col("head_id")))
     first = first.withColumn("rn", F.row_number().over(Window.partitionBy("range").orderBy("tie"))).where("rn = 1")
-    columns = ["range", "doc_id", "tie", "text", "digest"]
+    columns = ["range", "doc_id", "tie", "text"]
     rows = ranged.select(*columns, F.lit(0).alias("guest")).unionByName(first.select(*columns, F.lit(1).alias("guest")))
     w = Window.partitionBy("range").orderBy("guest", *order)
-    out = rows.withColumns({"next_text": F.lead("text").over(w), "next_digest": F.lead("digest").over(w)})
+    # Dealt out first, so that a text is made canonical once and its canonical form does not travel.
+    rows = rows.repartition("range").withColumn("d", digest(F.col("text"))).select("*", "d.key", "d.canon").drop("d")
+    out = rows.withColumns({"next_text": F.lead("text").over(w), "next_key": F.lead("key").over(w)})
     return out.where("guest = 0")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every whole text, of its edited text and of the next document's.
+    """Fingerprints of every whole text and of its edited text, and their likeness to those and to the next document's.
 
     Edited text: the last third (rounded down) of the code points replaced by as many first ones (or all) of the next
     document in descending doc_id. An only document is its own next. Null texts are empty, null ids come last and
-    repeated rows each get a row; an empty table gives an empty result.
+    repeated rows each get a row; an empty table gives an empty result; other columns are not read.
     """
-    ranges = max(64, min(16_384, total_bytes(docs, text_col) // RANGE_BYTES))
-    digested = document_digests(docs, id_col, text_col)
+    ranges = max(64, min(MOST_RANGES, total_bytes(docs, text_col) // RANGE_BYTES))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     k = (F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - k), F.substring("next_text", F.lit(1), k))
-    whole = with_next(digested, ranges).withColumn("edited", edited)
-    rows = whole.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "digest", wide_hash(canonical(F.col("edited"))).alias("edited_digest"), "next_digest")
-    rows = materialize(rows)
-    odd = materialize(colliding(rows.select(F.explode(F.array("digest", "edited_digest")).alias("d")).select("d.*")))
-    for name in ("digest", "edited_digest", "next_digest"):
-        marks = odd.select(F.struct("low", "high", "sha").alias(name), F.col("place").alias(f"{name}_place"))
-        rows = rows.join(marks, name, "left")
-    fp = {name: fingerprint(F.col(name), F.col(f"{name}_place")) for name in ("digest", "edited_digest", "next_digest")}
-    out = rows.select("doc_id", "n_chars", "edited_sha256", fp["digest"].alias("fingerprint"), fp["edited_digest"].alias("edited_fingerprint"), fp["next_digest"].alias("next_fingerprint"))
-    return out.withColumns({"near_edited": (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double"), "near_next": (F.col("fingerprint") == F.col("next_fingerprint")).cast("double")})
+    whole = with_next(texts, ranges).withColumn("edited", edited)
+    # Equal keys are held against the bytes right here; the next text is made canonical only where its key is the same.
+    same_next = F.when(F.col("key") == F.col("next_key"), F.col("canon") == canonical(F.col("next_text"))).otherwise(False)
+    rows = whole.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "key", "canon", digest(F.col("edited")).alias("e"), same_next.alias("same_next"))
+    rows = rows.select("doc_id", "n_chars", "edited_sha256", "key", "canon", F.col("e.key").alias("edited_key"), F.col("e.canon").alias("edited_canon"), "same_next")
+    rows = materialize(rows, compression="zstd")
+    both = rows.select("key", "canon").unionByName(rows.select(F.col("edited_key").alias("key"), F.col("edited_canon").alias("canon")))
+    odd = colliding(both)
+    out = named(named(rows, odd, "key", "canon", "fingerprint"), odd, "edited_key", "edited_canon", "edited_fingerprint")
+    near = (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near.alias("near_edited"), F.col("same_next").cast("double").alias("near_next"))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(table(spark, sf_dir, "documents")).drop("next_fingerprint")
+    """The contract's query over all documents."""
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op9_fingerprints": op9_fingerprints}

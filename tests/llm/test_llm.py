@@ -443,6 +443,30 @@ def test_fingerprints(docs, nothing):
     assert fingerprints.edited_fingerprints(docs).count() == len(ROWS) and fingerprints.edited_fingerprints(nothing).count() == 0
 
 
+def test_fingerprints_of_colliding_hashes(spark, monkeypatch):
+    """With a hash of a few values only, the bytes alone tell texts apart."""
+    monkeypatch.setattr(fingerprints, "wide_hash", lambda c: F.struct((F.length(c) % 3).cast("long").alias("low"), F.lit(1).cast("long").alias("high")))
+    texts = ["abc", "ABC ", "xyz", "a", "b", None, "", "dddd", "abc", "ＡＢＣ"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows in (fingerprints.fingerprints(table).collect(), fingerprints.edited_fingerprints(table).collect()):
+        got = {r["doc_id"]: r["fingerprint"] for r in rows}
+        same = [{0, 1, 8, 9}, {2}, {3}, {4}, {5, 6}, {7}]
+        assert [{i for i in got if got[i] == got[min(g)]} for g in same] == same
+    near = {r["doc_id"]: (r["near_edited"], r["near_next"]) for r in rows}
+    # next of 9 is 8, of 6 is 5, of 0 is 9; texts under three characters have nothing to replace
+    assert near[9][1] == near[6][1] == near[0][1] == 1 and near[8][1] == near[4][1] == near[3][1] == 0
+    assert near[9][0] == near[3][0] == near[5][0] == 1.0 or near[9][0] == 0.0
+
+
+def test_fingerprints_with_many_null_and_equal_ids(spark):
+    r = random.Random(5)
+    rows = [(r.choice([None, 5, 7, k]), "t" * r.randrange(9) + str(r.randrange(50))) for k in range(400)]
+    got = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert bag((x["doc_id"], x["n_chars"]) for x in got) == bag((i, len(t)) for i, t in rows)
+    # the texts in order are a ring: each is some row's next once
+    assert sum(x["near_next"] for x in got) < len(got)
+
+
 def test_lm_scores(docs, nothing):
     path = vocabulary_path("byte_bpe_50k.json")
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
