@@ -26,6 +26,8 @@ BIN = 0.002
 RIDGE = [0.02**2, 0.01**2, 0.04**2, 0.04**2]
 #: What chance adds to each variance of one document: the root of a share of n parts varies by 1 / (4 n), and a repeat covers six words.
 NOISE = [(0.25, "n_words"), (0.25, "word_chars"), (0.25, "n_lines"), (1.5, "n_words")]
+#: Most groups whose estimates are broadcast; more are joined by shuffle.
+BROADCAST_GROUPS = 20_000
 #: Groups with fewer documents use the estimate of their language, or else of all documents.
 MIN_GROUP = 200
 #: Squared distance from which a document is rejected: the 0.999 quantile of chi-square with P degrees of freedom.
@@ -102,8 +104,13 @@ def squared_distance(rows: DataFrame, one_sided: bool = False) -> tuple[DataFram
     return rows, sum((v * v for v in y[1:]), y[0] * y[0])
 
 
-def with_distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    joined = rows.join(fit, "grp")
+def few_groups(groups: DataFrame) -> bool:
+    """Whether a table of one row a group (some 200 bytes) is small enough to broadcast."""
+    return groups.count() <= BROADCAST_GROUPS
+
+
+def with_distance(rows: DataFrame, fit: DataFrame, few: bool = False) -> DataFrame:
+    joined = rows.join(F.broadcast(fit) if few else fit, "grp")
     joined, d2 = squared_distance(joined)
     return joined.withColumn("d2", d2).drop(*[c for c in fit.columns if c != "grp"], *[f"y{i}" for i in range(P)])
 
@@ -153,10 +160,11 @@ def mcd(rows: DataFrame) -> DataFrame:
     spread = weighted_quantile(away.groupBy("grp", "k", "bin").agg(F.sum("n").alias("n")), ["grp", "k"], 0.5, "mad")
     start = median.join(spread, ["grp", "k"]).groupBy("grp").agg(*[F.max(F.when(F.col("k") == i, F.col("mid"))).alias(f"m{i}") for i in range(P)], *[F.max(F.when(F.col("k") == i, F.pow(F.col("mad") * 1.4826, 2) + RIDGE[i])).alias(f"v{i}{i}") for i in range(P)])
     fit = materialize(cholesky(start.withColumns({f"v{i}{j}": F.lit(0.0) for i in range(P) for j in range(i)})))
+    few = few_groups(fit)
     for step in range(STEPS):
-        near = with_distance(rows, fit)
+        near = with_distance(rows, fit, few)
         edge = binned_quantile(near, ["grp"], F.log1p("d2"), SHARE, "edge")
-        kept = near.join(edge, "grp").where(F.log1p("d2") <= F.col("edge"))
+        kept = near.join(F.broadcast(edge) if few else edge, "grp").where(F.log1p("d2") <= F.col("edge"))
         fit = materialize(concentrate(kept, CONSISTENT if step == STEPS - 1 else 1.0))
     return fit
 
@@ -180,7 +188,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = passed.select(F.explode(F.array(*levels)).alias("grp"), *FEATURES)
     sizes = rows.groupBy("grp").agg(F.count("*").alias("n")).where((F.col("n") >= MIN_GROUP) | (F.col("grp") == "a")).select("grp")
     big = materialize(sizes)
-    fit = mcd(rows.join(big, "grp"))
+    fit = mcd(rows.join(F.broadcast(big) if few_groups(big) else big, "grp"))
     # Each (language, source) picks its level once; then one join gives every document its estimate.
     names = passed.select("lang", "source").distinct().select("lang", "source", F.posexplode(F.array(*levels)).alias("k", "grp"))
     chosen = names.join(big, "grp").groupBy("lang", "source").agg(F.min_by("grp", "k").alias("grp"))
