@@ -18,6 +18,9 @@ from emberlog.llm.common import materialize, table
 #: No character sorts after it.
 LAST = "\U0010ffff"
 BREAK = "\x00"
+#: Most (host, rule host) rows that are broadcast (some 100 bytes each); more are joined by shuffle, which adaptive
+#: execution splits where one host is very common.
+BROADCAST_HOSTS = 100_000
 
 
 def url_host(url: Column) -> Column:
@@ -91,8 +94,9 @@ def url_filters(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     pairs = materialize(urls.select("host", "path").distinct())
     hosts = pairs.select("host").distinct().select("host", host_key(F.col("host")).alias("key"))
     found = prefix_sweep(hosts.select("key"), nodes, host_levels).where(F.size("stack") > 0)
-    active = hosts.join(found, "key").select("host", F.explode("stack").alias("node"))
-    keyed = pairs.join(active, "host").select("host", "path", F.concat("node", F.lit(BREAK), "path").alias("key"))
+    active = materialize(hosts.join(found, "key").select("host", F.explode("stack").alias("node")))
+    # A host with a third of all pages is many pairs: hosts under a rule go to them while their number allows it.
+    keyed = pairs.join(F.broadcast(active) if active.count() <= BROADCAST_HOSTS else active, "host").select("host", "path", F.concat("node", F.lit(BREAK), "path").alias("key"))
     keyed = materialize(keyed)
     best = prefix_sweep(keyed.select("key").distinct(), path_rules, path_levels).where(F.size("stack") > 0).select("key", F.array_max("stack").alias("best"))
     judged = keyed.join(best, "key").groupBy("host", "path").agg(F.max("best").alias("best"))
