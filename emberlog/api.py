@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -13,8 +14,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.text import question_window
 from emberlog.operators import quality, search, views
 
-#: Nodes that do something other than read, relations that read paths, and functions that reach outside.
-FORBIDDEN_RELATIONS = ("UnresolvedTableValuedFunction", "InsertInto", "Command")
+#: Functions that reach outside. Sessions have no roles to fall back on, so the parsed plan is what is judged.
 FORBIDDEN_CALLS = ("reflect(", "java_method(", "try_reflect(", "read_files(")
 
 
@@ -69,11 +69,38 @@ class Archive:
     events: DataFrame
     commitments_table: DataFrame
 
-    def recall(self, question: str, vector: list[float] | None = None, limit: int = 20, **filters) -> DataFrame:
+    def recall(self, question: str, vector: list[float] | None = None, limit: int = 20, rerank: Callable[[str, list[str]], list[int]] | None = None, pool: int = 40, enrich: bool = False, index: str | None = None, **filters) -> DataFrame:
+        """id, score, ranks, text and started_at of the best segments; a year that the question names confines it.
+
+        rerank(question, texts) gives places in a new order, the best first; it sees the best of max(limit, pool), and
+        what it leaves out follows in the old order. enrich fuses the enrichment's own list in.
+        """
         if not filters.get("date_from") and not filters.get("date_to") and (span := question_window(question)):
             filters |= {"date_from": span[0], "date_to": span[1]}
-        found = search.hybrid_search(search.restrict(self.segments, **filters), question, vector, n_final=limit)
-        return found.join(self.segments.select(F.col("segment_id").alias("id"), F.substring("raw_text", 1, 2000).alias("text"), "started_at"), "id").orderBy(F.desc("score"), "id")
+        wide = max(limit, pool) if rerank else limit
+        some = search.restrict(self.segments, **filters)
+        if index is not None and filters:
+            index = None  # the kept index is the whole archive's
+        found = search.hybrid_search(some, question, vector, n_final=wide, enrich_col="enrich_text" if enrich else None, index=index)
+        texts = self.segments.select(F.col("segment_id").alias("id"), F.substring("raw_text", 1, 2000).alias("text"), "started_at")
+        out = found.join(texts, "id").orderBy(F.desc("score"), "id")
+        if rerank is None:
+            return out
+        rows = out.collect()  # at most max(limit, pool) of them
+        order = [rows[k]["id"] for k in rerank(question, [r["text"] for r in rows]) if 0 <= k < len(rows)]
+        ranked = self.spark.createDataFrame([(*r, k + 1) for k, r in enumerate(rows)], out.schema.add("rank", "long"))
+        return search.apply_ranking(ranked, order).limit(limit).drop("place", "rank")
+
+    def stats(self, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The sources' table with events, and one row: segments, embedded and enriched ones."""
+        counted = self.events.groupBy("source").agg(F.count("*").alias("events"))
+        has = lambda c: F.count_if(F.col(c).isNotNull()) if c in self.segments.columns else F.lit(0).cast("long")
+        return sources.join(counted, "source", "left").withColumn("events", F.coalesce("events", F.lit(0))), self.segments.agg(F.count("*").alias("total"), has("embedding").alias("embedded"), has("enrich_text").alias("enriched"))
+
+    def health(self) -> bool:
+        """Whether the archive can be read at all."""
+        self.events.limit(1).collect()
+        return True
 
     def first_mention(self, term: str) -> DataFrame:
         return search.first_mention(self.events, [term.lower()])
@@ -93,5 +120,14 @@ class Archive:
     def ground(self, ids: list[int]) -> DataFrame:
         return search.ground(self.segments, ids)
 
-    def freshness(self, now: datetime | None = None) -> DataFrame:
-        return quality.freshness(self.events, "source", "ts", F.lit(now or datetime.now(timezone.utc)))
+    def freshness(self, now: datetime | None = None, sources: DataFrame | None = None) -> DataFrame:
+        """Per source; those that sources (source, enabled) says are retired are not judged."""
+        events = self.events
+        if sources is not None:
+            events = events.join(sources.where("enabled = false").select("source"), "source", "left_anti")
+        return quality.freshness(events, "source", "ts", F.lit(now or datetime.now(timezone.utc)))
+
+
+def page(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
+    """Rows offset to offset + limit in the given order."""
+    return rows.orderBy(*order).offset(offset).limit(limit)

@@ -64,11 +64,31 @@ def purge_preview(doomed: DataFrame, events: DataFrame, segments: DataFrame, fac
     return e.crossJoin(gone.agg(F.count("*").alias("segments"))).crossJoin(f)
 
 
+def purge_counts(doomed: DataFrame, events: DataFrame, segments: DataFrame, mentions: DataFrame, facts: DataFrame, commitments: DataFrame) -> DataFrame:
+    """kind, n: what an erasure of threads (thread_key) takes, in seven kinds, and what it opens again.
+
+    facts, commitments (source_segment_id, and resolution_segment_id of those that a segment resolved), mentions
+    (segment_id). One row a kind; an equi join each, counted where the rows are.
+    """
+    own = segments.join(doomed.distinct(), "thread_key", "left_semi")
+    ids = own.select("segment_id")
+    of = lambda rows, c: rows.join(ids.withColumnRenamed("segment_id", c), c, "left_semi")
+    counts = [
+        ("events", events.join(doomed.distinct(), "thread_key", "left_semi")), ("segments", own), ("embedded", own.where("embedding is not null")), ("entity_mentions", of(mentions, "segment_id")),
+        ("facts", of(facts, "source_segment_id")), ("commitments", of(commitments, "source_segment_id")), ("commitments_resolved_by", of(commitments, "resolution_segment_id")),
+    ]
+    out = None
+    for kind, rows in counts:
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def purge(doomed: DataFrame, events: DataFrame, segments: DataFrame, facts: DataFrame, commitments: DataFrame, life_events: DataFrame, deps: DataFrame, mentions: DataFrame) -> dict[str, DataFrame]:
     """The tables without the threads, an audit row, and proof: rows that still point to something erased (must be empty).
 
-    Commitments that an erased segment resolved are open again. Facts, mentions and dependencies of erased segments
-    go. Life events lose erased event ids, and go if none is left.
+    Commitments that an erased segment resolved are open again. Facts and mentions of erased segments go, and so do
+    dependencies on them, or, where deps names events (source, source_id), on erased events. Life events lose erased event ids, and go if none is left.
     """
     gone = segments.join(doomed, "thread_key", "left_semi").select("segment_id")
     lost = events.join(doomed, "thread_key", "left_semi").select(F.concat_ws(":", "source", "source_id").alias("key"))
@@ -77,7 +97,7 @@ def purge(doomed: DataFrame, events: DataFrame, segments: DataFrame, facts: Data
         "segments": segments.join(doomed, "thread_key", "left_anti"),
         "facts": facts.join(facts.select("fact_id", F.explode("evidence").alias("segment_id")).join(gone, "segment_id", "left_semi").select("fact_id"), "fact_id", "left_anti"),
         "commitments": commitments.join(gone.select(F.col("segment_id").alias("resolved_by"), F.lit(True).alias("_g")), "resolved_by", "left").withColumn("resolved_by", F.when(F.col("_g").isNull(), F.col("resolved_by"))).drop("_g"),
-        "deps": deps.join(gone, "segment_id", "left_anti"),
+        "deps": deps.join(lost.withColumnRenamed("key", "_key"), F.concat_ws(":", "source", "source_id") == F.col("_key"), "left_anti") if "source_id" in deps.columns else deps.join(gone, "segment_id", "left_anti"),
         "mentions": mentions.join(gone, "segment_id", "left_anti"),
     }
     left = life_events.select("life_event_id", F.explode("event_keys").alias("key")).join(lost, "key", "left_anti").groupBy("life_event_id").agg(F.array_sort(F.collect_list("key")).alias("event_keys"))

@@ -40,3 +40,16 @@ def enabled(spark: SparkSession, max_tier: int = 1) -> DataFrame:
 
 def conflicts(active: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for a, b in CONFLICTS if a in active and b in active]
+
+
+#: The settings that a source needs; it is left out where one is missing, and sources without an entry need a reader.
+SETTINGS = {
+    "telegram": ["dsn"], "wakapi": ["dsn", "user"], "dawarich": ["dsn", "user"], "immich": ["dsn"], "paperless": ["dsn"], "firefly": ["dsn"], "karakeep": ["dsn"], "miniflux": ["dsn"], "forgejo": ["dsn"], "nytka": ["dsn"],
+    "owntracks": ["root"], "lastfm": ["key", "user"], "github": ["token"],
+}
+
+
+def configured(source: str, settings: dict[str, str | None]) -> dict[str, str] | None:
+    """The source's settings without blanks, or None if it is not set up: that is no failure, but left out."""
+    own = {k: v.strip() for k, v in settings.items() if v and v.strip()}
+    return own if source in SETTINGS and all(k in own for k in SETTINGS[source]) else None
