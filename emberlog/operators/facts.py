@@ -13,15 +13,16 @@ def current_facts(facts: DataFrame, keys: list[str], order: list[Column]) -> Dat
 
 
 def best_fact(facts: DataFrame, keys: list[str], value: str, single: bool = True) -> DataFrame:
-    """The fact of the greatest version, then confidence; of predicates with many values the greatest version."""
-    by = F.struct("version", "confidence") if single else F.struct("version")
-    return facts.groupBy(*keys).agg(F.max_by(value, by).alias(value))
+    """Of the valid facts the one of the greatest version, then confidence (for predicates with many values version
+    alone), then value."""
+    by = F.struct("version", "confidence", value) if single else F.struct("version", value)
+    return facts.where("t_invalid is null").groupBy(*keys).agg(F.max_by(value, by).alias(value))
 
 
 def resolve_conflicts(facts: DataFrame, predicates: DataFrame) -> DataFrame:
     """All facts; an earlier live one of a single-valued predicate ends where the next begins, never before it began."""
     live = F.expr("t_invalid is null and t_expired is null and single_valued")
-    marked = facts.join(F.broadcast(predicates.select("predicate", "single_valued")), "predicate", "left").withColumn("_live", F.coalesce(live, F.lit(False)))
+    marked = facts.join(predicates.select("predicate", "single_valued"), "predicate", "left").withColumn("_live", F.coalesce(live, F.lit(False)))
     w = Window.partitionBy("subject_id", "predicate", "_live").orderBy("version", "fact_id")
     following = F.lead("t_valid").over(w)
     ended = F.when(F.col("_live") & following.isNotNull(), F.greatest(following, F.col("t_valid"))).otherwise(F.col("t_invalid"))

@@ -119,7 +119,7 @@ def gate_queue(segments: DataFrame, sources: DataFrame, threshold: float = 0.42,
     """Segments to enrich: substantive, narrative, of a source with a bank, not yet enriched, and not scored below the
     threshold by this version of the gate."""
     own = F.col("source") == F.element_at("sources", 1)
-    policy = F.broadcast(sources.select("source", "density", "bank"))  # one row a registered adapter
+    policy = sources.select("source", "density", "bank")  # one row a registered adapter
     rows = segments.join(policy, own).where("density = 'narrative' and bank is not null and coalesce(is_substantive, true) and enrich_text is null")
     scored: Column = F.coalesce((F.col("gate_version") == version) & (F.col("gate_p") < threshold), F.lit(False))
     return rows.where(~scored)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import text as T
 from emberlog.functions import times
-from emberlog.operators import facts, lifecycle, quality, search, segments, sessions, views
+from emberlog.operators import facts, lifecycle, quality, resolve, search, segments, sessions, views
 
 Q: dict = {}
 ORACLE: dict[str, str] = {}
@@ -256,10 +256,11 @@ def stays(spark, sf_dir):
     return sessions.stays(p, ["user_id"], "ts", order=["event_id"]).withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
 
 
-@query("cluster_stays")
+@query("cluster_stays", "WITH p AS (SELECT user_id, event_id AS id, ts, floor(value / 100) AS cell, floor(value / 100) * 0.01 AS lat, (event_id % 2) * 0.001 AS lon FROM events), c AS (SELECT user_id, cell, row_number() OVER (PARTITION BY user_id ORDER BY min(id)) - 1 AS cluster FROM p GROUP BY user_id, cell HAVING count(*) >= 3), m AS (SELECT p.*, coalesce(cluster, -1) AS cluster FROM p LEFT JOIN c ON p.user_id = c.user_id AND p.cell = c.cell), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) - row_number() OVER (PARTITION BY user_id, cluster ORDER BY ts, id) AS island FROM m) SELECT user_id, cluster::BIGINT AS cluster, island::BIGINT AS island, min(id) AS stay_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM r WHERE cluster >= 0 GROUP BY 1, 2, 3 HAVING epoch_us(max(ts)) - epoch_us(min(ts)) >= 1200000000")
 def cluster_stays(spark, sf_dir):
     p = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), "ts", (F.floor(F.col("value") / 100) * 0.01).alias("lat"), ((F.col("event_id") % 2) * 0.001).alias("lon"))
-    return sessions.cluster_stays(p, "user_id", "ts")
+    out = sessions.cluster_stays(p, "user_id", "ts")
+    return out.withColumns({"island": F.col("island").cast("long"), "lat": F.round("lat", 6), "lon": F.round("lon", 6)})
 
 
 @query("current_facts", "SELECT o_custkey AS subject_id, o_orderpriority AS predicate, o_orderkey AS fact_id, o_orderstatus AS object FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
@@ -267,9 +268,11 @@ def current_facts(spark, sf_dir):
     return facts.current_facts(fact_rows(spark, sf_dir), ["subject_id", "predicate"], [F.desc("version"), F.desc("fact_id")]).select("subject_id", "predicate", "fact_id", "object")
 
 
-@query("best_fact", "SELECT o_custkey AS subject_id, o_orderpriority AS predicate, o_orderkey AS fact_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+@query("best_fact", "SELECT o_custkey AS subject_id, o_orderpriority AS predicate, o_orderkey AS fact_id FROM orders WHERE o_orderkey % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY year(o_orderdate) DESC, o_orderkey % 10 DESC, o_orderkey DESC) = 1")
 def best_fact(spark, sf_dir):
-    return facts.best_fact(fact_rows(spark, sf_dir).withColumn("confidence", F.col("fact_id")), ["subject_id", "predicate"], "fact_id")
+    """The version is the year, so that confidence decides; every fifth fact is no longer valid."""
+    rows = fact_rows(spark, sf_dir).withColumns({"version": F.year("t_valid").cast("long"), "t_invalid": F.when(F.col("fact_id") % 5 == 0, F.col("t_valid"))})
+    return facts.best_fact(rows, ["subject_id", "predicate"], "fact_id")
 
 
 @query("fact_conflicts", "SELECT o_orderkey AS fact_id, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN greatest(lead(o_orderdate) OVER w, o_orderdate) END AS t_invalid FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) QUALIFY (o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%') AND lead(o_orderdate) OVER w IS NOT NULL")
@@ -399,16 +402,7 @@ def phonetic_key(spark, sf_dir):
 def resolve_candidates(spark, sf_dir):
     n = read(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("ph"), F.translate(F.lower("n_name"), "aeiou", "").alias("sk"))
     a = read(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), "ph", "sk")
-    return candidates(a, n.select(F.col("n_nationkey").alias("cand"), "ph", "sk"))
-
-
-def candidates(mentions: DataFrame, entities: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """id, cand, tier: entities with the same phonetic key (1) or skeleton of two characters and more (2); the first
-    tier of a pair counts. scope (id, cand) keeps only pairs that share a chat."""
-    one = mentions.join(entities, "ph").select("id", "cand", F.lit(1).alias("tier"))
-    two = mentions.where(F.length("sk") >= 2).join(entities, "sk").select("id", "cand", F.lit(2).alias("tier"))
-    out = one.unionByName(two).groupBy("id", "cand").agg(F.min("tier").alias("tier"))
-    return out.join(scope, ["id", "cand"], "left_semi") if scope is not None else out
+    return resolve.candidates(a, n.select(F.col("n_nationkey").alias("cand"), "ph", "sk"))
 
 
 def redaction_sql() -> str:
