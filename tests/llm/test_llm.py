@@ -571,6 +571,76 @@ def test_lm_gradients_and_probabilities():
     assert abs(sum(every) - 1) < 1e-6
 
 
+def stage_rows(df):
+    return [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in df.collect()]
+
+
+def test_pipeline_stages_by_brute_force(spark, docs, nothing):
+    """Every stage on the same rows: nulls, empty and wordless texts, repeated rows, long texts, a clashing column."""
+    import corpus_pipeline as C
+    from tokenizers import Tokenizer
+
+    base = stage_rows(docs)
+    blank = lambda t: not WORD.search(t or "")
+
+    judged = collections.Counter((r["doc_id"], r["text_hash"]) for r in quality.quality_rules(docs).collect() if r["kept"])
+    hashed = [(r["doc_id"], r["h"], (r["doc_id"], r["text"], r["lang"], r["source"])) for r in docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+    assert bag(stage_rows(C.quality(spark, docs, ""))) == bag(row for i, h, row in hashed if (i, h) in judged)
+
+    seen, want = set(), []
+    for i, t, lang, source in sorted(base, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
+        lines = (t or "").split("\n")
+        real = [k for k, x in enumerate(lines) if WORD.search(x)]
+        gone = set()
+        for k in range(len(real)):
+            for size in (1, 3):
+                gram = tuple(lines[j] for j in real[k : k + size])
+                if len(gram) == size and (size == 3 or len(words(gram[0])) >= 5):
+                    gone |= set(real[k : k + size]) if gram in seen else set()
+                    seen.add(gram)
+        left = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        if not gone or not blank(left):
+            want.append((i, left, lang, source))
+    assert bag(stage_rows(C.lines(spark, docs, ""))) == bag(want)
+
+    def shingles(t):
+        w = words(t, True)
+        return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    sets, comp = [shingles(x[1]) for x in base], list(range(len(base)))
+    for a in range(len(base)):
+        for b in range(a):
+            if sets[a] and sets[b] and comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                comp = [comp[b] if c == comp[a] else c for c in comp]
+    got = stage_rows(C.near_duplicates(spark, docs, ""))
+    groups = collections.defaultdict(list)
+    for c, s, row in zip(comp, sets, base, strict=True):
+        groups[c if s else ("empty", row)].append(row)
+    assert len(got) == len(groups)
+    for members in groups.values():
+        least = min((r[0] is None, r[0] or 0) for r in members)
+        assert sum(row in {m for m in members if (m[0] is None, m[0] or 0) == least} for row in got) == 1
+
+    c = collections.Counter(tuple(w[k : k + 50]) for _, t, _, _ in base for w in [words(t)] for k in range(len(w) - 49))
+    want = []
+    for i, t, lang, source in base:
+        w = words(t)
+        gone = {k + d for k in range(len(w) - 49) if c[tuple(w[k : k + 50])] > 1 for d in range(50)}
+        if not gone:
+            want.append((i, t or "", lang, source))
+        elif len(gone) < len(w):
+            want.append((i, " ".join(x for k, x in enumerate(w) if k not in gone), lang, source))
+    assert bag(stage_rows(C.substrings(spark, docs, ""))) == bag(want)
+
+    library = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
+    packed = C.packing(spark, docs, "").collect()
+    ids = [(i, library.encode(t or "", add_special_tokens=False).ids + [1]) for i, t, _, _ in base]
+    assert bag((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == bag((i, p, len(x[p : p + 4096]), zlib.crc32(np.array(x[p : p + 4096], "<u4").tobytes())) for i, x in ids for p in range(0, len(x), 4096))
+    for name, stage in C.STAGES:
+        out = stage(spark, nothing, "")
+        assert out.count() == 0 and (name == C.STAGES[-1][0] or out.columns == C.COLUMNS)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_pipeline(spark):
     import corpus_pipeline
