@@ -20,22 +20,29 @@ from emberlog.llm.common import total_bytes
 
 BLOCK_BYTES = 1 << 20
 LEAST_BLOCKS = 64
+#: Most blocks (1 MB of text each) whose keys one part of the key space holds on average: what a task gathers at once.
+PART_BLOCKS = 256
 SENT = "part int, block long, level int, keys binary, twice binary"
 MASKS = "block long, level int, part int, mask binary"
 
 
-def with_blocks(docs: DataFrame, text_col: str, carry: dict[str, str] | None = None, block_bytes: int = BLOCK_BYTES, least: int = LEAST_BLOCKS) -> DataFrame:
-    """block, text (null: empty) and the carried columns ({new name: old name}), and no others."""
-    count = max(least, -(-total_bytes(docs, text_col) // block_bytes))
+def block_count(docs: DataFrame, text_col: str, least: int = LEAST_BLOCKS) -> int:
+    """How many blocks the texts make."""
+    return max(least, -(-total_bytes(docs, text_col) // BLOCK_BYTES))
+
+
+def with_blocks(docs: DataFrame, text_col: str, carry: dict[str, str] | None, count: int) -> DataFrame:
+    """block (below count), text (null: empty) and the carried columns ({new name: old name}), and no others."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     carried = [F.col(old).alias(new) for new, old in (carry or {}).items()]
     salt = [F.col(old) for old in (carry or {}).values()]
     return docs.select(F.pmod(F.xxhash64(*salt, text), F.lit(count)).alias("block"), text.alias("text"), *carried)
 
 
-def parts(df: DataFrame) -> int:
-    """How many parts the key space has: a few for each shuffle partition."""
-    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def parts(df: DataFrame, count: int) -> int:
+    """How many parts the key space has: a few for each shuffle partition, and enough that no part's keys outgrow a task
+    however many blocks there are."""
+    return max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // PART_BLOCKS))
 
 
 def distinct_keys(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

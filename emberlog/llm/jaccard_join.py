@@ -136,11 +136,11 @@ def fold_sketches(sets: Shingles) -> np.ndarray:
     return np.packbits(odd).view(np.int64).reshape(-1, FOLD)
 
 
-def candidate_rows(docs: DataFrame, reps: DataFrame, size: int, percent: int, text_col: str, id_col: str) -> DataFrame:
+def candidate_rows(docs: DataFrame, reps: DataFrame, size: int, percent: int, text_col: str, id_col: str, count: int) -> DataFrame:
     """Two kinds of rows: with part >= 0 packed (key, set) entries of sketch words that more than one set has, and with
     part -1 the shingle hashes of a set that has such a word. reps: block and doc_id of the set's representative."""
-    rows = blocks.with_blocks(docs, text_col, {"doc_id": id_col}).withColumn("doc_id", F.col("doc_id").cast("long"))
-    n = blocks.parts(docs)
+    rows = blocks.with_blocks(docs, text_col, {"doc_id": id_col}, count).withColumn("doc_id", F.col("doc_id").cast("long"))
+    n = blocks.parts(docs, count)
     # Representatives travel as masks of level -1: their ids, packed.
     ids = reps.select("block", F.lit(-1).alias("level"), F.lit(0).alias("part"), "doc_id")
 
@@ -358,7 +358,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
     Equal sets are found by signature first, so copies of one text are one node from there on.
     """
-    rows = blocks.with_blocks(docs, text_col, {"doc_id": id_col}).withColumn("doc_id", F.col("doc_id").cast("long"))
+    count = blocks.block_count(docs, text_col)
+    rows = blocks.with_blocks(docs, text_col, {"doc_id": id_col}, count).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def sets(batch: pa.RecordBatch) -> dict:
         s = Shingles(batch.column("text"), size)
@@ -373,8 +374,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     # Nodes are named by the first half of the signature; the second must agree too.
     least = real.groupBy("low", "high").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)).alias("id"), "block", *keep)).alias("r"))
     least = materialize(least.select("low", "high", F.col("r.id").alias("id"), F.col("r.block").alias("block"), *[F.col(f"r.{c}").alias(f"first_{c}") for c in keep]))
-    parts = candidate_rows(docs, least.select("block", F.col("id").alias("doc_id")), size, percent, text_col, id_col)
-    met = buckets(parts.where("part >= 0"), blocks.parts(docs))
+    parts = candidate_rows(docs, least.select("block", F.col("id").alias("doc_id")), size, percent, text_col, id_col, count)
+    met = buckets(parts.where("part >= 0"), blocks.parts(docs, count))
     comps = linked_components(met, parts.where("part = -1").select("node", "sketch", "hashes"), percent)
     named = least.join(comps.withColumnRenamed("node", "low"), "low", "left").withColumn("comp", F.coalesce("comp", "low"))
     firsts = [F.min(F.struct("id", "block", *[f"first_{c}" for c in keep])).alias("first")] if leaders else []

@@ -119,8 +119,9 @@ def line_dedup(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col:
     """
     if single and run < 2:
         raise ValueError("single lines go anyway where run is one")
-    rows = blocks.with_blocks(docs, text_col, {"doc_id": id_col, **(carry or {})}).withColumn("doc_id", F.col("doc_id").cast("long"))
-    n = blocks.parts(docs)
+    count = blocks.block_count(docs, text_col)
+    rows = blocks.with_blocks(docs, text_col, {"doc_id": id_col, **(carry or {})}, count).withColumn("doc_id", F.col("doc_id").cast("long"))
+    n = blocks.parts(docs, count)
     masks = blocks.find_repeats(blocks.send(rows, lambda texts, _, n: Lines(texts, run, n, single).fingerprints, 0, n))
 
     def send_firsts(key: tuple, texts: pa.Table, back: pa.Table) -> pa.Table:
@@ -135,11 +136,11 @@ def line_dedup(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col:
         state = Lines(texts, run, n, single)
         state.extend(back)
         gone = state.removed(back)
-        count = lambda x: pa.array(np.diff(np.concatenate([[0], np.cumsum(x)])[state.of_doc]), pa.int64())
+        sums = lambda x: pa.array(np.diff(np.concatenate([[0], np.cumsum(x)])[state.of_doc]), pa.int64())
         real = np.zeros(len(gone), bool)
         real[state.lines] = True
         kept = join_runs(state.data, state.offsets, state.starts, state.ends, state.of_doc, ~gone, 10)
-        return state.rows.drop_columns(["block", "text"]).append_column("n_lines", count(real)).append_column("n_removed", count(gone)).append_column("kept", kept)
+        return state.rows.drop_columns(["block", "text"]).append_column("n_lines", sums(real)).append_column("n_removed", sums(gone)).append_column("kept", kept)
 
     schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes if c not in ("block", "text")), "n_lines long, n_removed long, kept string"])
     return rows.groupBy("block").cogroup(masks.unionByName(firsts).groupBy("block")).applyInArrow(finish, schema)

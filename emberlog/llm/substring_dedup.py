@@ -90,8 +90,9 @@ def substring_dedup(docs: DataFrame, size: int = 50, text_col: str = "text", car
     if size < 8:
         raise ValueError("size must be at least 8")
     carry = carry if carry is not None else {"doc_id": "doc_id"}
-    rows = blocks.with_blocks(docs, text_col, carry)
-    n = blocks.parts(docs)
+    count = blocks.block_count(docs, text_col)
+    rows = blocks.with_blocks(docs, text_col, carry, count)
+    n = blocks.parts(docs, count)
 
     def keys_of(level: int):
         def run(texts: pa.Table, masks: pa.Table | None, n: int) -> tuple[np.ndarray, np.ndarray]:
