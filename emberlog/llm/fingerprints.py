@@ -39,16 +39,15 @@ def digest(text: Column) -> Column:
     return F.element_at(F.transform(F.array(canonical(text)), lambda c: F.struct(c.alias("canon"), wide_hash(c).alias("key"))), 1)
 
 
-def colliding(texts: DataFrame) -> DataFrame | None:
-    """low, high, canon, place of texts whose bucket holds different bytes, numbered in order of their bytes; None, as
-    nearly always, if there is no such bucket.
+def colliding(keys: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """key, sha, place of texts whose bucket holds different bytes, numbered in order of their bytes; None, as nearly
+    always, if there is no such bucket.
 
-    texts: rows of key and canon. Only the texts of buckets with two rows and more are moved, and of these a task sends
-    the least and the greatest of each bucket, so a text that a third of all documents share is two rows a task.
+    keys: low and high of every text; texts: key and canon of the same. Only the texts of buckets with two rows and more
+    are moved, and of these a task sends the least and the greatest of each bucket, so a text that a third of all
+    documents share is two rows a task.
     """
-    keys = texts.select("key.low", "key.high")
-    many = keys.groupBy("low", "high").count().where("count > 1").select("low", "high")
-    many = materialize(many)
+    many = materialize(keys.groupBy("low", "high").count().where("count > 1").select("low", "high"))
     flat = texts.select("key.low", "key.high", "canon")
     shared = flat.join(F.broadcast(many) if many.count() <= BROADCAST_KEYS else many, ["low", "high"], "left_semi")
     odd = shared.groupBy("low", "high").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).where("a <> b").select("low", "high")
@@ -56,28 +55,40 @@ def colliding(texts: DataFrame) -> DataFrame | None:
     if not odd.head(1):
         return None
     members = flat.join(odd, ["low", "high"], "left_semi").distinct()
-    return materialize(members.withColumn("place", F.row_number().over(Window.partitionBy("low", "high").orderBy("canon"))))
+    placed = members.withColumn("place", F.row_number().over(Window.partitionBy("low", "high").orderBy("canon")))
+    return materialize(placed.select(F.struct("low", "high").alias("key"), sha(F.col("canon")).alias("sha"), "place"))
+
+
+def sha(canon: Column) -> Column:
+    """Names a text where its place among colliding ones is looked up."""
+    return F.unhex(F.sha2(canon, 256))
 
 
 def fingerprint(row: Column, place: Column) -> Column:
     return F.concat(hex_of(row["low"], row["high"]), F.when(place > 1, F.concat(F.lit("-"), place)).otherwise(""))
 
 
-def named(rows: DataFrame, odd: DataFrame | None, key: str, canon: str, name: str) -> DataFrame:
-    """rows with the fingerprint of the columns key and canon."""
+def named(rows: DataFrame, odd: DataFrame | None, key: str, name_of: str, name: str) -> DataFrame:
+    """rows with the fingerprint of the columns key and sha."""
     if odd is None:
         return rows.withColumn(name, fingerprint(F.col(key), F.lit(1)))
-    marks = odd.select(F.struct("low", "high").alias(key), F.col("canon").alias(canon), "place")
-    return rows.join(marks, [key, canon], "left").withColumn(name, fingerprint(F.col(key), F.coalesce("place", F.lit(1)))).drop("place")
+    marks = odd.select(F.col("key").alias(key), F.col("sha").alias(name_of), "place")
+    return rows.join(marks, [key, name_of], "left").withColumn(name, fingerprint(F.col(key), F.coalesce("place", F.lit(1)))).drop("place")
+
+
+def digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_chars, key and canon of every text (null: empty); one narrow pass."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), digest(text).alias("d")).select("doc_id", "n_chars", "d.key", "d.canon")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, fingerprint of every whole text. Null texts are empty; null ids and repeated rows stay; an empty
     table gives an empty result; other columns are not read."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), digest(text).alias("d"))
-    rows = materialize(rows.select("doc_id", "n_chars", "d.key", "d.canon"), compression="zstd")
-    return named(rows, colliding(rows.select("key", "canon")), "key", "canon", "fingerprint").select("doc_id", "n_chars", "fingerprint")
+    texts = digested(docs, id_col, text_col)
+    rows = materialize(texts.select("doc_id", "n_chars", "key", sha(F.col("canon")).alias("sha")))
+    odd = colliding(rows.select("key.low", "key.high"), texts)
+    return named(rows, odd, "key", "sha", "fingerprint").select("doc_id", "n_chars", "fingerprint")
 
 
 def bucket_of(bounds: list[int], ranges: int) -> Column:
@@ -139,12 +150,14 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = with_next(texts, ranges).withColumn("edited", edited)
     # Equal keys are held against the bytes right here; the next text is made canonical only where its key is the same.
     same_next = F.when(F.col("key") == F.col("next_key"), F.col("canon") == canonical(F.col("next_text"))).otherwise(False)
-    rows = whole.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "key", "canon", digest(F.col("edited")).alias("e"), same_next.alias("same_next"))
-    rows = rows.select("doc_id", "n_chars", "edited_sha256", "key", "canon", F.col("e.key").alias("edited_key"), F.col("e.canon").alias("edited_canon"), "same_next")
+    rows = whole.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "key", sha(F.col("canon")).alias("sha"), digest(F.col("edited")).alias("e"), same_next.alias("same_next"))
+    rows = rows.select("doc_id", "n_chars", "edited_sha256", "key", "sha", F.col("e.key").alias("edited_key"), sha(F.col("e.canon")).alias("edited_sha"), F.col("e.canon").alias("edited_canon"), "same_next")
+    # Edited texts are written down for the comparison; the documents' own are made canonical again from the table.
     rows = materialize(rows, compression="zstd")
-    both = rows.select("key", "canon").unionByName(rows.select(F.col("edited_key").alias("key"), F.col("edited_canon").alias("canon")))
-    odd = colliding(both)
-    out = named(named(rows, odd, "key", "canon", "fingerprint"), odd, "edited_key", "edited_canon", "edited_fingerprint")
+    keys = rows.select("key.low", "key.high").unionByName(rows.select("edited_key.low", "edited_key.high"))
+    texts = digested(docs, id_col, text_col).select("key", "canon").unionByName(rows.select(F.col("edited_key").alias("key"), F.col("edited_canon").alias("canon")))
+    odd = colliding(keys, texts)
+    out = named(named(rows.drop("edited_canon"), odd, "key", "sha", "fingerprint"), odd, "edited_key", "edited_sha", "edited_fingerprint")
     near = (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near.alias("near_edited"), F.col("same_next").cast("double").alias("near_next"))
 
