@@ -652,3 +652,18 @@ def test_pipeline(spark):
     assert kept.count() == docs.count() - rejected
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name", ["op2_url_filters", "op6_line_dedup"])
+def test_queries_against_their_sql(spark, name):
+    import duckdb
+
+    from emberlog.llm import registry
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    got = con.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in got.description]
+    assert bag(registry.queries()[name](spark, "/root/testdata/sf0.001").select(columns).collect()) == bag(got.fetchall())
