@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from emberlog.llm import encoding, fingerprints, jaccard_join, line_dedup, lm_scoring, packing, quality, substring_dedup, token_counts, url_filters
+from emberlog.llm import centroids, encoding, fingerprints, jaccard_join, line_dedup, lm_scoring, packing, quality, quality_classifier, resampling, substring_dedup, token_counts, url_filters
 
-MODULES = [token_counts, url_filters, jaccard_join, quality, encoding, line_dedup, lm_scoring, substring_dedup, fingerprints, packing]
+MODULES = [token_counts, url_filters, jaccard_join, quality, encoding, line_dedup, lm_scoring, substring_dedup, fingerprints, packing, centroids, quality_classifier, resampling]
 
 
 def queries() -> dict:
