@@ -2,8 +2,8 @@
 
 A canonical key (host labels reversed, then the path) turns "this host and its subdomains" and "this path and what it
 begins" into intervals of sorted strings. Intervals of prefixes nest or are disjoint, so a sweep in key order needs a
-stack with one slot for each nesting level: a rule enters its level's slot, and is active for a key as long as the key
-lies below its end.
+stack with one slot for each nesting level: a rule enters its level's slot, and is active for a key as long as it begins
+the key. No other rule of its level can lie between a rule and a key that it begins.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.common import materialize, table
 
-#: No character sorts after it.
-LAST = "\U0010ffff"
 BREAK = "\x00"
 #: Most (host, rule host) rows that are broadcast (some 100 bytes each); more are joined by shuffle, which adaptive
 #: execution splits where one host is very common.
@@ -45,7 +43,7 @@ def prefix_sweep(points: DataFrame, rules: DataFrame, levels: int) -> DataFrame:
     and level the last rule of all earlier ranges is carried in as an extra row, a table of at most ranges x levels
     rows; after that each range is swept on its own, so no task sees more than its range however common a host is.
     """
-    rule = F.struct(F.col("key").alias("from"), F.concat("key", F.lit(LAST)).alias("upto"), "payload").alias("rule")
+    rule = F.struct(F.col("key").alias("from"), "payload").alias("rule")
     starts = rules.select("key", F.col("level").cast("int").alias("level"), rule)
     kind = dict(starts.dtypes)["rule"]
     queries = points.select("key", F.lit(None).cast("int").alias("level"), F.lit(None).cast(kind).alias("rule"))
@@ -61,7 +59,7 @@ def prefix_sweep(points: DataFrame, rules: DataFrame, levels: int) -> DataFrame:
     sweep = Window.partitionBy("range").orderBy("carried_last", "key", F.col("level").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     slot = [F.last(F.when(F.col("level") == k, F.col("rule")), ignorenulls=True).over(sweep) for k in range(levels)]
     swept = rows.select("key", "level", "carried_last", F.array(*slot).alias("slots")).where("level is null")
-    return swept.select("key", F.expr("transform(filter(slots, r -> r is not null and key >= r.from and key < r.upto), r -> r.payload)").alias("stack"))
+    return swept.select("key", F.expr("transform(filter(slots, r -> r is not null and startswith(key, r.from)), r -> r.payload)").alias("stack"))
 
 
 def url_filters(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -107,6 +105,7 @@ RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's rules over all pages; nulls and repeats as url_filters has them."""
     one = lambda r: F.struct(*[F.lit(v).alias(c) for c, v in zip(("host", "path", "verdict"), r, strict=True)])
     rules = spark.range(1).select(F.inline(F.array(*map(one, RULES))))
     return url_filters(table(spark, sf_dir, "pages"), rules)

@@ -141,9 +141,9 @@ def test_tokens_of_any_code_point_are_the_librarys():
 
 
 def test_url_filters(spark):
-    rules = [(h, p, v) for h, p, v in url_filters.RULES] + [("b.example.com", "/en/77", "block"), ("example.com", "/en/7", "block"), ("a.b.example.com", "", "allow")]
-    hosts = ["example.com", "b.example.com", "x.b.example.com", "a.b.example.com", "notexample.com", "com", "Example.NET", "example.org:80", ""]
-    paths = ["/en/7", "/en/77x", "/en/", "/EN/7", "/de/8?x", "/de/9#y", "/es/", "", "?q=://z"]
+    rules = [(h, p, v) for h, p, v in url_filters.RULES] + [("b.example.com", "/en/77", "block"), ("example.com", "/en/7", "block"), ("a.b.example.com", "", "allow"), ("org", "/\U0010ffff", "block"), ("org", "/\U0010ffff\U0010ffff", "allow")]
+    hosts = ["example.com", "b.example.com", "x.b.example.com", "a.b.example.com", "notexample.com", "com", "Example.NET", "example.org:80", "", "\U0010ffff.com", "c.\U0010ffff.org", "a.com"]
+    paths = ["/en/7", "/en/77x", "/en/", "/EN/7", "/de/8?x", "/de/9#y", "/es/", "", "?q=://z", "/en/\U0010ffff", "/en/\U0010ffffz", "/\U0010ffff", "/\U0010ffff\U0010ffff\U0010ffff", "/\U0010fffe"]
     urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "no scheme", "://", "", "http://example.com/en/7"]
     pages = spark.createDataFrame([(k if k % 7 else None, u, "clash") for k, u in enumerate(urls)], "page_id long, url string, host string")
 
