@@ -67,7 +67,9 @@ def embed(store: Store, args: argparse.Namespace) -> None:
 
 
 def doctor(store: Store, args: argparse.Namespace) -> None:
-    quality.doctor_checks(described(store), "source", ["ts", "source_id"]).show(1000, False)
+    since = F.current_timestamp() - F.expr("interval 90 days")
+    rows = quality.doctor_sample(described(store), "source", ["watermark_ts", "ts", "source_id"], since)
+    quality.doctor_checks(rows, "source", ["watermark_ts", "ts", "source_id"]).show(1000, False)
 
 
 def freshness(store: Store, args: argparse.Namespace) -> None:

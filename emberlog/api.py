@@ -14,52 +14,94 @@ from pyspark.sql import functions as F
 from emberlog.functions.text import question_window
 from emberlog.operators import quality, search, views
 
-#: Functions that reach outside. Sessions have no roles to fall back on, so the parsed plan is what is judged.
-FORBIDDEN_CALLS = ("reflect(", "java_method(", "try_reflect(", "read_files(")
-
-
 class NotAQuery(ValueError):
     pass
 
 
+#: Functions that reach outside the tables they are given, by name; table functions are named the other way round.
+FORBIDDEN_CALLS = {"reflect", "java_method", "try_reflect", "read_files", "input_file_name", "current_user", "session_user", "user"}
+TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"}
+#: Leaves of a parsed plan that read no table.
+PLAIN_LEAVES = {"OneRowRelation", "UnresolvedInlineTable", "LocalRelation", "Range", "UnresolvedSubqueryColumnAliases"}
+
+
+class Scope:
+    """Walks a parsed plan and knows which names each part of it can see: a common table expression's body sees those
+    before it and around it, never its own name, so a table of that name is judged as a table."""
+
+    def __init__(self, spark: SparkSession, tables: list[str]):
+        jvm = spark._jvm
+        kind = lambda name: jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.{name}")
+        self.command = [kind("plans.logical.Command"), kind("plans.logical.ParsedStatement")]
+        self.tables = {t.lower() for t in tables}
+
+    def plan(self, node, names: frozenset = frozenset()) -> None:
+        kind = node.getClass().getSimpleName()
+        if any(c.isInstance(node) for c in self.command):
+            raise NotAQuery("only queries are allowed")
+        if "UnresolvedIdentifier" in kind:
+            raise NotAQuery("names must be written out")
+        if kind == "UnresolvedWith":
+            for each in items(node.cteRelations()):
+                self.plan(each._2(), names)
+                names |= {each._1().lower()}
+        if kind == "UnresolvedRelation":
+            parts = [p.lower() for p in items(node.multipartIdentifier())]
+            if len(parts) != 1 or not ({*parts} & (names | self.tables)):
+                raise NotAQuery(f"unknown table: {'.'.join(parts)}")
+        elif kind == "UnresolvedTableValuedFunction":
+            if ".".join(items(node.name())).lower() not in TABLE_FUNCTIONS:
+                raise NotAQuery("a function that reaches outside is not allowed")
+        elif node.children().isEmpty() and kind not in PLAIN_LEAVES:
+            raise NotAQuery(f"{kind} is not allowed")
+        for e in items(node.expressions()):
+            self.expression(e, names)
+        for child in items(node.children()):
+            self.plan(child, names)
+
+    def expression(self, e, names: frozenset) -> None:
+        kind = e.getClass().getSimpleName()
+        if "UnresolvedIdentifier" in kind:
+            raise NotAQuery("names must be written out")
+        if kind == "UnresolvedFunction" and [*items(e.nameParts())][-1].lower() in FORBIDDEN_CALLS:
+            raise NotAQuery("a function that reaches outside is not allowed")
+        if hasattr_plan(e):
+            self.plan(e.plan(), names)
+        for child in items(e.children()):
+            self.expression(child, names)
+
+
+def items(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def hasattr_plan(e) -> bool:
+    """Whether an expression holds a query of its own."""
+    return any(m.getName() == "plan" and m.getParameterCount() == 0 for m in e.getClass().getMethods())
+
+
 def tally(spark: SparkSession, sql: str, views_allowed: list[str], timeout: float = 10.0, most: int = 200) -> tuple[str, list[dict]]:
     """The SQL and its first rows as strings. Its parsed plan must be one pure query over the given views; it is
     cancelled after timeout seconds."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    tree = plan.toString()
-    low = sql.lower().replace("`", "")
-    names = {part for leaf in _leaves(plan) for part in [leaf]}
-    if any(x in plan.getClass().getName() for x in ("Command", "Create", "Insert", "Drop", "Delete", "Update", "Merge", "Set", "Truncate")) or "Command" in tree.split("\n")[0]:
-        raise NotAQuery("only queries are allowed")
-    if any(call in low.replace(" ", "") for call in FORBIDDEN_CALLS):
-        raise NotAQuery("a function that reaches outside is not allowed")
-    if unknown := {n for n in names if n not in views_allowed and n not in _ctes(tree)}:
-        raise NotAQuery(f"unknown tables: {', '.join(sorted(unknown))}")
+    try:
+        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as error:  # a parser's error is the question's fault
+        raise NotAQuery(str(error).split("\n")[0]) from error
+    Scope(spark, views_allowed).plan(parsed)
     tag = f"tally-{uuid.uuid4().hex}"
     spark.addTag(tag)
     timer = threading.Timer(timeout, lambda: spark.interruptTag(tag))
     timer.start()
     try:
         df = spark.sql(sql)
-        rows = df.select(*[F.col(f"`{c}`").cast("string") for c in df.columns]).limit(most).collect()
+        names = [c if c not in df.columns[:k] else f"{c}_{k + 1}" for k, c in enumerate(df.columns)]
+        rows = df.toDF(*(f"_{k}" for k in range(len(names)))).select(*[F.col(f"_{k}").cast("string").alias(c) for k, c in enumerate(names)]).limit(most).collect()
     finally:
         timer.cancel()
         spark.removeTag(tag)
     return sql, [r.asDict() for r in rows]
 
 
-def _leaves(plan) -> list[str]:
-    import re
-
-    return re.findall(r"'UnresolvedRelation \[([^\]]+)\]", plan.treeString())
-
-
-def _ctes(tree: str) -> set[str]:
-    import re
-
-    return {n.strip() for m in re.findall(r"CTE \[([^\]]*)\]", tree) for n in m.split(",")}
-
-
 @dataclass
 class Archive:
     """recall, first_mention, evolution, timeline, tally, commitments, ground over segments and events."""

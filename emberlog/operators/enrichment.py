@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -132,17 +133,20 @@ def write_enrichment(replies: DataFrame, segments: DataFrame, entities: DataFram
 
 
 class Pace:
-    """At most rpm calls a minute in this process, evenly spaced; 0: no limit."""
+    """At most rpm calls a minute in one task; 0: no limit. From the first call on time is a grid of slots of 60 / rpm
+    seconds, and each call takes the first slot that has neither passed nor been taken."""
 
     def __init__(self, rpm: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.gap, self.slot, self.clock, self.sleep = 60.0 / rpm if rpm > 0 else 0.0, 0.0, clock, sleep
+        self.rpm, self.clock, self.sleep, self.start, self.taken = rpm, clock, sleep, None, -1
 
     def wait(self) -> None:
-        if self.gap:
-            now = self.clock()
-            mine, self.slot = max(now, self.slot), max(now, self.slot) + self.gap
-            if mine > now:
-                self.sleep(mine - now)
+        if self.rpm <= 0:
+            return
+        self.start = self.clock() if self.start is None else self.start
+        passed = (self.clock() - self.start) * self.rpm / 60
+        self.taken = max(self.taken + 1, ceil(passed))
+        if self.taken > passed:
+            self.sleep((self.taken - passed) * 60 / self.rpm)
 
 
 class Transient(Exception):

@@ -1,4 +1,4 @@
-"""Changes of state: guarded upserts, watermarks, refreshes, erasure with proof. Each returns the new state of a table."""
+"""Changes of state: guarded upserts, watermarks, refreshes, what an erasure would take. Each returns the new state of a table."""
 
 from __future__ import annotations
 
@@ -84,29 +84,6 @@ def purge_counts(doomed: DataFrame, events: DataFrame, segments: DataFrame, ment
     return out
 
 
-def purge(doomed: DataFrame, events: DataFrame, segments: DataFrame, facts: DataFrame, commitments: DataFrame, life_events: DataFrame, deps: DataFrame, mentions: DataFrame) -> dict[str, DataFrame]:
-    """The tables without the threads, an audit row, and proof: rows that still point to something erased (must be empty).
-
-    Commitments that an erased segment resolved are open again. Facts and mentions of erased segments go, and so do
-    dependencies on them, or, where deps names events (source, source_id), on erased events. Life events lose erased event ids, and go if none is left.
-    """
-    gone = segments.join(doomed, "thread_key", "left_semi").select("segment_id")
-    lost = events.join(doomed, "thread_key", "left_semi").select(F.concat_ws(":", "source", "source_id").alias("key"))
-    out = {
-        "events": events.join(doomed, "thread_key", "left_anti"),
-        "segments": segments.join(doomed, "thread_key", "left_anti"),
-        "facts": facts.join(facts.select("fact_id", F.explode("evidence").alias("segment_id")).join(gone, "segment_id", "left_semi").select("fact_id"), "fact_id", "left_anti"),
-        "commitments": commitments.join(gone.select(F.col("segment_id").alias("resolved_by"), F.lit(True).alias("_g")), "resolved_by", "left").withColumn("resolved_by", F.when(F.col("_g").isNull(), F.col("resolved_by"))).drop("_g"),
-        "deps": deps.join(lost.withColumnRenamed("key", "_key"), F.concat_ws(":", "source", "source_id") == F.col("_key"), "left_anti") if "source_id" in deps.columns else deps.join(gone, "segment_id", "left_anti"),
-        "mentions": mentions.join(gone, "segment_id", "left_anti"),
-    }
-    left = life_events.select("life_event_id", F.explode("event_keys").alias("key")).join(lost, "key", "left_anti").groupBy("life_event_id").agg(F.array_sort(F.collect_list("key")).alias("event_keys"))
-    out["life_events"] = life_events.drop("event_keys").join(left, "life_event_id")
-    out["audit"] = lost.agg(F.count("*").alias("events_deleted")).crossJoin(gone.agg(F.count("*").alias("segments_deleted")))
-    out["proof"] = out["segments"].select(F.explode("source_event_ids").alias("key")).join(lost, "key", "left_semi")
-    return out
-
-
 def redaction_backfill(events: DataFrame) -> DataFrame:
     """Events whose text or payload a redaction changes, with the new ones; nothing else is rewritten."""
     payload = "payload" in events.columns

@@ -22,18 +22,47 @@ def freshness(events: DataFrame, key: str, ts: str, now: Column) -> DataFrame:
     return out.select(key, "last_event", "active_days", "usual_gap_days", F.round("silent", 1).alias("days_silent"), status.alias("status"))
 
 
-def doctor_checks(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """key, problem of each source's sample (source_id, ts, text, thread_key, density): one aggregate for all checks."""
-    w = Window.partitionBy(key).orderBy(*order)
-    marked = rows.withColumns({"_gap": seconds_between(F.col("ts"), F.lag("ts").over(w)), "_back": F.col("ts") < F.lag("ts").over(w)})
+# The sources whose samples often carry the time of their import, and the longest span of one rolled-up event.
+STAMPED_ON_IMPORT = ["immich", "paperless", "karakeep"]
+LONGEST_ROLLUP = 3 * 86400
+
+
+def doctor_sample(rows: DataFrame, key: str, order: list[str], since: Column, most: int = 25) -> DataFrame:
+    """The first most rows of each source from since on, with dormant false; of a source that has none, of all its rows,
+    with dormant true: a source that went quiet must still be checked."""
+    w = Window.partitionBy(key)
+    recent = F.coalesce(F.col("ts") >= since, F.lit(False))
+    marked = rows.withColumn("_recent", recent).withColumn("dormant", ~F.max("_recent").over(w)).where("_recent or dormant")
+    return marked.withColumn("_n", F.row_number().over(w.orderBy(*order))).where(F.col("_n") <= most).drop("_n", "_recent")
+
+
+def doctor_checks(rows: DataFrame, key: str, order: list[str], source: Column | None = None) -> DataFrame:
+    """key, problem, n (how many rows, where the check counts them) of what is odd about each source's rows.
+
+    rows (source_id, ts, watermark_ts, text, thread_key, density) in the order in which they come in; source: whose
+    sample it is, if key does not name it. Eight checks: a
+    missing time; neither times nor watermarks ascending (one of them may be unordered); ten times and more within an
+    hour, for sources that tend to give the time of import; an id twice; telemetry whose gaps are mostly (the upper
+    middle, of ten times and more) under a minute; narrative texts mostly blank; no narrative row with a thread of its
+    own; telemetry that ends more than three days after it began. Rows without a time count for the first, fourth,
+    sixth and seventh check only. One pass of counts and sums: gaps are judged by how many are short, so none is kept.
+    """
+    some = Window.partitionBy(key, F.col("ts").isNull()).orderBy(*order)
+    marks = Window.partitionBy(key, F.col("watermark_ts").isNull()).orderBy(*order)
+    marked = rows.withColumns({"_gap": seconds_between(F.col("ts"), F.lag("ts").over(some)), "_mark": F.col("watermark_ts") < F.lag("watermark_ts").over(marks), "_span": seconds_between(F.col("watermark_ts"), F.col("ts")), "_blank": F.coalesce(F.col("text"), F.lit("")).rlike(r"(?U)^\s*$")})
     got = marked.groupBy(key).agg(
-        F.count("*").alias("n"), F.count_if(F.col("ts").isNull()).alias("no_ts"), F.count_if("_back").alias("back"), seconds_between(F.max("ts"), F.min("ts")).alias("span"),
-        (F.count("*") - F.countDistinct("source_id")).alias("dup"), F.expr("percentile(_gap, 0.5)").alias("mid"), F.avg(F.when(F.coalesce(F.trim("text"), F.lit("")) == "", 1.0).otherwise(0.0)).alias("empty"),
-        F.max(F.col("thread_key") == "default").alias("default_thread"), F.max(F.col("density")).alias("density"),
+        F.count("*").alias("n"), F.count("ts").alias("n_ts"), F.count_if(F.col("_gap") < 0).alias("back"), F.count_if("_mark").alias("mark_back"), seconds_between(F.max("ts"), F.min("ts")).alias("span"),
+        (F.count("source_id") - F.countDistinct("source_id")).alias("dup"), F.count_if(F.col("_gap") < 60).alias("short"), F.count("_gap").alias("gaps"), F.count_if("_blank").alias("empty"),
+        F.count_if(F.col("thread_key") == "default").alias("default_thread"), F.count_if(F.col("_span") > LONGEST_ROLLUP).alias("long_span"), F.max("density").alias("density"), F.max(source if source is not None else F.col(key)).alias("_source"),
     )
-    checks = [("missing timestamps", "no_ts > 0"), ("out of order", "back > 0"), ("timestamps look like import time", "n > 2 and span < 3600"), ("duplicate ids", "dup > 0"), ("telemetry not rolled up", "density = 'telemetry' and mid < 60"), ("mostly empty text", "density = 'narrative' and empty > 0.5"), ("default thread", "density = 'narrative' and default_thread"), ("rollup span over three days", "density = 'telemetry' and span > 259200 and n = 1")]
-    found = F.filter(F.array(*[F.when(F.expr(e), F.lit(name)) for name, e in checks]), lambda x: x.isNotNull())
-    return got.select(key, F.explode(found).alias("problem"))
+    checks = [
+        ("missing timestamps", "n_ts < n", "n - n_ts"), ("out of order", "back > 0 and mark_back > 0", "0"),
+        ("timestamps look like import time", f"n_ts >= 10 and span < 3600 and _source in ({', '.join(repr(x) for x in STAMPED_ON_IMPORT)})", "n_ts"), ("duplicate ids", "dup > 0", "dup"),
+        ("telemetry not rolled up", "density = 'telemetry' and n_ts >= 10 and short > gaps div 2", "short"), ("mostly empty text", "density = 'narrative' and 2 * empty > n", "empty"),
+        ("default thread", "density = 'narrative' and default_thread = n", "n"), ("rollup span over three days", "density = 'telemetry' and long_span > 0", "long_span"),
+    ]
+    found = F.filter(F.array(*[F.when(F.expr(e), F.struct(F.lit(name).alias("problem"), F.expr(n).cast("long").alias("n"))) for name, e, n in checks]), lambda x: x.isNotNull())
+    return got.select(key, F.explode(found).alias("p")).select(key, "p.problem", "p.n")
 
 
 def evaluate(ranked: DataFrame, gold: DataFrame, kinds: DataFrame) -> DataFrame:

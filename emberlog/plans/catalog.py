@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import text as T
 from emberlog.functions import times
-from emberlog.operators import facts, lifecycle, quality, resolve, search, segments, sessions, views
+from emberlog.operators import erasure, facts, lifecycle, quality, resolve, search, segments, sessions, views
 
 Q: dict = {}
 ORACLE: dict[str, str] = {}
@@ -345,6 +345,56 @@ def purge_preview(spark, sf_dir):
     return lifecycle.purge_preview(e.where("user_id % 10 = 0").select("thread_key").distinct(), e, s, f)
 
 
+PURGE_SQL = """doomed AS (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 0),
+ev AS (SELECT event_id, user_id, 'driver:' || event_id AS key, user_id % 10 = 0 AS gone FROM events),
+seg AS (SELECT user_id AS segment_id, user_id % 10 = 0 AS gone, count(*) AS n FROM events GROUP BY user_id),
+fact AS (SELECT o_orderkey AS id, 1 + o_custkey % 100 AS segment_id, [o_orderkey % 500, o_orderkey % 77] AS cites FROM orders),
+com AS (SELECT o_orderkey AS id, 1 + o_orderkey % 100 AS segment_id, CASE WHEN o_orderkey % 3 = 0 THEN 1 + (o_orderkey // 7) % 90 END AS resolved_by FROM orders),
+men AS (SELECT l_partkey AS entity_id, 1 + l_suppkey % 100 AS segment_id FROM lineitem),
+life AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN [] WHEN c_custkey % 7 = 0 THEN NULL ELSE [c_custkey % 300, c_custkey % 40, c_custkey % 300] END AS cites FROM customer),
+gl AS (SELECT list(event_id) AS g FROM ev WHERE gone),
+cut AS (SELECT id, len(list_filter(cites, lambda x: NOT list_contains(g, x))) AS rest, cites FROM life, gl)"""
+
+
+def archive_tables(spark, sf_dir):
+    """A whole archive: segments by user, facts and commitments from orders, mentions from line items, life events from
+    customers, dependencies of every fact and commitment on the events that it cites."""
+    e, o = events(spark, sf_dir), read(spark, sf_dir, "orders")
+    keys = lambda *ids: F.transform(F.array(*ids), lambda x: F.concat(F.lit("driver:"), x))
+    key, cust, none = F.col("o_orderkey"), F.col("c_custkey"), F.lit(None).cast("array<string>")
+    out = {
+        "events": e.select("source", "source_id", "thread_key", "ts", "text"),
+        "segments": e.groupBy("user_id", "thread_key").agg(F.array_sort(F.collect_list(F.concat_ws(":", "source", "source_id"))).alias("source_event_ids")).select(F.col("user_id").cast("long").alias("segment_id"), "thread_key", "source_event_ids", F.when(F.col("user_id") % 3 > 0, F.array(F.lit(1.0))).alias("embedding")),
+        "facts": o.select(key.alias("fact_id"), (1 + F.col("o_custkey") % 100).alias("source_segment_id"), keys(key % 500, key % 77).alias("source_event_ids")),
+        "commitments": o.select(key.alias("commitment_id"), (1 + key % 100).alias("source_segment_id"), F.when(key % 3 == 0, 1 + F.expr("o_orderkey div 7") % 90).alias("resolution_segment_id"), F.lit("done").alias("status"), keys(key % 500).alias("source_event_ids")),
+        "mentions": read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity_id"), (1 + F.col("l_suppkey") % 100).alias("segment_id")),
+        "life_events": read(spark, sf_dir, "customer").select(cust.alias("life_event_id"), F.when(cust % 5 == 0, F.array().cast("array<string>")).when(cust % 7 == 0, none).otherwise(keys(cust % 300, cust % 40, cust % 300)).alias("source_event_ids")),
+    }
+    cited = lambda kind: out[f"{kind}s"].select(F.lit(kind).alias("projection_kind"), F.col(f"{kind}_id").alias("projection_id"), F.lit("driver").alias("source"), F.explode("source_event_ids").alias("k")).withColumn("source_id", F.substring_index("k", ":", -1)).drop("k")
+    return out | {"deps": cited("fact").unionByName(cited("commitment")).distinct()}
+
+
+@query("purge_audit", f"""WITH {PURGE_SQL}, gone AS (SELECT event_id FROM ev WHERE gone), seg_gone AS (SELECT segment_id FROM seg WHERE gone),
+f AS (SELECT id, cites, segment_id IN (SELECT segment_id FROM seg_gone) OR len(list_filter(cites, lambda x: NOT list_contains(g, x))) = 0 AS out FROM fact, gl),
+c AS (SELECT id, id % 500 AS cite, resolved_by, segment_id IN (SELECT segment_id FROM seg_gone) OR id % 500 IN (SELECT event_id FROM gone) AS out FROM com),
+d AS (SELECT DISTINCT 'f' AS k, id, unnest(cites) AS e, out FROM f UNION SELECT 'c', id, cite, out FROM c)
+SELECT 'events_deleted' AS kind, (SELECT count(*) FROM gone) AS n, 0 AS leftovers
+UNION ALL SELECT 'segments_deleted', (SELECT count(*) FROM seg_gone), 0
+UNION ALL SELECT 'facts_deleted', (SELECT count(*) FROM f WHERE out), 0
+UNION ALL SELECT 'commitments_deleted', (SELECT count(*) FROM c WHERE out), 0
+UNION ALL SELECT 'mentions_deleted', (SELECT count(*) FROM men WHERE segment_id IN (SELECT segment_id FROM seg_gone)), 0
+UNION ALL SELECT 'life_events_deleted', (SELECT count(*) FROM cut WHERE len(cites) > 0 AND rest = 0), 0
+UNION ALL SELECT 'deps_deleted', (SELECT count(*) FROM d WHERE out OR e IN (SELECT event_id FROM gone)), 0
+UNION ALL SELECT 'commitments_reopened', (SELECT count(*) FROM c WHERE NOT out AND resolved_by IN (SELECT segment_id FROM seg_gone)), NULL""")
+def purge_audit(spark, sf_dir):
+    """What an erasure of every tenth user takes from each table, and what its proof finds left there."""
+    tables = archive_tables(spark, sf_dir)
+    doomed = tables["events"].where("cast(substring(thread_key, 2) as int) % 10 = 0").select("thread_key")
+    after = erasure.purge(doomed, **tables)
+    left = erasure.proof(doomed, tables, after).select(F.concat("table", F.lit("_deleted")).alias("kind"), F.col("leftovers").cast("int").alias("leftovers"))
+    return after["audit"].join(left, "kind", "left").select("kind", "n", "leftovers")
+
+
 @query("excluded_threads", "SELECT c_custkey AS chat_id FROM customer WHERE lower(c_name) LIKE '%7' UNION SELECT c_custkey FROM customer WHERE c_custkey % 13 = 0 UNION SELECT 42 UNION SELECT 777000")
 def excluded_threads(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
@@ -358,10 +408,36 @@ def freshness(spark, sf_dir):
     return quality.freshness(read(spark, sf_dir, "events"), "user_id", "ts", F.lit(datetime(2024, 2, 4)))
 
 
-@query("doctor_checks", "WITH m AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap, ts < lag(ts) OVER w AS back, (event_id // 25) AS k FROM events WINDOW w AS (PARTITION BY event_id // 25 ORDER BY event_id)), a AS (SELECT k, count(*) AS n, count(*) FILTER (WHERE back) AS back, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS span, quantile_cont(gap, 0.5) AS mid FROM m GROUP BY k) SELECT k, unnest(list_filter([CASE WHEN back > 0 THEN 'out of order' END, CASE WHEN n > 2 AND span < 3600 THEN 'timestamps look like import time' END, CASE WHEN mid < 60 THEN 'telemetry not rolled up' END], lambda x: x IS NOT NULL)) AS problem FROM a")
+DOCTOR_ROWS = "r AS (SELECT ['immich', 'telegram', 'wakapi', 'karakeep', 'lastfm'][1 + (event_id // 25) % 5] AS source, event_id // 25 AS run, CASE WHEN event_id % 9 = 7 AND (event_id // 25) % 8 = 3 THEN 'twice' ELSE event_id::VARCHAR END AS source_id, event_id, CASE WHEN event_id % 211 = 5 THEN NULL WHEN (event_id // 25) % 3 = 0 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * (event_id % 25) * CASE WHEN (event_id // 25) % 2 = 0 THEN 50 ELSE 90 END WHEN (event_id // 25) % 11 = 4 THEN ts - INTERVAL 1 HOUR * (event_id % 25) * 40 ELSE ts END AS ts, ts + INTERVAL 1 DAY * CASE WHEN event_id % 40 = 3 THEN 4 ELSE 0 END AS mark, CASE WHEN (event_id // 25) % 4 = 1 AND event_id % 2 = 0 THEN ' ' WHEN (event_id // 25) % 4 = 2 AND event_id % 3 > 0 THEN NULL ELSE props END AS text, CASE WHEN (event_id // 25) % 7 = 1 THEN 'default' ELSE event_type END AS thread_key FROM events)"
+
+
+@query("doctor_checks", f"""WITH {DOCTOR_ROWS},
+k AS (SELECT *, source || ':' || run AS name, CASE WHEN source IN ('immich', 'wakapi', 'lastfm') THEN 'telemetry' WHEN source = 'telegram' THEN 'narrative' ELSE 'discrete' END AS density FROM r),
+l AS (SELECT name, any_value(source) AS source, any_value(density) AS density, count(*) AS n, list(ts ORDER BY event_id) FILTER (WHERE ts IS NOT NULL) AS t, list(mark ORDER BY event_id) FILTER (WHERE mark IS NOT NULL) AS m, count(source_id) - count(DISTINCT source_id) AS dup, count(*) FILTER (WHERE trim(coalesce(text, '')) = '') AS empty, list(DISTINCT thread_key) AS threads, count(*) FILTER (WHERE mark - ts > INTERVAL 3 DAY) AS long_span FROM k GROUP BY name),
+g AS (SELECT *, list_sort(list_transform(range(1, len(t)), lambda i: (epoch_us(t[i + 1]) - epoch_us(t[i])) / 1e6)) AS gaps FROM l),
+p AS (SELECT name, 'missing timestamps' AS problem, n - coalesce(len(t), 0) AS n FROM g WHERE coalesce(len(t), 0) < n
+UNION ALL SELECT name, 'out of order', 0 FROM g WHERE t <> list_sort(t) AND m <> list_sort(m)
+UNION ALL SELECT name, 'timestamps look like import time', len(t) FROM g WHERE len(t) >= 10 AND epoch_us(list_max(t)) - epoch_us(list_min(t)) < 3600000000 AND source IN ('immich', 'paperless', 'karakeep')
+UNION ALL SELECT name, 'duplicate ids', dup FROM g WHERE dup > 0
+UNION ALL SELECT name, 'telemetry not rolled up', len(list_filter(gaps, lambda x: x < 60)) FROM g WHERE density = 'telemetry' AND len(t) >= 10 AND gaps[len(gaps) // 2 + 1] < 60
+UNION ALL SELECT name, 'mostly empty text', empty FROM g WHERE density = 'narrative' AND empty > 0.5 * n
+UNION ALL SELECT name, 'default thread', n FROM g WHERE density = 'narrative' AND threads = ['default']
+UNION ALL SELECT name, 'rollup span over three days', long_span FROM g WHERE density = 'telemetry' AND long_span > 0)
+SELECT problem, count(*) AS sources, sum(n)::BIGINT AS n, min(name) AS first, max(name) AS last FROM p GROUP BY problem""")
 def doctor_checks(spark, sf_dir):
-    rows = events(spark, sf_dir).withColumns({"k": F.expr("event_id div 25"), "density": F.lit("telemetry")})
-    return quality.doctor_checks(rows, "k", ["event_id"])
+    """Runs of 25 events in the order of their ids, with every kind of fault somewhere."""
+    e = read(spark, sf_dir, "events")
+    run, i = F.expr("event_id div 25"), F.col("event_id")
+    source = F.element_at(F.array(*map(F.lit, ("immich", "telegram", "wakapi", "karakeep", "lastfm"))), (1 + run % 5).cast("int"))
+    at = F.when(i % 211 == 5, None).when(run % 3 == 0, F.expr("timestamp_ntz '2024-01-01'") + F.make_dt_interval(secs=(i % 25) * F.when(run % 2 == 0, 50).otherwise(90))).when(run % 11 == 4, F.col("ts") - F.make_dt_interval(hours=((i % 25) * 40).cast("int"))).otherwise(F.col("ts"))
+    rows = e.select(
+        source.alias("source"), run.alias("run"), F.when((i % 9 == 7) & (run % 8 == 3), "twice").otherwise(i.cast("string")).alias("source_id"), i.alias("place"), at.alias("ts"), (F.col("ts") + F.make_dt_interval(days=F.when(i % 40 == 3, 4).otherwise(0))).alias("watermark_ts"),
+        F.when((run % 4 == 1) & (i % 2 == 0), " ").when((run % 4 == 2) & (i % 3 > 0), None).otherwise(F.col("props")).alias("text"), F.when(run % 7 == 1, "default").otherwise(F.col("event_type")).alias("thread_key"),
+    )
+    density = F.when(F.col("source").isin("immich", "wakapi", "lastfm"), "telemetry").when(F.col("source") == "telegram", "narrative").otherwise("discrete")
+    rows = rows.withColumns({"density": density, "name": F.concat_ws(":", "source", "run")})
+    out = quality.doctor_checks(rows, "name", ["place"], source=F.col("source"))
+    return out.groupBy("problem").agg(F.count("*").alias("sources"), F.sum("n").alias("n"), F.min("name").alias("first"), F.max("name").alias("last"))
 
 
 @query("coerce_ts", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN make_timestamp((1700000000 + event_id) * 1000000) WHEN 1 THEN make_timestamp((1700000000000 + event_id) * 1000) WHEN 2 THEN date_trunc('second', ts) WHEN 3 THEN date_trunc('day', ts) END AS at FROM events")

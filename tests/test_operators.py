@@ -135,18 +135,6 @@ def test_conflicts_never_end_before_they_begin(spark):
     assert got == {1: T0 + timedelta(days=9), 2: None, 3: None, 4: None}
 
 
-def test_purge_leaves_no_trace(spark):
-    e = spark.createDataFrame([("s", str(k), "bad" if k % 2 else "good") for k in range(6)], "source string, source_id string, thread_key string")
-    s = spark.createDataFrame([(1, "bad", ["s:1", "s:3", "s:5"]), (2, "good", ["s:0", "s:2"])], "segment_id long, thread_key string, source_event_ids array<string>")
-    f = spark.createDataFrame([(1, [1, 2]), (2, [2])], "fact_id long, evidence array<long>")
-    c = spark.createDataFrame([(1, 1), (2, 2)], "commitment_id long, resolved_by long")
-    life = spark.createDataFrame([(1, ["s:0", "s:1"]), (2, ["s:3"])], "life_event_id long, event_keys array<string>")
-    d = spark.createDataFrame([(1, 1), (2, 2)], "dep long, segment_id long")
-    out = lifecycle.purge(spark.createDataFrame([("bad",)], "thread_key string"), e, s, f, c, life, d, d)
-    assert {k: v.count() for k, v in out.items()} == {"events": 3, "segments": 1, "facts": 1, "commitments": 2, "deps": 1, "mentions": 1, "life_events": 1, "audit": 1, "proof": 0}
-    assert {r["commitment_id"]: r["resolved_by"] for r in out["commitments"].collect()} == {1: None, 2: 2}
-
-
 @pytest.mark.parametrize("days, silent, status", [(range(20), 3, "ok"), (range(20), 4, "silent"), (range(0, 200, 10), 15, "ok"), (range(0, 200, 10), 30, "silent"), (range(20), 400, "dormant"), (range(3), 1, "unknown")])
 def test_freshness(spark, days, silent, status):
     rows = [("k", T0 + timedelta(days=d)) for d in days]
@@ -181,14 +169,50 @@ def test_registry_and_isolation():
     assert readers.parse_dsn("mysql://u:p%40ss@h:3306/db") == {"host": "h", "port": 3306, "user": "u", "password": "p@ss", "database": "db"}
 
 
+GOOD = [
+    "WITH x AS (SELECT * FROM five) SELECT count(*) AS n FROM x", "with a as (select 1 as x), b as (select * from a) select * from b", "select * from five f join (select id from five) g on f.id = g.id where f.id in (select id from five)",
+    "select (select max(id) from five) as m", "with x as (with y as (select * from five) select * from y) select * from x", "select * from five lateral view explode(array(1)) t as z", "select sum(id) over (order by id) as s from FIVE", "select 1 as one", "select * from range(3)", "select * from values (1), (2) t(a)",
+]
+BAD = [
+    "DROP VIEW five", "CREATE TABLE z AS SELECT 1", "SET a=b", "INSERT INTO five SELECT 1", "explain select 1", "show tables", "garbage in",
+    # a name that only the expression itself has, outside its scope or one level down
+    "with secret as (select * from secret) select * from secret", "with x as (with secret as (select * from secret) select * from secret) select * from x", "with five as (select * from secret) select * from five", "with a as (select * from b), b as (select 1) select * from a", "select * from (with secret as (select 1) select * from secret) join secret",
+    # tables in subqueries, of any kind
+    "select * from (select * from secret)", "select * from five where id in (select id from secret)", "select (select max(id) from secret)", "select exists(select 1 from secret)", "select * from five, lateral (select * from secret)", "select * from five union all select * from secret", "from secret |> select *",
+    # other ways to a table or out of the tables
+    "SELECT * FROM parquet.`/tmp`", "select * from identifier('secret')", "select * from spark_catalog.default.five", "select * from read_files('/tmp')",
+    "SELECT reflect('java.lang.System', 'exit', 1)", "select `reflect`/**/('java.lang.System', 'exit', 1)", "select identifier('reflect')('a')", "select * from five where java_method('a', 'b') = 1 order by reflect('a', 'b')",
+]
+
+
 def test_tally_reads_only(spark):
     from emberlog.api import NotAQuery, tally
 
     spark.range(5).createOrReplaceTempView("five")
-    assert tally(spark, "WITH x AS (SELECT * FROM five) SELECT count(*) AS n FROM x", ["five"])[1] == [{"n": "5"}]
-    for bad in ("DROP VIEW five", "CREATE TABLE z AS SELECT 1", "SELECT * FROM parquet.`/tmp`", "SELECT reflect('java.lang.System', 'exit', 1)", "SET a=b", "INSERT INTO five SELECT 1"):
+    spark.range(5).createOrReplaceTempView("secret")
+    assert tally(spark, GOOD[0], ["five"])[1] == [{"n": "5"}]
+    for sql in GOOD:
+        assert tally(spark, sql, ["five"])[1]
+    assert tally(spark, "select id, id from five where id = 1", ["five"])[1] == [{"id": "1", "id_2": "1"}]
+    for sql in BAD:
         with pytest.raises(NotAQuery):
-            tally(spark, bad, ["five"])
+            tally(spark, sql, ["five"])
+
+
+def test_span_of_a_question_is_that_of_the_driver(spark):
+    from emberlog.functions import text as T
+
+    questions = ["what happened in 2024", "in January 2020", "взимку 2021", "в травні 2019", "лето 2022", "autumn 1995", "2019 or 2020", "no year", "2024 and 2024 fall", "МАРТ 2023", "May 1979", ""]
+    got = spark.createDataFrame([(q,) for q in questions], "q string").select("q", T.question_span(F.col("q")).alias("s")).collect()
+    for r in got:
+        want = T.question_window(r["q"])
+        assert (None if r["s"] is None else (r["s"]["date_from"], r["s"]["date_to"])) == (None if want is None else tuple(x.replace(tzinfo=None) for x in want)), r["q"]
+
+
+def test_sample_of_a_quiet_source_is_its_past(spark):
+    rows = spark.createDataFrame([("a", k, T0 + timedelta(days=k)) for k in range(50)] + [("b", k, T0 - timedelta(days=k)) for k in range(40)] + [("c", 1, None)], "source string, source_id long, ts timestamp")
+    got = quality.doctor_sample(rows, "source", ["ts", "source_id"], F.lit(T0 + timedelta(days=30)))
+    assert {(r["source"], r["dormant"]): r["n"] for r in got.groupBy("source", "dormant").agg(F.count("*").alias("n")).collect()} == {("a", False): 20, ("b", True): 25, ("c", True): 1}
 
 
 def test_closed_sessions_stream(spark, tmp_path):
