@@ -103,9 +103,20 @@ def squared_distance(rows: DataFrame, one_sided: bool = False) -> tuple[DataFram
 
 
 def with_distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    joined = rows.join(fit, "grp")
-    joined, d2 = squared_distance(joined)
-    return joined.withColumn("d2", d2).drop(*[c for c in fit.columns if c != "grp"], *[f"y{i}" for i in range(P)])
+    """grp, the features and d2; and edge, where fit has one. Expressions are put together before they are planned."""
+    z = [F.col(f) - F.col(f"m{i}") for i, f in enumerate(FEATURES)]
+    y = [sum((F.col(f"w{i}{j}") * z[j] for j in range(i)), F.col(f"w{i}{i}") * z[i]) for i in range(P)]
+    more = [c for c in ("edge",) if c in fit.columns]
+    return rows.join(fit, "grp").select("grp", *FEATURES, *more, sum((v * v for v in y[1:]), y[0] * y[0]).alias("d2"))
+
+
+def with_inverse(fit: DataFrame) -> DataFrame:
+    """The factor's columns c00.. and those of its inverse, w00.., one group a row: distances of rows are sums then."""
+    for j in range(P):
+        for i in range(j, P):
+            rest = F.lit(1.0) if i == j else -sum((F.col(f"c{i}{k}") * F.col(f"w{k}{j}") for k in range(j + 1, i)), F.col(f"c{i}{j}") * F.col(f"w{j}{j}"))
+            fit = fit.withColumn(f"w{i}{j}", rest / F.col(f"c{i}{i}"))
+    return fit
 
 
 def with_factor(rows: DataFrame) -> DataFrame:
@@ -121,7 +132,8 @@ def with_factor(rows: DataFrame) -> DataFrame:
 
 def cholesky(fit: DataFrame) -> DataFrame:
     """The factor of each group's covariance, one group a row."""
-    return with_factor(fit).select("grp", *[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i in range(P) for j in range(i + 1)])
+    lower = [(i, j) for i in range(P) for j in range(i + 1)]
+    return with_inverse(with_factor(fit)).select("grp", *[f"m{i}" for i in range(P)], *[f"{x}{i}{j}" for x in "cw" for i, j in lower])
 
 
 def widened(rows: DataFrame) -> DataFrame:
@@ -154,9 +166,9 @@ def mcd(rows: DataFrame) -> DataFrame:
     start = median.join(spread, ["grp", "k"]).groupBy("grp").agg(*[F.max(F.when(F.col("k") == i, F.col("mid"))).alias(f"m{i}") for i in range(P)], *[F.max(F.when(F.col("k") == i, F.pow(F.col("mad") * 1.4826, 2) + RIDGE[i])).alias(f"v{i}{i}") for i in range(P)])
     fit = materialize(cholesky(start.withColumns({f"v{i}{j}": F.lit(0.0) for i in range(P) for j in range(i)})))
     for step in range(STEPS):
-        near = with_distance(rows, fit)
-        edge = binned_quantile(near, ["grp"], F.log1p("d2"), SHARE, "edge")
-        kept = near.join(edge, "grp").where(F.log1p("d2") <= F.col("edge"))
+        # The edge is written before it is used: two small plans, each planned anew as its stages end, weigh less on the driver than one.
+        edge = materialize(fit.join(binned_quantile(with_distance(rows, fit), ["grp"], F.log1p("d2"), SHARE, "edge"), "grp"))
+        kept = with_distance(rows, edge).where(F.log1p("d2") <= F.col("edge"))
         fit = materialize(concentrate(kept, CONSISTENT if step == STEPS - 1 else 1.0))
     return fit
 
@@ -184,7 +196,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Each (language, source) picks its level once; then one join gives every document its estimate.
     names = passed.select("lang", "source").distinct().select("lang", "source", F.posexplode(F.array(*levels)).alias("k", "grp"))
     chosen = names.join(big, "grp").groupBy("lang", "source").agg(F.min_by("grp", "k").alias("grp"))
-    fits = chosen.join(fit, "grp").drop("grp").withColumn("grp", F.concat_ws("\x01", "lang", "source")).drop("lang", "source")
+    # Written down like the estimates: the plan that reads every document stays a small one.
+    fits = materialize(chosen.join(fit, "grp").select(F.concat_ws("\x01", "lang", "source").alias("grp"), *[c for c in fit.columns if c[0] in "mc"]))
     judged, d2 = squared_distance(widened(stats.withColumn("grp", F.concat_ws("\x01", "lang", "source")).join(fits, "grp", "left")), one_sided=True)
     distance = F.when(~F.col("base_failed"), d2)
     kept = ~F.col("base_failed") & F.coalesce(distance <= cutoff, F.lit(True))
