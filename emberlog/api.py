@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 import uuid
 from collections.abc import Callable
@@ -12,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import question_window
-from emberlog.operators import quality, search, views
+from emberlog.operators import nearest, quality, search, views
+
+LOG = logging.getLogger(__name__)
+# Characters of a segment that answers hold (recall; for or against a claim; bins of time), and that a reranker is shown.
+RETURNED, CLAIMED, BINNED, RERANKED = 2000, 1500, 800, 700
 
 class NotAQuery(ValueError):
     pass
@@ -111,25 +116,27 @@ class Archive:
     events: DataFrame
     commitments_table: DataFrame
 
-    def recall(self, question: str, vector: list[float] | None = None, limit: int = 20, rerank: Callable[[str, list[str]], list[int]] | None = None, pool: int = 40, enrich: bool = False, index: str | None = None, **filters) -> DataFrame:
+    def recall(self, question: str, vector: list[float] | None = None, limit: int = 20, rerank: Callable[[str, list[str]], list[int]] | None = None, pool: int = 40, enrich: bool = False, index: str | None = None, vectors: nearest.Vectors | None = None, **filters) -> DataFrame:
         """id, score, ranks, text and started_at of the best segments; a year that the question names confines it.
 
-        rerank(question, texts) gives places in a new order, the best first; it sees the best of max(limit, pool), and
-        what it leaves out follows in the old order. enrich fuses the enrichment's own list in.
+        rerank(question, texts) gives places in a new order, the best first; it sees the first RERANKED characters of the best
+        of max(limit, pool), and what it leaves out follows in the old order; if it fails, the old order stands. enrich fuses
+        the enrichment's own list in. index and vectors: what is kept of this archive; filters may go with both.
         """
         if not filters.get("date_from") and not filters.get("date_to") and (span := question_window(question)):
             filters |= {"date_from": span[0], "date_to": span[1]}
         wide = max(limit, pool) if rerank else limit
-        some = search.restrict(self.segments, **filters)
-        if index is not None and filters:
-            index = None  # the kept index is the whole archive's
-        found = search.hybrid_search(some, question, vector, n_final=wide, enrich_col="enrich_text" if enrich else None, index=index)
-        texts = self.segments.select(F.col("segment_id").alias("id"), F.substring("raw_text", 1, 2000).alias("text"), "started_at")
+        found = search.hybrid_search(self.segments, question, vector, n_final=wide, enrich_col="enrich_text" if enrich else None, index=index, vectors=vectors, **filters)
+        texts = self.segments.select(F.col("segment_id").alias("id"), F.substring("raw_text", 1, RETURNED).alias("text"), "started_at")
         out = found.join(texts, "id").orderBy(F.desc("score"), "id")
         if rerank is None:
             return out
         rows = out.collect()  # at most max(limit, pool) of them
-        order = [rows[k]["id"] for k in rerank(question, [r["text"] for r in rows]) if 0 <= k < len(rows)]
+        try:
+            order = [rows[k]["id"] for k in rerank(question, [(r["text"] or "")[:RERANKED] for r in rows]) if 0 <= k < len(rows)]
+        except Exception:  # a reranker that fails costs the new order, not the answer
+            LOG.warning("the reranker failed; the order of the search stands", exc_info=True)
+            order = []
         ranked = self.spark.createDataFrame([(*r, k + 1) for k, r in enumerate(rows)], out.schema.add("rank", "long"))
         return search.apply_ranking(ranked, order).limit(limit).drop("place", "rank")
 
@@ -148,7 +155,18 @@ class Archive:
         return search.first_mention(self.events, [term.lower()])
 
     def evolution(self, vector: list[float], bin_seconds: int = 90 * 86400, per_bin: int = 10) -> DataFrame:
-        return search.stratified_search(self.segments, vector, bin_seconds, per_bin)
+        """The nearest segments of each bin of time with the head of their text and their events, oldest bin first."""
+        found = search.stratified_search(self.segments, vector, bin_seconds, per_bin)
+        return self.quoted(found, BINNED).orderBy("bin_start", "rank_in_bin")
+
+    def contradictions(self, claim: str, vector: list[float] | None = None, limit: int = 20, index: str | None = None, vectors: nearest.Vectors | None = None) -> DataFrame:
+        """What speaks for or against a claim, in order of time: that a view changed shows in no order by score."""
+        return self.quoted(search.hybrid_search(self.segments, claim, vector, n_final=limit, index=index, vectors=vectors), CLAIMED).orderBy("started_at", "id")
+
+    def quoted(self, found: DataFrame, most_chars: int) -> DataFrame:
+        """found (id ...) with started_at, the head of the text, and the events that it rests on where they are known."""
+        events = F.col("source_event_ids") if "source_event_ids" in self.segments.columns else F.lit(None).cast("array<string>")
+        return found.join(self.segments.select(F.col("segment_id").alias("id"), "started_at", F.substring("raw_text", 1, most_chars).alias("text"), events.alias("source_event_ids")), "id")
 
     def timeline(self, start: datetime, end: datetime, sources: list[str] | None = None) -> DataFrame:
         return search.timeline(self.segments, start, end, sources)

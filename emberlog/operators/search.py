@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from math import log
+from zlib import crc32
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import let, lexemes, tokens, unaccent
 from emberlog.functions.times import bin_start, recency_factor
 from emberlog.functions.vectors import cosine_distance
+from emberlog.store import keep, kept
 
 RARE = 0.05
+CALLS = ThreadPoolExecutor(8, "search")
 
 
 def restrict(segments: DataFrame, date_from: datetime | None = None, date_to: datetime | None = None, threads: list[str] | None = None, sources: list[str] | None = None) -> DataFrame:
@@ -28,28 +33,80 @@ def restrict(segments: DataFrame, date_from: datetime | None = None, date_to: da
     return segments
 
 
-def postings(segments: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """lexeme, id: one row for each distinct lexeme of a segment."""
-    return segments.select(F.explode(lexemes(F.col(text_col))).alias("lexeme"), F.col(id_col).alias("id"))
+def substantive(segments: DataFrame) -> DataFrame:
+    """What ranked search looks at: not the segments that hold too little."""
+    return segments.where(F.coalesce("is_substantive", F.lit(True))) if "is_substantive" in segments.columns else segments
+
+
+def postings(segments: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """lexeme, id and more: one row for each distinct lexeme of a substantive segment."""
+    return substantive(segments).select(F.explode(lexemes(F.col(text_col))).alias("lexeme"), F.col(id_col).alias("id"), *more)
 
 
 def lexeme_df(segments: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return postings(segments, id_col, text_col).groupBy("lexeme").agg(F.count("*").alias("df"))
 
 
-def keep_index(segments: DataFrame, name: str, id_col: str = "segment_id", text_col: str = "raw_text", buckets: int = 64) -> None:
-    """Write what questions need, once for each state of the archive: name_postings (lexeme, id), bucketed and sorted
-    by lexeme, and name_df (lexeme, df), of which the row with the null lexeme holds the number of segments. A question
-    then reads the buckets of its own terms only."""
-    postings(segments, id_col, text_col).write.mode("overwrite").bucketBy(buckets, "lexeme").sortBy("lexeme").saveAsTable(f"{name}_postings")
+#: What filters ask about; kept beside each posting and vector.
+FILTERED = ["started_at", "thread_key", "sources"]
+
+
+def keep_index(segments: DataFrame, name: str, id_col: str = "segment_id", text_col: str = "raw_text", buckets: int | None = None) -> None:
+    """Write what questions need, once for each state of the archive, as tables or, if name is a path, under it:
+    name_postings (bucket, lexeme, id and the FILTERED columns that there are), in folders by bucket (a folder for 10,000
+    segments unless buckets says otherwise), sorted by lexeme and time, and name_df (bucket, lexeme, df); bucket -1 of it
+    holds the number of substantive segments and, under the empty lexeme, that of buckets.
+
+    A question reads the folders of its own terms, and of those only the row groups whose terms, times and threads can
+    fit. Lexemes of 5 % of the segments and more rank nothing and have no postings, so none makes a hot folder; what is
+    left is dealt by ranges, which cut through a folder where it is large. Texts are cut into lexemes once.
+    """
     spark = segments.sparkSession
-    counts = spark.table(f"{name}_postings").groupBy("lexeme").agg(F.count("*").alias("df"))
-    counts.unionByName(segments.agg(F.lit(None).cast("string").alias("lexeme"), F.count("*").alias("df"))).write.mode("overwrite").bucketBy(buckets, "lexeme").sortBy("lexeme").saveAsTable(f"{name}_df")
+    own = [c for c in FILTERED if c in segments.columns]
+    held = substantive(segments).select(lexemes(F.col(text_col)).alias("lexemes"), F.col(id_col).alias("id"), *own).persist()
+    try:
+        n = held.count()
+        buckets = buckets or min(MOST_BUCKETS, 1 + n // 10_000)
+        sizes = spark.sql(f"select * from values (-1, cast(null as string), {n}l), (-1, '', {buckets}l) as t(bucket, lexeme, df)")
+        posts = held.select(F.explode("lexemes").alias("lexeme"), "id", *own)
+        counts = posts.groupBy("lexeme").agg(F.count("*").alias("df")).withColumn("bucket", bucket_of(F.col("lexeme"), buckets)).select("bucket", "lexeme", "df")
+        keep(counts.repartition("bucket").sortWithinPartitions("bucket", "lexeme").unionByName(sizes).write.partitionBy("bucket"), f"{name}_df")
+        # As many lexemes as 20 segments hold on average, at most.
+        common = kept(spark, f"{name}_df").where((F.col("bucket") >= 0) & (F.col("df") >= RARE * n)).select("lexeme")
+        order = ["bucket", "lexeme", *own[:1], "id"]
+        dealt = posts.join(common, "lexeme", "left_anti").withColumn("bucket", bucket_of(F.col("lexeme"), buckets)).repartitionByRange(*order).sortWithinPartitions(*order)
+        keep(dealt.write.partitionBy("bucket").option("compression", "zstd"), f"{name}_postings")
+    finally:
+        held.unpersist()
+
+
+MOST_BUCKETS = 4096
+
+
+def bucket_of(lexeme: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(lexeme.cast("binary")), F.lit(buckets)).cast("int")
+
+
+class Index:
+    """A kept index by its name; how much it holds is read once."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.df, self.postings = spark, kept(spark, f"{name}_df"), kept(spark, f"{name}_postings")
+        sizes = dict(self.df.where("bucket = -1").select("lexeme", "df").collect())
+        self.n, self.buckets = sizes[None], sizes[""]
+
+    def of(self, rows: DataFrame, words: list[str]) -> DataFrame:
+        own = sorted({crc32(w.encode()) % self.buckets for w in words})
+        return rows.where(F.col("bucket").isin(own) & F.col("lexeme").isin(words))
+
+    def frequencies(self, words: list[str]) -> dict[str, int]:
+        return dict(self.of(self.df, words).select("lexeme", "df").collect()) if words else {}
 
 
 def question_terms(spark: SparkSession, question: str) -> list[str]:
-    """The distinct tokens of a question, by the same analyzer as the texts'."""
-    return list(dict.fromkeys(spark.range(1).select(tokens(F.lit(question))).first()[0] or []))
+    """The distinct tokens of a question, by the same analyzer as the texts'; folded while planned, without a job."""
+    one = spark.sql("select * from values (:q) as t(q)", {"q": question})
+    return list(dict.fromkeys(one.select(tokens(F.col("q"))).collect()[0][0] or []))
 
 
 def matches(segments: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
@@ -81,11 +138,17 @@ def lexical_topk(posts: DataFrame, terms: DataFrame, k: int = 100) -> DataFrame:
     return top_ranked(scored.withColumn("order_score", F.round("score", 9)), [F.desc("order_score"), F.asc("id")], k, "lex_rank").select("id", "score", "lex_rank")
 
 
-def dense_topk(segments: DataFrame, id_col: str, vector: list[float], k: int = 100, vector_col: str = "embedding") -> DataFrame:
-    """id, distance, dense_rank by exact cosine distance."""
-    q = F.array(*[F.lit(float(x)) for x in vector])
+def dense_rows(segments: DataFrame, id_col: str, vector: list[float], k: int, vector_col: str = "embedding") -> DataFrame:
+    """id, distance of the k nearest by exact cosine distance, in order."""
+    q = F.lit(np.array(vector, np.float64))
     scored = segments.select(F.col(id_col).alias("id"), cosine_distance(F.col(vector_col), q).alias("distance")).where("distance is not null")
-    return top_ranked(scored.withColumn("order_distance", F.round("distance", 9)), [F.asc("order_distance"), F.asc("id")], k, "dense_rank").select("id", "distance", "dense_rank")
+    return scored.withColumn("o", F.round("distance", 9)).orderBy("o", "id").limit(k).drop("o")
+
+
+def dense_topk(segments: DataFrame, id_col: str, vector: list[float], k: int = 100, vector_col: str = "embedding") -> DataFrame:
+    """id, distance, dense_rank of substantive segments by exact cosine distance."""
+    top = dense_rows(substantive(segments), id_col, vector, k, vector_col)
+    return top.withColumn("dense_rank", F.row_number().over(Window.orderBy(F.round("distance", 9), "id")).cast("long"))
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 60) -> DataFrame:
@@ -96,37 +159,137 @@ def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 60) -> DataFrame:
     return every.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
 
 
-def hybrid_search(segments: DataFrame, question: str, vector: list[float] | None, n_candidates: int = 100, n_final: int = 20, rrf_k: int = 60, id_col: str = "segment_id", text_col: str = "raw_text", enrich_col: str | None = None, df: DataFrame | None = None, n: int | None = None, index: str | None = None) -> DataFrame:
+def term_hits(segments: DataFrame, words: list[str], id_col: str, text_col: str, kept: Column) -> DataFrame:
+    """id, hits (places in words of those that a text holds), kept: one row a segment, texts read once."""
+    clean = F.lower(unaccent(F.col(text_col)))
+    edge = r"[\p{L}\p{N}_]"
+    found = lambda k, t, c: F.when(F.contains(c, F.lit(t)) & c.rlike(f"(?<!{edge})\\Q{t}\\E(?!{edge})"), F.lit(k))
+    hits = let(clean, lambda c: F.array_compact(F.array(*[found(k, t, c) for k, t in enumerate(words)]) if words else F.array().cast("array<int>")))
+    return segments.select(F.col(id_col).alias("id"), hits.alias("hits"), kept.alias("kept"))
+
+
+def best_hits(hits: DataFrame, weights: list[float | None], k: int) -> list[int]:
+    """The ids of the k best by the summed weights of what they hold; words without a weight count for nothing."""
+    table = F.array(*[F.lit(w or 0.0) for w in weights]) if weights else F.array().cast("array<double>")
+    score = F.aggregate("hits", F.lit(0.0), lambda a, i: a + F.get(table, i))
+    scored = hits.where("kept").select("id", F.round(score, 9).alias("score")).where("score > 0")
+    return [r["id"] for r in scored.orderBy(F.desc("score"), "id").limit(k).collect()]
+
+
+def filter_of(segments: DataFrame, date_from: datetime | None = None, date_to: datetime | None = None, threads: list[str] | None = None, sources: list[str] | None = None) -> Column:
+    """restrict() as a condition; columns that it does not need may be missing."""
+    out = F.lit(True)
+    if date_from is not None:
+        out &= F.col("started_at") >= F.lit(date_from)
+    if date_to is not None:
+        out &= F.col("started_at") <= F.lit(date_to)
+    if threads is not None:
+        out &= F.col("thread_key").isin(threads)
+    if sources is not None:
+        out &= F.arrays_overlap("sources", F.array(*map(F.lit, sources)))
+    return F.coalesce(out, F.lit(False))
+
+
+#: Postings that are scored where the question was asked; beyond, by a job, and from AT_ONCE on the rarest terms' first.
+AT_HAND, AT_ONCE = 1 << 16, 5_000_000
+
+
+def best_postings(posts: DataFrame, idf: dict[str, float], df: dict[str, int], k: int, at_once: int = AT_ONCE) -> list[int]:
+    """The ids of the k best by the summed idf of their lexemes, from postings (lexeme, id), each once.
+
+    A few postings are added up at once. Of many, terms are taken from the rarest on. As soon as the k-th best score so far is above what all terms that are left add up to,
+    no segment without one of the terms so far can be among the best: the common terms' postings are then read for those
+    that still can be, and not ranked as a whole.
+    """
+    order = sorted(idf, key=lambda t: (-idf[t], t))
+    weight = lambda some: F.coalesce(*[F.when(F.col("lexeme") == t, F.lit(idf[t])) for t in some])
+    scored = lambda some, rows: rows.where(F.col("lexeme").isin(some)).groupBy("id").agg(F.sum(weight(some)).alias("score"))
+    best = lambda rows: [r["id"] for r in rows.select("id", F.round("score", 9).alias("o")).orderBy(F.desc("o"), "id").limit(k).collect()]
+    if order and sum(df[t] for t in order) <= AT_HAND:
+        got = posts.where(F.col("lexeme").isin(order)).select("lexeme", "id").toArrow()
+        score: dict = {}
+        for t, i in zip(got.column("lexeme").to_pylist(), got.column("id").to_pylist(), strict=True):
+            score[i] = score.get(i, 0.0) + idf[t]
+        return sorted(score, key=lambda i: (-round(score[i], 9), i))[:k]
+    upto, total = 0, 0
+    while upto < len(order):
+        while upto < len(order) and (total + df[order[upto]] <= at_once or total == 0):
+            total, upto = total + df[order[upto]], upto + 1
+        first, rest = order[:upto], order[upto:]
+        if not rest:
+            break
+        more = sum(idf[t] for t in rest)
+        so_far = scored(first, posts)
+        tail = so_far.orderBy(F.desc("score")).limit(k).agg(F.min("score").alias("least"), F.count("*").alias("n")).first()
+        if tail["n"] == k and tail["least"] > more + 1e-8:
+            able = so_far.where(F.col("score") + more >= tail["least"] - 1e-8)
+            extra = scored(rest, posts.join(able.select("id"), "id", "left_semi"))
+            return best(able.join(extra.withColumnRenamed("score", "more"), "id", "left").select("id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")))
+        total = 0
+    return best(scored(order, posts)) if order else []
+
+
+def hybrid_search(segments: DataFrame, question: str, vector: list[float] | None, n_candidates: int = 100, n_final: int = 20, rrf_k: int = 60, id_col: str = "segment_id", text_col: str = "raw_text", enrich_col: str | None = None, df: DataFrame | None = None, n: int | None = None, index: Index | str | None = None, vectors=None, **filters) -> DataFrame:
     """id, score, dense_rank, lex_rank of the n_final best by fused ranks. Without frequencies it is dense only, and
     without a vector lexical only; never a recency prior.
 
-    index: the name of a kept index (keep_index); without one, texts are searched for the question's terms only, and
-    frequencies are counted for those. Terms and their frequencies are a handful of rows on the driver.
+    segments is the whole archive; filters (date_from, date_to, threads, sources) say what may be found in it. Only
+    substantive segments are ranked, and frequencies are always those of all substantive segments. index: a kept
+    index (keep_index) or its name; without one, texts are searched for the question's terms in one pass, from which
+    frequencies and scores both come. vectors: kept vectors (nearest.Vectors); without them all are compared.
+
+    A list holds n_candidates ids, and they are fused where the question was asked.
     """
     spark = segments.sparkSession
+    own = substantive(segments)
+    kept_rows = filter_of(segments, **filters)
+    near = None
+    if vector is not None:  # beside the words, as both are short jobs that wait for each other's tasks
+        near = CALLS.submit(lambda: [r["id"] for r in (vectors.nearest(vector, n_candidates, **filters) if vectors is not None else dense_rows(own.where(kept_rows), id_col, vector, n_candidates)).collect()])
     words = question_terms(spark, question)
+    known = dict(df.where(F.col("lexeme").isin(words)).collect()) if df is not None else None
     if index is not None:
-        posts = spark.table(f"{index}_postings").where(F.col("lexeme").isin(words))
-        counted = spark.table(f"{index}_df").where(F.col("lexeme").isin(words) | F.col("lexeme").isNull()) if df is None else df.where(F.col("lexeme").isin(words))
-        freq = dict(counted.collect())
-        n = n if n is not None else freq.get(None, 0)
+        index = Index(spark, index) if isinstance(index, str) else index
+        known = known if known is not None else index.frequencies(words)
+        n = n if n is not None else index.n
+        idf = {t: log(n / known[t]) for t in words if t in known and known[t] < RARE * n}
+        lexical = best_postings(index.of(index.postings, [*idf]).where(kept_rows), idf, known, n_candidates) if idf else []
     else:
-        posts = matches(segments, words, id_col, text_col)
-        freq = dict((df.where(F.col("lexeme").isin(words)) if df is not None else posts.groupBy("lexeme").agg(F.count("*").alias("df"))).collect())
-        n = n if n is not None else segments.count()
-    idf = lambda counts: spark.createDataFrame([(t, log(n / c)) for t, c in counts.items() if t is not None and c < RARE * n], "lexeme string, idf double")
-    known = {t: freq[t] for t in words if t in freq}
-    branches = [lexical_topk(posts, idf(known), n_candidates).select("id", F.lit(None).cast("long").alias("dense_rank"), "lex_rank", F.col("lex_rank").alias("rank"))]
-    if vector is not None:
-        branches.append(dense_topk(segments, id_col, vector, n_candidates).select("id", "dense_rank", F.lit(None).cast("long").alias("lex_rank"), F.col("dense_rank").alias("rank")))
-    if enrich_col is not None:
-        extra = lexical_topk(matches(segments, words, id_col, enrich_col), idf({t: max(1, freq.get(t, 1)) for t in words}), n_candidates)
-        branches.append(extra.select("id", F.lit(None).cast("long").alias("dense_rank"), F.lit(None).cast("long").alias("lex_rank"), F.col("lex_rank").alias("rank")))
-    every = branches[0]
-    for more in branches[1:]:
-        every = every.unionByName(more)
-    fused = every.groupBy("id").agg(F.sum(1.0 / (rrf_k + F.col("rank"))).alias("score"), F.max("dense_rank").alias("dense_rank"), F.max("lex_rank").alias("lex_rank"))
-    return fused.withColumn("o", F.round("score", 12)).orderBy(F.desc("o"), "id").limit(n_final).drop("o")
+        hits = term_hits(own, words, id_col, text_col, kept_rows).persist()
+        try:
+            if known is None or n is None:
+                counted = hits.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("hits", k)).alias(f"_{k}") for k in range(len(words))]).first()
+                n = n if n is not None else counted["n"]
+                known = known if known is not None else {t: counted[f"_{k}"] for k, t in enumerate(words) if counted[f"_{k}"]}
+            idf = {t: log(n / known[t]) for t in words if t in known and known[t] < RARE * n}
+            lexical = best_hits(hits, [idf.get(t) for t in words], n_candidates) if idf else []
+        finally:
+            hits.unpersist()
+    dense = near.result() if near is not None else []
+    enriched: list[int] = []
+    if enrich_col is not None and n:
+        rare = {t: log(n / max(1, known.get(t, 1))) for t in words if known.get(t, 1) < RARE * n}
+        extra = term_hits(own.where(F.col(enrich_col).isNotNull()), words, id_col, enrich_col, kept_rows)
+        enriched = best_hits(extra, [rare.get(t) for t in words], n_candidates) if rare else []
+    score: dict[int, float] = {}
+    for ids in (dense, lexical, enriched):
+        for rank, i in enumerate(ids, 1):
+            score[i] = score.get(i, 0.0) + 1.0 / (rrf_k + rank)
+    rank = lambda ids: {i: r for r, i in enumerate(ids, 1)}
+    by_vector, by_word = rank(dense), rank(lexical)
+    best = sorted(score, key=lambda i: (-round(score[i], 12), i))[:n_final]
+    kind = dict(segments.dtypes)[id_col]
+    return few_rows(spark, [(i, score[i], by_vector.get(i), by_word.get(i)) for i in best], f"id {kind}, score double, dense_rank bigint, lex_rank bigint")
+
+
+def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A handful of rows of numbers as literals in the plan, so that reading them needs no job; others as a table."""
+    columns = [c.split(" ") for c in schema.split(", ")]
+    if any(isinstance(v, str) for r in rows for v in r):
+        return spark.createDataFrame(rows, schema)
+    told = lambda v, kind: f"cast({'null' if v is None else repr(v)} as {kind})"
+    values = ", ".join(f"({', '.join(told(v, k) for v, (_, k) in zip(r, columns, strict=True))})" for r in rows or [(None,) * len(columns)])
+    return spark.sql(f"select * from values {values} as t({', '.join(c for c, _ in columns)}){'' if rows else ' where false'}")
 
 
 def phrase_in(text: Column, phrase: str) -> Column:
@@ -145,16 +308,16 @@ def first_mention(events: DataFrame, patterns: list[str], n: int = 20, text_col:
 
 
 def stratified_search(segments: DataFrame, vector: list[float], bin_seconds: int, per_bin: int = 10, id_col: str = "segment_id", vector_col: str = "embedding", ts_col: str = "started_at") -> DataFrame:
-    """bin_start, id, distance, rank_in_bin: the nearest per_bin of each bin of time; no other filters."""
-    q = F.array(*[F.lit(float(x)) for x in vector])
-    scored = segments.select(bin_start(F.col(ts_col), bin_seconds).alias("bin_start"), F.col(id_col).alias("id"), cosine_distance(F.col(vector_col), q).alias("distance")).where("distance is not null")
+    """bin_start, id, distance, rank_in_bin: the nearest per_bin substantive segments of each bin of time."""
+    q = F.lit(np.array(vector, np.float64))
+    scored = substantive(segments).select(bin_start(F.col(ts_col), bin_seconds).alias("bin_start"), F.col(id_col).alias("id"), cosine_distance(F.col(vector_col), q).alias("distance")).where("distance is not null")
     w = Window.partitionBy("bin_start").orderBy(F.round("distance", 9), "id")
     return scored.withColumn("rank_in_bin", F.row_number().over(w).cast("long")).where(F.col("rank_in_bin") <= per_bin)
 
 
 def timeline(segments: DataFrame, start: datetime, end: datetime, sources: list[str] | None = None, most_chars: int = 300) -> DataFrame:
     """Substantive segments that start in the closed interval, oldest first, without limit."""
-    found = restrict(segments, start, end, None, sources).where(F.coalesce("is_substantive", F.lit(True)))
+    found = substantive(restrict(segments, start, end, None, sources))
     return found.withColumn("text", F.substring("raw_text", 1, most_chars)).orderBy("started_at", "segment_id")
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.times import seconds_between
+from emberlog.operators.density import density_clusters
 
 
 def gap_sessions(rows: DataFrame, keys: list[str], ts: str, gap_seconds: float, order: list[str] | None = None) -> DataFrame:
@@ -54,49 +53,12 @@ def stays(points: DataFrame, keys: list[str], ts: str, lat: str = "lat", lon: st
     return out.where((F.col("n") >= 2) & (seconds_between(F.col("ended_at"), F.col("started_at")) >= dwell_seconds))
 
 
-def dbscan(points: DataFrame, key: str, eps: float = 0.0015, least: int = 3) -> DataFrame:
-    """key, id, cluster (null: noise) of points (key, id, lat, lon): density clusters within each key, by grid cells."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-        xy = pdf[["lat", "lon"]].to_numpy()
-        cells: dict[tuple[int, int], list[int]] = {}
-        for i, (a, b) in enumerate(np.floor(xy / eps).astype(int)):
-            cells.setdefault((a, b), []).append(i)
-
-        def near(i: int) -> list[int]:
-            a, b = np.floor(xy[i] / eps).astype(int)
-            some = [j for da in (-1, 0, 1) for db in (-1, 0, 1) for j in cells.get((a + da, b + db), [])]
-            return [j for j in some if (xy[i, 0] - xy[j, 0]) ** 2 + (xy[i, 1] - xy[j, 1]) ** 2 <= eps * eps]
-
-        label = np.full(len(xy), -1)
-        seen = np.zeros(len(xy), bool)
-        clusters = 0
-        for i in range(len(xy)):
-            if seen[i] or len(near(i)) < least:
-                continue
-            todo, clusters = [i], clusters + 1
-            seen[i] = True
-            label[i] = clusters - 1
-            while todo:
-                own = near(todo.pop())
-                if len(own) < least:
-                    continue
-                for j in own:
-                    if label[j] < 0:
-                        label[j] = clusters - 1
-                    if not seen[j]:
-                        seen[j] = True
-                        todo.append(j)
-        return pd.DataFrame({key: pdf[key], "id": pdf["id"], "cluster": pd.array(np.where(label < 0, None, label), dtype="Int64")})
-
-    kind = dict(points.dtypes)
-    return points.select(key, "id", "lat", "lon").groupBy(key).applyInPandas(run, f"{key} {kind[key]}, id {kind['id']}, cluster long")
+dbscan = density_clusters
 
 
 def cluster_stays(points: DataFrame, key: str, ts: str, dwell_seconds: float = 1200) -> DataFrame:
     """Stays of clustered points: runs of one cluster; noise in between breaks a run."""
-    marked = points.join(dbscan(points, key), [key, "id"])
+    marked = points.join(density_clusters(points, key), [key, "id"])
     # Noise takes part in the outer numbering, so it breaks the runs around it, and is then left out.
     runs = islands(marked.withColumn("cluster", F.coalesce("cluster", F.lit(-1))), [key], "cluster", [ts, "id"]).where("cluster >= 0")
     out = runs.groupBy(key, "cluster", "island").agg(F.min("id").alias("stay_id"), F.min(ts).alias("started_at"), F.max(ts).alias("ended_at"), F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))

@@ -12,9 +12,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberlog import schema
+from emberlog.api import Archive
 from emberlog.functions import text as T
 from emberlog.functions import times
-from emberlog.operators import erasure, facts, lifecycle, quality, resolve, search, segments, sessions, views
+from emberlog.operators import density, erasure, facts, lifecycle, nearest, quality, resolve, search, segments, sessions, views
+from emberlog.store import scratch_path
 
 Q: dict = {}
 ORACLE: dict[str, str] = {}
@@ -34,16 +37,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents; a table of few files is dealt out first, as one file's row groups keep few tasks busy with its texts."""
+    d, tasks = read(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return d.repartition(tasks) if len(d.inputFiles()) < tasks else d
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as archive events: source and thread by type."""
+    """events as archive events of one source: a thread and an actor a user."""
     e = read(spark, sf_dir, "events")
     return e.select(F.lit("driver").alias("source"), F.col("event_id").cast("string").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id", "value", F.col("props").alias("payload"), F.concat(F.col("event_type"), F.lit(" "), F.col("props")).alias("text"), F.lit(None).cast("string").alias("reply_to"), F.concat(F.lit("u"), F.col("user_id")).alias("thread_key"), F.concat(F.lit("user "), F.col("user_id")).alias("actor"), "event_id")
 
 
 def segs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, v, e = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings"), read(spark, sf_dir, "events")
-    base = d.join(v, d["doc_id"] == v["vec_id"], "left").join(e.select("event_id", "ts", "event_type"), d["doc_id"] == e["event_id"])
-    return base.select(F.col("doc_id").alias("segment_id"), F.concat(F.lit("c"), F.pmod("doc_id", F.lit(7))).alias("thread_key"), F.array("source").alias("sources"), F.col("ts").alias("started_at"), F.coalesce("text", F.lit("")).alias("raw_text"), "embedding", F.lit(True).alias("is_substantive"), "label", "lang")
+    d, v, e = texts(spark, sf_dir), read(spark, sf_dir, "embeddings"), read(spark, sf_dir, "events")
+    base = d.join(v, d["doc_id"] == v["vec_id"], "left").join(e.select("event_id", "ts", "event_type"), d["doc_id"] == e["event_id"], "left")
+    return base.select(F.col("doc_id").alias("segment_id"), F.concat(F.lit("c"), F.pmod("doc_id", F.lit(7))).alias("thread_key"), F.array("source").alias("sources"), F.col("ts").alias("started_at"), F.coalesce("text", F.lit("")).alias("raw_text"), "embedding", (F.col("doc_id") % 11 != 5).alias("is_substantive"), "label", "lang")
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 3) -> list[float]:
@@ -61,11 +70,11 @@ NOW = datetime(2024, 3, 1)
 #: The default analyzer in SQL.
 MARKED, BARE = "".join(T.MARKED), "".join(T.MARKED.values())
 TOKENS_SQL = lambda text: f"regexp_extract_all(lower(regexp_replace(translate({text}, '{MARKED}', '{BARE}'), '[\\x{{0300}}-\\x{{036F}}]', '', 'g')), '[\\p{{L}}\\p{{N}}_]+')"
-SEG_SQL = "seg AS (SELECT d.doc_id AS segment_id, 'c' || (d.doc_id % 7) AS thread_key, d.source, e.ts AS started_at, coalesce(d.text, '') AS raw_text, v.embedding, v.label, d.lang FROM documents d LEFT JOIN embeddings v ON d.doc_id = v.vec_id JOIN events e ON d.doc_id = e.event_id)"
-POST_SQL = f"post AS (SELECT DISTINCT segment_id AS id, unnest({TOKENS_SQL('raw_text')}) AS lexeme FROM seg), df AS (SELECT lexeme, count(*) AS df FROM post GROUP BY 1)"
-TERMS_SQL = f"term AS (SELECT lexeme, ln((SELECT count(*) FROM seg) / df.df::DOUBLE) AS idf FROM (SELECT DISTINCT unnest({TOKENS_SQL(f"'{QUESTION}'")}) AS lexeme) JOIN df USING (lexeme) WHERE df.df < 0.05 * (SELECT count(*) FROM seg))"
+SEG_SQL = "seg AS (SELECT d.doc_id AS segment_id, 'c' || (d.doc_id % 7) AS thread_key, d.source, e.ts AS started_at, coalesce(d.text, '') AS raw_text, v.embedding, v.label, d.lang, d.doc_id % 11 <> 5 AS is_substantive FROM documents d LEFT JOIN embeddings v ON d.doc_id = v.vec_id LEFT JOIN events e ON d.doc_id = e.event_id), sub AS (SELECT * FROM seg WHERE is_substantive)"
+POST_SQL = f"post AS (SELECT DISTINCT segment_id AS id, unnest({TOKENS_SQL('raw_text')}) AS lexeme FROM sub), df AS (SELECT lexeme, count(*) AS df FROM post GROUP BY 1)"
+TERMS_SQL = f"term AS (SELECT lexeme, ln((SELECT count(*) FROM sub) / df.df::DOUBLE) AS idf FROM (SELECT DISTINCT unnest({TOKENS_SQL(f"'{QUESTION}'")}) AS lexeme) JOIN df USING (lexeme) WHERE df.df < 0.05 * (SELECT count(*) FROM sub))"
 COS = "1 - list_sum(list_transform(list_zip(a, b), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / (sqrt(list_sum(list_transform(a, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b, lambda x: x::DOUBLE * x::DOUBLE))))"
-DENSE_SQL = f"pairs AS (SELECT segment_id AS id, embedding AS a, (SELECT embedding FROM embeddings WHERE vec_id = 3) AS b FROM seg WHERE embedding IS NOT NULL), dist AS (SELECT id, {COS} AS distance FROM pairs), dense AS (SELECT id, distance, row_number() OVER (ORDER BY round(distance, 9), id) AS dense_rank FROM dist QUALIFY dense_rank <= 100)"
+DENSE_SQL = f"pairs AS (SELECT segment_id AS id, embedding AS a, (SELECT embedding FROM embeddings WHERE vec_id = 3) AS b FROM sub WHERE embedding IS NOT NULL), dist AS (SELECT id, {COS} AS distance FROM pairs), dense AS (SELECT id, distance, row_number() OVER (ORDER BY round(distance, 9), id) AS dense_rank FROM dist QUALIFY dense_rank <= 100)"
 LEX_SQL = "lex AS (SELECT id, sum(idf) AS score, row_number() OVER (ORDER BY round(sum(idf), 9) DESC, id) AS lex_rank FROM post JOIN term USING (lexeme) GROUP BY id QUALIFY lex_rank <= 100)"
 
 
@@ -76,7 +85,7 @@ def hybrid_search(spark, sf_dir):
 
 @query("lexical_topk", f"WITH {SEG_SQL}, {POST_SQL}, {TERMS_SQL}, {LEX_SQL} SELECT id, round(score, 6) AS score, lex_rank FROM lex")
 def lexical_topk(spark, sf_dir):
-    s = segs(spark, sf_dir)
+    s = search.substantive(segs(spark, sf_dir))
     posts = search.matches(s, search.question_terms(spark, QUESTION), "segment_id", "raw_text")
     terms = search.kept_terms(QUESTION, posts.groupBy("lexeme").agg(F.count("*").alias("df")), s.count())
     return search.lexical_topk(posts, terms).withColumn("score", F.round("score", 6))
@@ -87,6 +96,28 @@ def dense_topk(spark, sf_dir):
     return search.dense_topk(segs(spark, sf_dir), "segment_id", query_vector(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
 
 
+@query("dense_topk_clustered", f"WITH {SEG_SQL}, {DENSE_SQL} SELECT id, round(distance, 6) AS distance FROM dense")
+def dense_topk_clustered(spark, sf_dir):
+    """The rows of dense_topk, from kept clusters."""
+    name = scratch_path(spark, "near")
+    nearest.keep_vectors(segs(spark, sf_dir), name)
+    return nearest.Vectors(spark, name).nearest(query_vector(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
+
+
+FILTER_SQL = "started_at >= TIMESTAMP '2024-01-02' AND started_at <= TIMESTAMP '2024-01-20' AND thread_key IN ('c1', 'c2', 'c4', 'c5') AND source IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7')"
+
+
+@query("recall_filtered", f"WITH {SEG_SQL}, {POST_SQL}, {TERMS_SQL}, ok AS (SELECT * FROM sub WHERE {FILTER_SQL}), {LEX_SQL.replace('FROM post JOIN term', 'FROM post JOIN ok ON id = segment_id JOIN term')}, {DENSE_SQL.replace('FROM sub', 'FROM ok')}, u AS (SELECT id, 1.0::DOUBLE / (60 + dense_rank) AS s, dense_rank, NULL AS lex_rank FROM dense UNION ALL SELECT id, 1.0::DOUBLE / (60 + lex_rank), NULL, lex_rank FROM lex), best AS (SELECT id, round(sum(s), 9) AS score, max(dense_rank) AS dense_rank, max(lex_rank) AS lex_rank FROM u GROUP BY id ORDER BY round(sum(s), 12) DESC, id LIMIT 20) SELECT best.*, substr(raw_text, 1, 2000) AS text, started_at FROM best JOIN seg ON id = segment_id")
+def recall_filtered(spark, sf_dir):
+    """A question about some days, threads and sources over a kept index and kept vectors; frequencies are the archive's."""
+    s, name = segs(spark, sf_dir), scratch_path(spark, "recall")
+    search.keep_index(s, name)
+    nearest.keep_vectors(s, name)
+    archive = Archive(spark, s, events(spark, sf_dir), spark.createDataFrame([], schema.COMMITMENT))
+    found = archive.recall(QUESTION, query_vector(spark, sf_dir), index=name, vectors=nearest.Vectors(spark, name), date_from=datetime(2024, 1, 2), date_to=datetime(2024, 1, 20), threads=["c1", "c2", "c4", "c5"], sources=[f"src{k}" for k in range(1, 8)])
+    return found.withColumn("score", F.round("score", 9))
+
+
 @query("rrf", f"WITH {SEG_SQL}, {DENSE_SQL}, other AS (SELECT segment_id AS id, row_number() OVER (ORDER BY started_at, segment_id) AS r FROM seg QUALIFY r <= 100), u AS (SELECT id, dense_rank AS r FROM dense UNION ALL SELECT id, r FROM other) SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM u GROUP BY id")
 def rrf(spark, sf_dir):
     s = segs(spark, sf_dir)
@@ -106,13 +137,13 @@ def first_mention(spark, sf_dir):
     return search.first_mention(s, ["thingble", "onnand"], text_col="raw_text", order=["segment_id"]).select("segment_id", "ts")
 
 
-@query("stratified", f"WITH {SEG_SQL}, pairs AS (SELECT segment_id AS id, started_at, embedding AS a, (SELECT embedding FROM embeddings WHERE vec_id = 3) AS b FROM seg WHERE embedding IS NOT NULL), dist AS (SELECT id, to_timestamp(floor(epoch_us(started_at) / 604800000000.0) * 604800)::TIMESTAMP AS bin_start, {COS} AS distance FROM pairs) SELECT bin_start, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY bin_start ORDER BY round(distance, 9), id) AS rank_in_bin FROM dist QUALIFY rank_in_bin <= 5")
+@query("stratified", f"WITH {SEG_SQL}, pairs AS (SELECT segment_id AS id, started_at, embedding AS a, (SELECT embedding FROM embeddings WHERE vec_id = 3) AS b FROM sub WHERE embedding IS NOT NULL), dist AS (SELECT id, to_timestamp(floor(epoch_us(started_at) / 604800000000.0) * 604800)::TIMESTAMP AS bin_start, {COS} AS distance FROM pairs) SELECT bin_start, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY bin_start ORDER BY round(distance, 9), id) AS rank_in_bin FROM dist QUALIFY rank_in_bin <= 5")
 def stratified(spark, sf_dir):
     out = search.stratified_search(segs(spark, sf_dir), query_vector(spark, sf_dir), 7 * 86400, 5)
     return out.select(F.col("bin_start").cast("timestamp_ntz").alias("bin_start"), "id", F.round("distance", 6).alias("distance"), "rank_in_bin")
 
 
-@query("timeline", f"WITH {SEG_SQL} SELECT segment_id, started_at, substr(raw_text, 1, 300) AS text FROM seg WHERE started_at BETWEEN '2024-01-02' AND '2024-01-03' AND source IN ('src1', 'src2', 'src3')")
+@query("timeline", f"WITH {SEG_SQL} SELECT segment_id, started_at, substr(raw_text, 1, 300) AS text FROM sub WHERE started_at BETWEEN '2024-01-02' AND '2024-01-03' AND source IN ('src1', 'src2', 'src3')")
 def timeline(spark, sf_dir):
     return search.timeline(segs(spark, sf_dir), datetime(2024, 1, 2), datetime(2024, 1, 3), ["src1", "src2", "src3"]).select("segment_id", "started_at", "text")
 
@@ -263,6 +294,22 @@ def cluster_stays(spark, sf_dir):
     return out.withColumns({"island": F.col("island").cast("long"), "lat": F.round("lat", 6), "lon": F.round("lon", 6)})
 
 
+@query("density_clusters", """WITH RECURSIVE p AS (SELECT user_id, event_id AS id, floor(value / 25) * 0.0011 + (event_id % 3) * 0.0003 AS lat, (event_id % 7) * 0.0006 AS lon FROM events),
+near AS (SELECT x.user_id, x.id AS a, y.id AS b FROM p x JOIN p y ON x.user_id = y.user_id AND (x.lat - y.lat) * (x.lat - y.lat) + (x.lon - y.lon) * (x.lon - y.lon) <= 0.0015::DOUBLE * 0.0015::DOUBLE),
+core AS (SELECT user_id, a AS id FROM near GROUP BY 1, 2 HAVING count(*) >= 3),
+link AS (SELECT near.user_id, a, b FROM near JOIN core c ON a = c.id JOIN core d ON b = d.id),
+reach AS (SELECT user_id, id AS a, id AS b FROM core UNION SELECT r.user_id, r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+head AS (SELECT user_id, a AS id, min(b) AS root FROM reach GROUP BY 1, 2),
+num AS (SELECT user_id, root, row_number() OVER (PARTITION BY user_id ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT user_id, root FROM head)),
+mine AS (SELECT near.user_id, near.a AS id, min(cluster) AS cluster FROM near JOIN head ON near.b = head.id JOIN num ON num.user_id = head.user_id AND num.root = head.root GROUP BY 1, 2)
+SELECT p.user_id, p.id, mine.cluster::BIGINT AS cluster FROM p LEFT JOIN mine ON p.id = mine.id""")
+def density_clusters(spark, sf_dir):
+    """Points that straddle cells, some of them on a border between two clusters."""
+    e = read(spark, sf_dir, "events")
+    p = e.select("user_id", F.col("event_id").alias("id"), (F.floor(F.col("value") / 25) * F.lit(0.0011) + (F.col("event_id") % 3) * F.lit(0.0003)).alias("lat"), ((F.col("event_id") % 7) * F.lit(0.0006)).alias("lon"))
+    return density.density_clusters(p, "user_id")
+
+
 @query("current_facts", "SELECT o_custkey AS subject_id, o_orderpriority AS predicate, o_orderkey AS fact_id, o_orderstatus AS object FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def current_facts(spark, sf_dir):
     return facts.current_facts(fact_rows(spark, sf_dir), ["subject_id", "predicate"], [F.desc("version"), F.desc("fact_id")]).select("subject_id", "predicate", "fact_id", "object")
@@ -506,14 +553,14 @@ def redaction_sql() -> str:
 
 @query("redact_counts", r"SELECT count(*) FILTER (WHERE regexp_matches(text, '\b(AKIA|ASIA)[0-9A-Z]{16}\b')) AS aws, count(*) FILTER (WHERE regexp_matches(text, '\bsk-[A-Za-z0-9_-]{20,}')) AS api, count(*) AS n FROM documents")
 def redact_counts(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("text", T.redact(F.col("text")).alias("r"))
+    d = texts(spark, sf_dir).select("text", T.redact(F.col("text")).alias("r"))
     has = lambda kind: F.count_if(F.regexp_count("r", F.lit(rf"\[REDACTED:{kind}\]")) > F.regexp_count("text", F.lit(rf"\[REDACTED:{kind}\]")))
     return d.agg(has("aws_key").alias("aws"), has("api_key").alias("api"), F.count("*").alias("n"))
 
 
 @query("redaction_by_kind", f"WITH {redaction_sql()}, k AS (SELECT source, unnest(regexp_extract_all(r, '\\[REDACTED:(\\w+)\\]', 1)) AS kind, 1 AS n FROM red UNION ALL SELECT source, unnest(regexp_extract_all(text, '\\[REDACTED:(\\w+)\\]', 1)), -1 FROM red) SELECT source, kind, sum(n)::BIGINT AS n FROM k GROUP BY 1, 2 HAVING sum(n) > 0")
 def redaction_by_kind(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("source", "text", T.redact(F.col("text")).alias("r"))
+    d = texts(spark, sf_dir).select("source", "text", T.redact(F.col("text")).alias("r"))
     return d.select("source", F.explode(T.redaction_kinds(F.col("r"), F.col("text"))).alias("kind")).groupBy("source", "kind").agg(F.count("*").alias("n"))
 
 
@@ -543,7 +590,7 @@ def muted(spark, sf_dir):
     return e.where(times.is_muted(F.col("ts").cast("timestamp"), w)).select("event_id")
 
 
-@query("gate_queue", f"WITH {SEG_SQL} SELECT segment_id FROM seg WHERE source IN ('src1', 'src2') AND NOT (segment_id % 2 = 0 AND (segment_id % 100) / 100.0 < 0.42)")
+@query("gate_queue", f"WITH {SEG_SQL} SELECT segment_id FROM sub WHERE source IN ('src1', 'src2') AND NOT (segment_id % 2 = 0 AND (segment_id % 100) / 100.0 < 0.42)")
 def gate_queue(spark, sf_dir):
     s = segs(spark, sf_dir).withColumns({"enrich_text": F.lit(None).cast("string"), "gate_version": F.when(F.col("segment_id") % 2 == 0, "1"), "gate_p": (F.col("segment_id") % 100) / 100})
     policy = spark.createDataFrame([("src1", "narrative", "b"), ("src2", "narrative", "b"), ("src3", "narrative", None), ("src4", "telemetry", "b")], "source string, density string, bank string")

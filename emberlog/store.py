@@ -2,7 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import uuid
+
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, under spark.checkpoint.dir; only a local session may be without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/emberlog-{name}-{uuid.uuid4().hex}"
+
+
+def keep(writer: DataFrameWriter, name: str) -> None:
+    """Write a table by its name, or under its path where the name is one."""
+    writer = writer.mode("overwrite").format("parquet")
+    writer.save(name) if "/" in name else writer.saveAsTable(name)
+
+
+def kept(spark: SparkSession, name: str) -> DataFrame:
+    return spark.read.parquet(name) if "/" in name else spark.table(name)
 
 
 class Store:
