@@ -105,7 +105,7 @@ def write_enrichment(replies: DataFrame, segments: DataFrame, entities: DataFram
     who, known = find_or_create(said.select(F.col("f.subject").alias("name"), F.col("started_at").alias("seen")), entities)
     said = said.withColumn("name", F.col("f.subject")).join(who, "name")
     new_facts = said.select(
-        F.xxhash64(F.lit("fact"), "segment_id", "k").alias("fact_id"), F.col("entity_id").alias("subject_id"), F.col("f.predicate").alias("predicate"), F.col("f.object").alias("object"), F.col("started_at").alias("t_valid"), F.unix_millis(F.col("started_at").cast("timestamp")).alias("version"),
+        F.xxhash64(F.lit("fact"), "segment_id", "k").alias("fact_id"), F.col("entity_id").alias("subject_id"), F.col("f.predicate").alias("predicate"), F.col("f.object").alias("object"), F.lit(1).alias("polarity"), F.col("started_at").alias("t_valid"), F.unix_millis(F.col("started_at").cast("timestamp")).alias("version"),
         F.col("f.confidence").alias("confidence"), F.col("segment_id").alias("source_segment_id"), "source_event_ids", F.lit(version).alias("extractor_version"),
     )
     promised = got.select("segment_id", "started_at", "source_event_ids", F.posexplode("c.commitments").alias("k", "p"))
@@ -191,6 +191,24 @@ def gate_scores(segments: DataFrame, score: Callable[[str], float], version: str
     return out.withColumns({"gate_p": F.when(known, F.col("gate_p")).otherwise(F.col("_p")), "gate_version": F.when(known | F.col("_p").isNotNull(), F.lit(version)).otherwise(F.col("gate_version"))}).drop("_p")
 
 
+def asked(segments: DataFrame, model: Callable[[str], str], rpm: float = 0, tasks: int = 1) -> DataFrame:
+    """segment_id, reply of a model that is asked about the first MOST_CHARS characters of each text; a text that fails has
+    no reply. rpm is shared out among tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pace = Pace(rpm / tasks)
+        for rows in batches:
+            out = []
+            for text in rows["raw_text"]:
+                try:
+                    out.append(patiently(lambda: model((text or "")[:MOST_CHARS]), pace))  # noqa: B023
+                except Exception:  # noqa: BLE001  asked again in the next run
+                    out.append(None)
+            yield pd.DataFrame({"segment_id": rows["segment_id"], "reply": out})
+
+    return segments.select("segment_id", "raw_text").repartition(tasks).mapInPandas(run, "segment_id long, reply string")
+
+
 def gated(scored: DataFrame, threshold: float = 0.42, skip: bool = False) -> DataFrame:
     """scored with passes: p of threshold and more, or no score. With skip only those are left; else all, as a shadow."""
     out = scored.withColumn("passes", F.coalesce(F.col("gate_p") >= threshold, F.lit(True)))

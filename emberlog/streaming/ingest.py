@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from emberlog.store import Change, Store
+
 
 def without_replays(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Late rows within delay count once; overlapping re-reads are absorbed."""
@@ -27,6 +29,21 @@ def tumbling_counts(stream: DataFrame, width: str, keys: list[str], delay: str =
     return got.select(F.col("w.start").alias("bin_start"), *keys, "n")
 
 
+def archive_stream(stream: DataFrame, store: Store, change_of: Callable[[DataFrame], Change], checkpoint: str, name: str = "events", once: bool = True) -> StreamingQuery:
+    """Every batch is one commit of the store, made by change_of(batch); the batch's number is committed with it, so a batch
+    that is given again after its commit changes nothing."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        note = f"stream {name}"
+        if store.manifest()["notes"].get(note, -1) >= number:
+            return
+        change = change_of(batch)
+        change.notes[note] = number
+        change.commit()
+
+    return upsert_stream(stream, apply, checkpoint, once)
+
+
 def upsert_stream(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
     """apply(batch, batch id) must be idempotent: a batch is given again if its commit was lost."""
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
