@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from emberlog.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -16,4 +18,5 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def normalise(v: Column) -> Column:
-    return F.transform(v, lambda x: (x / F.sqrt(dot(v, v))).cast("float"))
+    """v at unit length; its length is worked out once a vector. A zero vector has none (nulls)."""
+    return let(F.struct(v.alias("v"), F.nullif(F.sqrt(dot(v, v)), F.lit(0.0)).alias("size")), lambda s: F.transform(s["v"], lambda x: (x / s["size"]).cast("float")))

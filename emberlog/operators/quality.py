@@ -73,6 +73,13 @@ def evaluate(ranked: DataFrame, gold: DataFrame, kinds: DataFrame) -> DataFrame:
     return per.groupBy("kind").agg(*measure).unionByName(per.agg(*measure).withColumn("kind", F.lit("overall")))
 
 
+def result_slots(ranked: DataFrame, segments: DataFrame, limit: int = 20) -> DataFrame:
+    """source, slots: of which source the first event of each result is, over the first limit results of all questions
+    (question, id, rank). A source that outnumbers the others can take their places without ever being wrong."""
+    held = segments.select(F.col("segment_id").alias("id"), F.substring_index(F.get("source_event_ids", F.lit(0)), ":", 1).alias("source"))
+    return ranked.where(F.col("rank") <= limit).join(held, "id").where("source is not null").groupBy("source").agg(F.count("*").alias("slots"))
+
+
 def within_budget(groups: DataFrame, budget: int) -> DataFrame:
     """question, bin, rank_in_bin, size: taken round-robin over bins until the ids of a question reach the budget; the
     group at the edge is cut to what is left (take)."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from math import log
@@ -38,20 +39,20 @@ def substantive(segments: DataFrame) -> DataFrame:
     return segments.where(F.coalesce("is_substantive", F.lit(True))) if "is_substantive" in segments.columns else segments
 
 
-def postings(segments: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+def postings(segments: DataFrame, id_col: str, text_col: str, *more: str, stem: Callable[[Column], Column] | None = None) -> DataFrame:
     """lexeme, id and more: one row for each distinct lexeme of a substantive segment."""
-    return substantive(segments).select(F.explode(lexemes(F.col(text_col))).alias("lexeme"), F.col(id_col).alias("id"), *more)
+    return substantive(segments).select(F.explode(lexemes(F.col(text_col), stem)).alias("lexeme"), F.col(id_col).alias("id"), *more)
 
 
-def lexeme_df(segments: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return postings(segments, id_col, text_col).groupBy("lexeme").agg(F.count("*").alias("df"))
+def lexeme_df(segments: DataFrame, id_col: str, text_col: str, stem: Callable[[Column], Column] | None = None) -> DataFrame:
+    return postings(segments, id_col, text_col, stem=stem).groupBy("lexeme").agg(F.count("*").alias("df"))
 
 
 #: What filters ask about; kept beside each posting and vector.
 FILTERED = ["started_at", "thread_key", "sources"]
 
 
-def keep_index(segments: DataFrame, name: str, id_col: str = "segment_id", text_col: str = "raw_text", buckets: int | None = None) -> None:
+def keep_index(segments: DataFrame, name: str, id_col: str = "segment_id", text_col: str = "raw_text", buckets: int | None = None, stem: Callable[[Column], Column] | None = None) -> None:
     """Write what questions need, once for each state of the archive, as tables or, if name is a path, under it:
     name_postings (bucket, lexeme, id and the FILTERED columns that there are), in folders by bucket (a folder for 10,000
     segments unless buckets says otherwise), sorted by lexeme and time, and name_df (bucket, lexeme, df); bucket -1 of it
@@ -59,11 +60,12 @@ def keep_index(segments: DataFrame, name: str, id_col: str = "segment_id", text_
 
     A question reads the folders of its own terms, and of those only the row groups whose terms, times and threads can
     fit. Lexemes of 5 % of the segments and more rank nothing and have no postings, so none makes a hot folder; what is
-    left is dealt by ranges, which cut through a folder where it is large. Texts are cut into lexemes once.
+    left is dealt by ranges, which cut through a folder where it is large. Texts are cut into lexemes once; stem (stems.stems, or
+    one of your own) is part of the index: Index must be given the same.
     """
     spark = segments.sparkSession
     own = [c for c in FILTERED if c in segments.columns]
-    held = substantive(segments).select(lexemes(F.col(text_col)).alias("lexemes"), F.col(id_col).alias("id"), *own).persist()
+    held = substantive(segments).select(lexemes(F.col(text_col), stem).alias("lexemes"), F.col(id_col).alias("id"), *own).persist()
     try:
         n = held.count()
         buckets = buckets or min(MOST_BUCKETS, 1 + n // 10_000)
@@ -88,9 +90,10 @@ def bucket_of(lexeme: Column, buckets: int) -> Column:
 
 
 class Index:
-    """A kept index by its name; how much it holds is read once."""
+    """A kept index by its name, with the stemmer it was kept with; how much it holds is read once."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, stem: Callable[[Column], Column] | None = None):
+        self.stem = stem
         self.spark, self.df, self.postings = spark, kept(spark, f"{name}_df"), kept(spark, f"{name}_postings")
         sizes = dict(self.df.where("bucket = -1").select("lexeme", "df").collect())
         self.n, self.buckets = sizes[None], sizes[""]
@@ -103,10 +106,10 @@ class Index:
         return dict(self.of(self.df, words).select("lexeme", "df").collect()) if words else {}
 
 
-def question_terms(spark: SparkSession, question: str) -> list[str]:
+def question_terms(spark: SparkSession, question: str, stem: Callable[[Column], Column] | None = None) -> list[str]:
     """The distinct tokens of a question, by the same analyzer as the texts'; folded while planned, without a job."""
     one = spark.sql("select * from values (:q) as t(q)", {"q": question})
-    return list(dict.fromkeys(one.select(tokens(F.col("q"))).collect()[0][0] or []))
+    return list(dict.fromkeys(one.select(tokens(F.col("q"), stem=stem)).collect()[0][0] or []))
 
 
 def matches(segments: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
@@ -246,10 +249,10 @@ def hybrid_search(segments: DataFrame, question: str, vector: list[float] | None
     near = None
     if vector is not None:  # beside the words, as both are short jobs that wait for each other's tasks
         near = CALLS.submit(lambda: [r["id"] for r in (vectors.nearest(vector, n_candidates, **filters) if vectors is not None else dense_rows(own.where(kept_rows), id_col, vector, n_candidates)).collect()])
-    words = question_terms(spark, question)
+    index = Index(spark, index) if isinstance(index, str) else index
+    words = question_terms(spark, question, index.stem if index is not None else None)
     known = dict(df.where(F.col("lexeme").isin(words)).collect()) if df is not None else None
     if index is not None:
-        index = Index(spark, index) if isinstance(index, str) else index
         known = known if known is not None else index.frequencies(words)
         n = n if n is not None else index.n
         idf = {t: log(n / known[t]) for t in words if t in known and known[t] < RARE * n}

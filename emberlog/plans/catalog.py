@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from emberlog import schema
 from emberlog.api import Archive
 from emberlog.functions import text as T
-from emberlog.functions import times
+from emberlog.functions import stems, times, vectors
 from emberlog.operators import density, erasure, facts, lifecycle, nearest, quality, resolve, search, segments, sessions, views
 from emberlog.store import scratch_path
 
@@ -131,6 +131,30 @@ def lexeme_df(spark, sf_dir):
     return search.lexeme_df(segs(spark, sf_dir), "segment_id", "raw_text")
 
 
+STEM_SQL = "lexeme"
+for _p in stems.PATTERNS:
+    STEM_SQL = f"regexp_replace({STEM_SQL}, '{_p}', '\\1')"
+
+
+@query("stemmed_df", f"WITH {SEG_SQL}, post AS (SELECT DISTINCT segment_id AS id, unnest({TOKENS_SQL('raw_text')}) AS lexeme FROM sub), s AS (SELECT DISTINCT id, {STEM_SQL} AS lexeme FROM post) SELECT lexeme, count(*) AS df FROM s GROUP BY 1")
+def stemmed_df(spark, sf_dir):
+    return search.lexeme_df(segs(spark, sf_dir), "segment_id", "raw_text", stems.stems)
+
+
+@query("result_slots", f"WITH {SEG_SQL}, r AS (SELECT source, row_number() OVER (PARTITION BY lang ORDER BY started_at, segment_id) AS rank FROM seg) SELECT source, count(*) AS slots FROM r WHERE rank <= 20 GROUP BY 1")
+def result_slots(spark, sf_dir):
+    """The first results of a question a language; a segment's first event is of its source."""
+    s = segs(spark, sf_dir).withColumn("source_event_ids", F.array(F.concat_ws(":", F.get("sources", F.lit(0)), "segment_id")))
+    ranked = s.select(F.col("lang").alias("question"), F.col("segment_id").alias("id"), F.row_number().over(Window.partitionBy("lang").orderBy("started_at", "segment_id")).alias("rank"))
+    return quality.result_slots(ranked, s)
+
+
+@query("normalised", "SELECT vec_id, round(list_sum(list_transform(u, lambda x: x::DOUBLE * x::DOUBLE)), 5) AS size, round(u[1]::DOUBLE, 6) AS first FROM (SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))::FLOAT) AS u FROM embeddings)")
+def normalised(spark, sf_dir):
+    u = read(spark, sf_dir, "embeddings").select("vec_id", vectors.normalise(F.col("embedding")).alias("u"))
+    return u.select("vec_id", F.round(vectors.dot(F.col("u"), F.col("u")), 5).alias("size"), F.round(F.get("u", F.lit(0)).cast("double"), 6).alias("first"))
+
+
 @query("first_mention", f"WITH {SEG_SQL} SELECT segment_id, started_at AS ts FROM seg WHERE contains(lower(raw_text), 'thingble') OR contains(lower(raw_text), 'onnand') ORDER BY started_at, segment_id LIMIT 20")
 def first_mention(spark, sf_dir):
     s = segs(spark, sf_dir).withColumnRenamed("started_at", "ts")

@@ -163,3 +163,27 @@ def test_bins_and_claims_quote_their_segments(spark, archive):
     assert not {r["id"] for r in bins} & {x[0] for x in ROWS if not x[6]}
     claims = a.contradictions("w120 w133", None, 8).collect()
     assert len(claims) == 8 and [r["started_at"] for r in claims] == sorted(r["started_at"] for r in claims)
+
+
+FORMS = [["книга", "книги", "книгу", "книгой", "книгам", "книгах"], ["стол", "стола", "столу", "столом", "столами"], ["дорога", "дороги", "дорогу", "дорогою", "дорогами"], ["новый", "новая", "новые", "нового", "новыми"], ["зелений", "зелена", "зеленого", "зеленими"], ["читать", "читает", "читали"], ["walk", "walks", "walked", "walking"]]
+
+
+def test_forms_of_a_word_share_a_stem(spark):
+    from emberlog.functions import stems
+
+    rows = [(k, w) for k, forms in enumerate(FORMS) for w in forms]
+    got = spark.createDataFrame(rows, "k int, w string").select("k", stems.stem(F.col("w")).alias("s")).distinct().collect()
+    assert len(got) == len(FORMS) == len({r["s"] for r in got}), got
+    kept = spark.createDataFrame([("я",), ("мы",), ("x1s",), ("日本",), ("",), ("дом",)], "w string").select("w", stems.stem(F.col("w")).alias("s")).collect()
+    assert all(r["w"] == r["s"] for r in kept)
+
+
+def test_a_stemmed_index_finds_other_forms(spark, tmp_path):
+    from emberlog.functions import stems
+
+    rows = [(1, "Он купил новую книгу"), (2, "Зелені дороги")] + [(k, f"filler {k}") for k in range(10, 80)]
+    s = spark.createDataFrame(rows, "segment_id long, raw_text string")
+    search.keep_index(s, f"{tmp_path}/stemmed", stem=stems.stems)
+    index = search.Index(spark, f"{tmp_path}/stemmed", stems.stems)
+    for question, want in (("книги", [1]), ("новая книга", [1]), ("дорогою", [2]), ("зеленими", [2]), ("поезд", [])):
+        assert [r["id"] for r in search.hybrid_search(s, question, None, index=index).collect()] == want, (question, search.question_terms(spark, question, stems.stems))
