@@ -42,6 +42,7 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's query over all documents; nulls, empty texts, repeats and empty tables as bpe_encode has them."""
     vocabulary = vocabulary_path("byte_bpe_50k.json")
     out = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
     return out.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -390,6 +390,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's query over all documents; nulls, empty texts, repeats and empty tables as jaccard_components has them."""
     return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 

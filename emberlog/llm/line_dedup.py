@@ -147,6 +147,7 @@ def line_dedup(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's query over all documents; nulls, empty texts, repeats and empty tables as line_dedup has them."""
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 

@@ -205,6 +205,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's query over all documents; nulls, empty texts, repeats and empty tables as quality_rules has them."""
     return quality_rules(table(spark, sf_dir, "documents")).drop("text_hash", *FEATURES)
 
 

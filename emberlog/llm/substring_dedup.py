@@ -126,6 +126,7 @@ def substring_dedup(docs: DataFrame, size: int = 50, text_col: str = "text", car
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's query over all documents; nulls, empty texts, repeats and empty tables as substring_dedup has them."""
     out = substring_dedup(table(spark, sf_dir, "documents"), size=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 

@@ -35,6 +35,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's query over all documents; nulls, empty texts, repeats and empty tables as token_counts has them."""
     out = token_counts(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
     return out.withColumn("over_limit", F.col("n_tokens") > 2048)
 
