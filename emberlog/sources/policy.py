@@ -30,6 +30,31 @@ POLICIES = [
 CONFLICTS = [("dawarich", "owntracks")]
 
 
+# Services that describe the machine and not the life; none may become a source by mistake.
+NOT_SOURCES = [
+    "activepieces", "adguard", "alerting", "apprise", "autoheal", "beszel", "changedetection", "cloudflared", "diun", "dozzle", "forgejo-runner", "gatus", "ghostfolio", "glance", "goflow2",
+    "headscale", "homepage", "host", "khoj", "komodo", "langfuse", "librechat", "litellm", "metamcp", "mikrotik", "mktxp", "monitoring", "n8n", "netalertx", "nextcloud", "ntfy", "pangolin", "pocket-id",
+    "qdrant", "searxng", "sonarqube", "tinyauth", "uptime-kuma", "vaultwarden", "watchtower", "website", "whisperx", "zerobyte",
+]
+
+
+class NotASource(ValueError):
+    pass
+
+
+def admitted(names: list[str], more_refused: list[str] | None = None) -> list[str]:
+    """names, if all of them are declared sources; raises for those that are refused (NOT_SOURCES, and of one's own) and for
+    those that have no policy."""
+    refused = {*NOT_SOURCES, *(more_refused or [])}
+    known = {p[0] for p in POLICIES}
+    for name in names:
+        if name in refused:
+            raise NotASource(f"{name} is infrastructure, not a source")
+        if name not in known:
+            raise NotASource(f"{name} has no policy")
+    return names
+
+
 def policies(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(POLICIES, "source string, density string, tier int, bank string")
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from emberlog.sources.policy import admitted
+
 #: Fixed value: API sources are read from here on.
 ORIGIN = datetime(2018, 12, 1, tzinfo=timezone.utc)
 
@@ -122,6 +124,7 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
 def register(name: str) -> Callable:
     def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        admitted([name])
         if name in REGISTRY:
             raise ValueError(f"source {name} is registered already")
         REGISTRY[name] = f

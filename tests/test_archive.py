@@ -82,3 +82,14 @@ def test_configured():
     assert policy.configured("wakapi", {"dsn": " x ", "user": "u", "other": None}) == {"dsn": "x", "user": "u"}
     assert policy.configured("wakapi", {"dsn": "x", "user": " "}) is None and policy.configured("calendar", {"dsn": "x"}) is None
     assert set(policy.SETTINGS) <= {p[0] for p in policy.POLICIES}
+
+
+def test_infrastructure_is_no_source():
+    from emberlog.sources import readers
+
+    assert policy.admitted(["telegram", "jira"]) == ["telegram", "jira"] and not {*policy.NOT_SOURCES} & {p[0] for p in policy.POLICIES}
+    for bad, more in ((["grafana"], []), (["qdrant"], []), (["telegram", "jira"], ["jira"])):
+        with pytest.raises(policy.NotASource):
+            policy.admitted(bad, more)
+    with pytest.raises(policy.NotASource):
+        readers.register("vaultwarden")(lambda: None)
