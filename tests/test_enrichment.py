@@ -145,13 +145,11 @@ def test_rebuild_of_named_threads(spark):
     assert sorted(map(tuple, out["deps"].collect())) == [("fact", 11), ("fact", 20)]
 
 
-def test_kept_index_gives_the_same_answers(spark):
+def test_kept_index_gives_the_same_answers(spark, tmp_path):
     texts = ["Привет мир", "café au lait", "cafe мир", "nothing here"] + [f"filler {k}" for k in range(60)]
     rows = spark.createDataFrame([(k, t, [float(k % 7), 1.0]) for k, t in enumerate(texts)], "segment_id long, raw_text string, embedding array<float>")
-    search.keep_index(rows, "small_archive", buckets=4)
+    search.keep_index(rows, f"{tmp_path}/small", buckets=4)
     for question in ("мир CAFÉ", "привет?", "unheard of", ""):
-        plain, kept = (search.hybrid_search(rows, question, [1.0, 0.0], index=i).collect() for i in (None, "small_archive"))
+        plain, kept = (search.hybrid_search(rows, question, [1.0, 0.0], index=i).collect() for i in (None, f"{tmp_path}/small"))
         assert plain == kept
     assert [r["id"] for r in search.hybrid_search(rows, "МИР café", None).collect()] == [2, 0, 1]
-    for t in ("small_archive_postings", "small_archive_df"):
-        spark.sql(f"drop table {t}")

@@ -38,13 +38,16 @@ FILTERS = [{}, {"threads": ["t1"]}, {"date_from": T0 + timedelta(days=10), "date
 
 
 @pytest.fixture(scope="module")
-def archive(spark):
+def place(tmp_path_factory):
+    return f"{tmp_path_factory.mktemp('kept')}/archive"
+
+
+@pytest.fixture(scope="module")
+def archive(spark, place):
     rows = spark.createDataFrame(ROWS, SEGMENTS).repartition(4).cache()
-    search.keep_index(rows, "filtered_archive", buckets=8)
-    nearest.keep_vectors(rows, "filtered_archive", centres=12)
-    yield rows
-    for t in ("postings", "df", "vectors", "clusters"):
-        spark.sql(f"drop table filtered_archive_{t}")
+    search.keep_index(rows, place, buckets=8)
+    nearest.keep_vectors(rows, place, centres=12)
+    return rows
 
 
 def passes(row, date_from=None, date_to=None, threads=None, sources=None):
@@ -75,11 +78,11 @@ def brute(question, vector, filters, enrich=False, candidates=100, final=20):
 
 @pytest.mark.parametrize("filters", FILTERS)
 @pytest.mark.parametrize("question", ["w1 w120 w133 w149 nowhere", "w140 paraphrase", ""])
-def test_filtered_search_is_the_statement(spark, archive, filters, question):
+def test_filtered_search_is_the_statement(spark, archive, place, filters, question):
     vector = [1.0, -0.5, 0.3, 0.0, 0.2, 1.0, -1.0, 0.7]
     want = brute(question, vector, filters)
     plain = search.hybrid_search(archive, question, vector, **filters).collect()
-    kept = search.hybrid_search(archive, question, vector, index="filtered_archive", vectors=nearest.Vectors(spark, "filtered_archive"), **filters).collect()
+    kept = search.hybrid_search(archive, question, vector, index=place, vectors=nearest.Vectors(spark, place), **filters).collect()
     assert [r["id"] for r in plain] == want and plain == kept
     both = search.hybrid_search(archive, question, vector, enrich_col="enrich_text", **filters)
     assert [r["id"] for r in both.collect()] == brute(question, vector, filters, True)
@@ -111,9 +114,9 @@ def test_common_terms_are_only_read_for_those_that_can_win(spark, at_once, monke
 
 @pytest.mark.parametrize("filters", FILTERS)
 @pytest.mark.parametrize("k", [1, 7, 100, 1000])
-def test_kept_vectors_give_the_full_scan(spark, archive, filters, k, monkeypatch):
+def test_kept_vectors_give_the_full_scan(spark, archive, place, filters, k, monkeypatch):
     monkeypatch.setattr(nearest, "AT_ONCE", 0 if k > 1 else 10_000)
-    kept = nearest.Vectors(spark, "filtered_archive")
+    kept = nearest.Vectors(spark, place)
     for vector in (ROWS[5][5], ROWS[77][5], [-1.0] * 8):
         got = [tuple(x) for x in kept.nearest(vector, k, **filters).collect()]
         want = [tuple(x) for x in search.dense_rows(search.substantive(archive).where(search.filter_of(archive, **filters)), "segment_id", vector, k).collect()]
@@ -121,26 +124,22 @@ def test_kept_vectors_give_the_full_scan(spark, archive, filters, k, monkeypatch
         assert np.allclose([d for _, d in got], [d for _, d in want], atol=1e-9)
 
 
-def test_few_of_clustered_vectors_are_read(spark, monkeypatch):
+def test_few_of_clustered_vectors_are_read(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(nearest, "AT_ONCE", 0)
     r = np.random.default_rng(3)
     centres = r.normal(size=(40, 32))
     rows = [(k, (centres[k % 40] + r.normal(size=32) * 0.05).tolist()) for k in range(8000)]
-    nearest.keep_vectors(spark.createDataFrame(rows, "segment_id long, embedding array<float>"), "clustered", centres=64)
-    kept = nearest.Vectors(spark, "clustered")
+    nearest.keep_vectors(spark.createDataFrame(rows, "segment_id long, embedding array<float>"), f"{tmp_path}/clustered", centres=64)
+    kept = nearest.Vectors(spark, f"{tmp_path}/clustered")
     want = sorted(range(8000), key=lambda k: (1 - np.dot(np.float32(rows[k][1]).astype(float), rows[17][1]) / (np.linalg.norm(np.float32(rows[k][1]).astype(float)) * np.linalg.norm(rows[17][1])), k))[:50]
     assert [x["id"] for x in kept.nearest(rows[17][1], 50).collect()] == want
     assert kept.read[1] == 8000 and kept.read[0] < 8000 / 5
-    for t in ("vectors", "clusters"):
-        spark.sql(f"drop table clustered_{t}")
 
 
-def test_no_vectors_at_all(spark):
+def test_no_vectors_at_all(spark, tmp_path):
     rows = spark.createDataFrame([(1, None), (2, [0.0, 0.0])], "segment_id long, embedding array<float>")
-    nearest.keep_vectors(rows, "no_vectors")
-    assert nearest.Vectors(spark, "no_vectors").nearest([1.0, 0.0]).count() == 0
-    for t in ("vectors", "clusters"):
-        spark.sql(f"drop table no_vectors_{t}")
+    nearest.keep_vectors(rows, f"{tmp_path}/none")
+    assert nearest.Vectors(spark, f"{tmp_path}/none").nearest([1.0, 0.0]).count() == 0
 
 
 def test_a_failing_reranker_costs_nothing(spark, archive):
