@@ -58,11 +58,15 @@ def keep_vectors(segments: DataFrame, name: str, id_col: str = "segment_id", vec
     own = [c for c in FILTERED if c in segments.columns]
     rows = substantive(segments).where(F.col(vector_col).isNotNull() & (size > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), *own)
     n = rows.count()
+    if n == 0:
+        keep(spark.sql("select 0 as cluster, '' as centre, 0f as radius, 0l as n where false").write, f"{name}_clusters")
+        return
     share = min(1.0, SAMPLED / max(1, n))
     some = rows.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 24)) < F.lit(int(share * (1 << 24)))).select("vector").limit(2 * SAMPLED).toArrow()
-    sample = unit_rows(matrix(some.column("vector"))) if some.num_rows else np.zeros((0, 1))
-    count = max(1, min(len(sample), centres or min(MOST_CENTRES, n // CLUSTER)))
-    at = centres_of(sample, count) if len(sample) else np.zeros((1, 1))
+    # A sample that came out empty is any one vector: then all are one cluster, whatever its centre.
+    some = some if some.num_rows else rows.select("vector").limit(1).toArrow()
+    sample = unit_rows(matrix(some.column("vector")))
+    at = centres_of(sample, max(1, min(len(sample), centres or min(MOST_CENTRES, n // CLUSTER))))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,8 +94,8 @@ class Vectors:
     """Kept vectors, by the name that keep_vectors() was given. The centres are read once."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.rows = spark, kept(spark, f"{name}_vectors")
         known = kept(spark, f"{name}_clusters").orderBy("cluster").collect()
+        self.spark, self.rows = spark, kept(spark, f"{name}_vectors") if known else None
         self.cluster = np.array([r["cluster"] for r in known], np.int64)
         self.centre = np.array([json.loads(r["centre"]) for r in known], np.float64)
         self.radius = np.array([r["radius"] for r in known], np.float64)

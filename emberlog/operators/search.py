@@ -77,7 +77,9 @@ def keep_index(segments: DataFrame, name: str, id_col: str = "segment_id", text_
         common = kept(spark, f"{name}_df").where((F.col("bucket") >= 0) & (F.col("df") >= RARE * n)).select("lexeme")
         order = ["bucket", "lexeme", *own[:1], "id"]
         dealt = posts.join(common, "lexeme", "left_anti").withColumn("bucket", bucket_of(F.col("lexeme"), buckets)).repartitionByRange(*order).sortWithinPartitions(*order)
-        keep(dealt.write.partitionBy("bucket").option("compression", "zstd"), f"{name}_postings")
+        # A row of no lexeme, so that an index without postings is a table all the same.
+        nothing = spark.sql("select cast(null as string) as lexeme").select("lexeme", *[F.lit(None).cast(k).alias(c) for c, k in dealt.dtypes if c not in ("lexeme", "bucket")], F.lit(-1).alias("bucket"))
+        keep(dealt.unionByName(nothing).write.partitionBy("bucket").option("compression", "zstd"), f"{name}_postings")
     finally:
         held.unpersist()
 

@@ -186,3 +186,10 @@ def test_a_stemmed_index_finds_other_forms(spark, tmp_path):
     index = search.Index(spark, f"{tmp_path}/stemmed", stems.stems)
     for question, want in (("книги", [1]), ("новая книга", [1]), ("дорогою", [2]), ("зеленими", [2]), ("поезд", [])):
         assert [r["id"] for r in search.hybrid_search(s, question, None, index=index).collect()] == want, (question, search.question_terms(spark, question, stems.stems))
+
+
+def test_an_index_of_nothing(spark, tmp_path):
+    s = spark.createDataFrame([(1, "same"), (2, "same")], "segment_id long, raw_text string")
+    for k, rows in enumerate((s, s.where("segment_id > 5"))):
+        search.keep_index(rows, f"{tmp_path}/{k}")
+        assert search.hybrid_search(rows, "same or other", None, index=f"{tmp_path}/{k}").count() == 0
