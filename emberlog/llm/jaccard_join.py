@@ -269,12 +269,15 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialize(small)
+        last, edges = edges, materialize(small)
+        drop_scratch(links.sparkSession, last)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v, u) as decimal(38, 0)))")).first()
         if now == before:
             break
         before = now
-    return materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()))
+    out = materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()))
+    drop_scratch(links.sparkSession, edges)
+    return out
 
 
 #: Rounds in which each set is compared with one centre, before the rest is compared pair by pair.
@@ -327,7 +330,9 @@ def linked_components(met: DataFrame, sets: DataFrame, percent: int) -> DataFram
             pairs = pairs.join(checked, (F.least("member", "center") == F.col("a")) & (F.greatest("member", "center") == F.col("b")), "left_anti")
         if turn < STAR_ROUNDS:
             pairs = pairs.groupBy("member").agg(F.min_by("center", F.xxhash64("center", F.lit(turn))).alias("center"))
-        got = materialize(verify(materialize(pairs), sets, percent))
+        pairs = materialize(pairs)
+        got = materialize(verify(pairs, sets, percent))
+        left_over.append(pairs)
         seen = got.select(F.least("member", "center").alias("a"), F.greatest("member", "center").alias("b"))
         checked = seen if checked is None else checked.unionByName(seen)
         new = got.where("linked").select(F.col("member").alias("a"), F.col("center").alias("b"))
@@ -336,8 +341,10 @@ def linked_components(met: DataFrame, sets: DataFrame, percent: int) -> DataFram
             links = new if comps is None else new.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a <> b"))
             comps = components(links)
         if turn < STAR_ROUNDS:
-            left_over = [labelled] if written else []
+            left_over += [labelled] if written else []
             members = labelled.join(open_.select("bucket"), "bucket", "left_semi").drop("comp")
+    for old in (*left_over, *([labelled] if written else []), still, here):
+        drop_scratch(met.sparkSession, old)
     if comps is None:
         return met.sparkSession.createDataFrame([], "node long, comp long")
     return comps
@@ -377,6 +384,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     parts = candidate_rows(docs, least.select("block", F.col("id").alias("doc_id")), size, percent, text_col, id_col, count)
     met = buckets(parts.where("part >= 0"), blocks.parts(docs, count))
     comps = linked_components(met, parts.where("part = -1").select("node", "sketch", "hashes"), percent)
+    for old in (parts, met):  # the dear ones; components are written down
+        drop_scratch(docs.sparkSession, old)
     named = least.join(comps.withColumnRenamed("node", "low"), "low", "left").withColumn("comp", F.coalesce("comp", "low"))
     firsts = [F.min(F.struct("id", "block", *[f"first_{c}" for c in keep])).alias("first")] if leaders else []
     ids = named.groupBy("comp").agg(F.min("id").alias("component_id"), *firsts)
