@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.store import keep, kept, scratch_path
+from emberlog.store import written
 
 #: Parts of a cell in each direction for the second look.
 PARTS = 8
@@ -19,12 +19,6 @@ AT_HAND = 100_000
 CELL = ["g", "a", "b"]
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(rows.sparkSession, name)
-    keep(rows.write, path)
-    return kept(rows.sparkSession, path)
-
-
 def joined_roots(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """(node, least node of its component) of a few links."""
     root: dict[str, str] = {}

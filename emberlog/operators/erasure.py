@@ -2,7 +2,9 @@
 
 What goes follows the dependencies from events and segments outward: a segment takes its facts, commitments and mentions
 with it; a projection takes its dependencies; what merely cites erased events among others keeps the others, and goes
-only if this erasure emptied it. Each step is an equi join on what is erased; nothing is gathered.
+only if this erasure emptied it. Each step is an equi join on what is erased; nothing is gathered. What is erased is
+written down once, and of the events only those that a table cites, so that where it is little the large tables stay
+where they are; so are the tables that an erasure leaves, which its audit and its proof read again.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.store import written
+
 KINDS = ("fact", "commitment")
 
 
@@ -17,16 +21,21 @@ class Doomed:
     """What an erasure takes: thread (thread_key), key (source:source_id of the events), segment_id."""
 
     def __init__(self, threads: DataFrame, events: DataFrame, segments: DataFrame):
-        self.threads = threads.select("thread_key").where("thread_key is not null").distinct()
-        self.events = events.join(self.threads, "thread_key", "left_semi").select("source", "source_id", event_key().alias("key")).distinct()
-        self.segments = segments.join(self.threads, "thread_key", "left_semi").select("segment_id")
+        self.threads = written(threads.select("thread_key").where("thread_key is not null").distinct(), "threads")
+        self.events = events.join(self.threads, "thread_key", "left_semi").select("source", "source_id", event_key().alias("key"))
+        self.segments = written(segments.join(self.threads, "thread_key", "left_semi").select("segment_id"), "segments")
+
+    def cited(self, rows: DataFrame) -> DataFrame:
+        """Those of the erased events that rows (of columns of the events) name, each once."""
+        return written(rows.distinct().join(self.events, rows.columns, "left_semi"), "cited")
 
     def of_segments(self, rows: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
         return rows.join(self.segments.withColumnRenamed("segment_id", column), column, how).select(rows.columns)
 
     def without_events(self, rows: DataFrame, id_col: str, keys_col: str) -> DataFrame:
         """rows whose keys_col lost the erased events, less those that this emptied; null and empty lists stay as they are."""
-        cited = rows.select(id_col, F.explode(keys_col).alias("key")).join(self.events.select("key"), "key", "left_semi")
+        cited = rows.select(id_col, F.explode(keys_col).alias("key"))
+        cited = cited.join(self.cited(cited.select("key")), "key", "left_semi")
         lost = cited.groupBy(id_col).agg(F.collect_set("key").alias("_lost"))  # no longer than the row's own list
         marked = rows.join(lost, id_col, "left")
         rest = F.filter(keys_col, lambda k: ~F.array_contains("_lost", k))
@@ -56,12 +65,13 @@ def purge(threads: DataFrame, events: DataFrame, segments: DataFrame, facts: Dat
     event and with their projection. A null thread is never erased; repeated threads count once.
     """
     doomed = Doomed(threads, events, segments)
-    left = {"fact": doomed.without_events(doomed.of_segments(facts, "source_segment_id", "left_anti"), "fact_id", "source_event_ids"), "commitment": doomed.without_events(doomed.of_segments(commitments, "source_segment_id", "left_anti"), "commitment_id", "source_event_ids")}
+    left = {kind: written(doomed.without_events(doomed.of_segments(before, "source_segment_id", "left_anti"), f"{kind}_id", "source_event_ids"), kind) for kind, before in (("fact", facts), ("commitment", commitments))}
     lost = None
     for kind, before in (("fact", facts), ("commitment", commitments)):
         ids = before.select(f"{kind}_id").join(left[kind].select(f"{kind}_id"), f"{kind}_id", "left_anti")
         own = ids.select(F.lit(kind).alias("projection_kind"), F.col(f"{kind}_id").alias("projection_id")).distinct()
         lost = own if lost is None else lost.unionByName(own)
+    deps = written(deps, "deps")
     out = {
         "events": events.join(doomed.threads, "thread_key", "left_anti").select(events.columns),
         "segments": segments.join(doomed.threads, "thread_key", "left_anti").select(segments.columns),
@@ -69,7 +79,7 @@ def purge(threads: DataFrame, events: DataFrame, segments: DataFrame, facts: Dat
         "commitments": reopened(left["commitment"], doomed),
         "mentions": doomed.of_segments(mentions, "segment_id", "left_anti").select(mentions.columns),
         "life_events": doomed.without_events(life_events, "life_event_id", "source_event_ids"),
-        "deps": deps.join(doomed.events.select("source", "source_id"), ["source", "source_id"], "left_anti").join(lost, ["projection_kind", "projection_id"], "left_anti").select(deps.columns),
+        "deps": written(deps.join(doomed.cited(deps.select("source", "source_id")), ["source", "source_id"], "left_anti").join(lost, ["projection_kind", "projection_id"], "left_anti").select(deps.columns), "deps_left"),
     }
     taken = [(f"{name}_deleted", before, out[name]) for name, before in (("events", events), ("segments", segments), ("facts", facts), ("commitments", commitments), ("mentions", mentions), ("life_events", life_events), ("deps", deps))]
     counts = None
@@ -88,7 +98,11 @@ def proof(threads: DataFrame, before: dict[str, DataFrame], after: dict[str, Dat
     before: events and segments as they were; after: the tables of purge.
     """
     doomed = Doomed(threads, before["events"], before["segments"])
-    cites = lambda rows, i: rows.select(i, F.explode("source_event_ids").alias("key")).join(doomed.events.select("key"), "key", "left_semi").select(i)
+
+    def cites(rows: DataFrame, i: str) -> DataFrame:
+        keys = rows.select(i, F.explode("source_event_ids").alias("key"))
+        return keys.join(doomed.cited(keys.select("key")), "key", "left_semi").select(i)
+
     by_segment = lambda rows, c, i: doomed.of_segments(rows, c).select(i)
     facts, commitments, mentions = after["facts"], after["commitments"], after["mentions"]
     projections = [after[f"{kind}s"].select(F.lit(kind).alias("projection_kind"), F.col(f"{kind}_id").alias("projection_id")) for kind in KINDS]
@@ -99,9 +113,9 @@ def proof(threads: DataFrame, before: dict[str, DataFrame], after: dict[str, Dat
         "segments": after["segments"].join(doomed.threads, "thread_key", "left_semi").select("segment_id").unionByName(cites(after["segments"], "segment_id")),
         "facts": by_segment(facts, "source_segment_id", "fact_id").unionByName(cites(facts, "fact_id")),
         "commitments": by_segment(commitments, "source_segment_id", "commitment_id").unionByName(by_segment(commitments, "resolution_segment_id", "commitment_id")).unionByName(cites(commitments, "commitment_id")),
-        "mentions": mentions.select("segment_id").join(after["segments"].select("segment_id"), "segment_id", "left_anti"),
+        "mentions": mentions.select("segment_id").join(written(after["segments"].select("segment_id"), "segments_left"), "segment_id", "left_anti"),
         "life_events": cites(after["life_events"], "life_event_id"),
-        "deps": deps.join(doomed.events.select("source", "source_id"), ["source", "source_id"], "left_semi").select("projection_id").unionByName(orphans.select("projection_id")),
+        "deps": deps.join(doomed.cited(deps.select("source", "source_id")), ["source", "source_id"], "left_semi").select("projection_id").unionByName(orphans.select("projection_id")),
     }
     out = None
     for name, rows in found.items():

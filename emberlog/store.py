@@ -29,6 +29,13 @@ def kept(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.parquet(name) if "/" in name else spark.table(name)
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a scratch table: read again without their work, and of a known size when joins are planned."""
+    path = scratch_path(rows.sparkSession, name)
+    keep(rows.write, path)
+    return kept(rows.sparkSession, path)
+
+
 class Conflict(RuntimeError):
     """Someone else has committed since this change began."""
 

@@ -88,3 +88,26 @@ def test_it_runs_on_the_tables_that_enrichment_writes(spark):
 def test_rebuilt_threads_leave_tables_of_the_same_kind(spark):
     assert {"source_segment_id", "source_event_ids"} <= set(spark.createDataFrame([], schema.FACT).columns) & set(spark.createDataFrame([], schema.COMMITMENT).columns)
     assert segments.MAX_EVENTS == 15
+
+
+def test_large_tables_stay_where_they_are_when_little_is_erased(spark):
+    """What is erased is small, but by its plan alone it could be as large as what it is drawn from."""
+    many = spark.range(2_000_000)
+    events = many.select(F.lit("a").alias("source"), F.col("id").cast("string").alias("source_id"), F.concat(F.lit("t"), F.col("id") % 50).alias("thread_key"))
+    segments = events.groupBy("thread_key").agg(F.collect_list(F.concat_ws(":", "source", "source_id")).alias("source_event_ids")).select(F.substring("thread_key", 2, 9).cast("long").alias("segment_id"), "thread_key", "source_event_ids")
+    mentions = many.select((F.col("id") % 7).alias("entity_id"), (F.col("id") % 50).alias("segment_id"))
+    cites = F.array(F.concat(F.lit("a:"), F.col("id") % 20)).alias("source_event_ids")
+    facts = many.limit(200).select(F.col("id").alias("fact_id"), (100 + F.col("id")).alias("source_segment_id"), cites)
+    commitments = many.limit(0).select(F.col("id").alias("commitment_id"), F.col("id").alias("source_segment_id"), F.col("id").alias("resolution_segment_id"), F.lit("open").alias("status"), cites)
+    life = many.limit(0).select(F.col("id").alias("life_event_id"), cites)
+    deps = facts.select(F.lit("fact").alias("projection_kind"), F.col("fact_id").alias("projection_id"), F.lit("a").alias("source"), (F.col("fact_id") % 20).cast("string").alias("source_id"))
+    doomed = events.where("thread_key in ('t3', 't4')").select("thread_key")
+    tables = {"events": events, "segments": segments, "facts": facts, "commitments": commitments, "mentions": mentions, "life_events": life, "deps": deps}
+    after = erasure.purge(doomed, **tables)
+    for name in ("mentions", "events"):
+        plan = after[name]._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan, plan
+    assert after["mentions"].count() == 1_920_000
+    assert sorted(r["fact_id"] for r in after["facts"].where("fact_id < 20").collect()) == [k for k in range(20) if k not in (3, 4)]
+    assert after["deps"].count() == 180
+    assert {r["leftovers"] for r in erasure.proof(doomed, tables, after).collect()} == {0}
