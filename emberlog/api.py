@@ -127,7 +127,7 @@ class Archive:
             filters |= {"date_from": span[0], "date_to": span[1]}
         wide = max(limit, pool) if rerank else limit
         found = search.hybrid_search(self.segments, question, vector, n_final=wide, enrich_col="enrich_text" if enrich else None, index=index, vectors=vectors, **filters)
-        texts = self.segments.select(F.col("segment_id").alias("id"), F.substring("raw_text", 1, RETURNED).alias("text"), "started_at")
+        texts = self.found_in(found).select(F.col("segment_id").alias("id"), F.substring("raw_text", 1, RETURNED).alias("text"), "started_at")
         out = found.join(texts, "id").orderBy(F.desc("score"), "id")
         if rerank is None:
             return out
@@ -140,6 +140,10 @@ class Archive:
         ranked = self.spark.createDataFrame([(*r, k + 1) for k, r in enumerate(rows)], out.schema.add("rank", "long"))
         return search.apply_ranking(ranked, order).limit(limit).drop("place", "rank")
 
+    def found_in(self, found: DataFrame) -> DataFrame:
+        """The segments of a search's few results by their ids as literals, which reach the scan, so that no text of others moves."""
+        return self.segments.where(F.col("segment_id").isin([r["id"] for r in found.select("id").collect()]))
+
     def stats(self, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The sources' table with events, and one row: segments, embedded and enriched ones."""
         counted = self.events.groupBy("source").agg(F.count("*").alias("events"))
@@ -161,12 +165,14 @@ class Archive:
 
     def contradictions(self, claim: str, vector: list[float] | None = None, limit: int = 20, index: str | None = None, vectors: nearest.Vectors | None = None) -> DataFrame:
         """What speaks for or against a claim, in order of time: that a view changed shows in no order by score."""
-        return self.quoted(search.hybrid_search(self.segments, claim, vector, n_final=limit, index=index, vectors=vectors), CLAIMED).orderBy("started_at", "id")
+        found = search.hybrid_search(self.segments, claim, vector, n_final=limit, index=index, vectors=vectors)
+        return self.quoted(found, CLAIMED, self.found_in(found)).orderBy("started_at", "id")
 
-    def quoted(self, found: DataFrame, most_chars: int) -> DataFrame:
+    def quoted(self, found: DataFrame, most_chars: int, segments: DataFrame | None = None) -> DataFrame:
         """found (id ...) with started_at, the head of the text, and the events that it rests on where they are known."""
-        events = F.col("source_event_ids") if "source_event_ids" in self.segments.columns else F.lit(None).cast("array<string>")
-        return found.join(self.segments.select(F.col("segment_id").alias("id"), "started_at", F.substring("raw_text", 1, most_chars).alias("text"), events.alias("source_event_ids")), "id")
+        segments = segments if segments is not None else self.segments
+        events = F.col("source_event_ids") if "source_event_ids" in segments.columns else F.lit(None).cast("array<string>")
+        return found.join(segments.select(F.col("segment_id").alias("id"), "started_at", F.substring("raw_text", 1, most_chars).alias("text"), events.alias("source_event_ids")), "id")
 
     def timeline(self, start: datetime, end: datetime, sources: list[str] | None = None) -> DataFrame:
         return search.timeline(self.segments, start, end, sources)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
-from math import log
+from math import ceil, log
 from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from emberlog.functions.text import let, lexemes, tokens, unaccent
 from emberlog.functions.times import bin_start, recency_factor
@@ -60,12 +61,14 @@ def keep_index(segments: DataFrame, name: str, id_col: str = "segment_id", text_
 
     A question reads the folders of its own terms, and of those only the row groups whose terms, times and threads can
     fit. Lexemes of 5 % of the segments and more rank nothing and have no postings, so none makes a hot folder; what is
-    left is dealt by ranges, which cut through a folder where it is large. Texts are cut into lexemes once; stem (stems.stems, or
-    one of your own) is part of the index: Index must be given the same.
+    left is dealt by folder and, where one is large, by lexeme within it, so that a task sorts about POSTS_A_TASK postings
+    once, however many there are. Texts are cut into lexemes once; stem (stems.stems, or one of your own) is part of the
+    index: Index must be given the same.
     """
     spark = segments.sparkSession
     own = [c for c in FILTERED if c in segments.columns]
-    held = substantive(segments).select(lexemes(F.col(text_col), stem).alias("lexemes"), F.col(id_col).alias("id"), *own).persist()
+    held = substantive(segments).select(lexemes(F.col(text_col), stem).alias("lexemes"), F.col(id_col).alias("id"), *own)
+    held.persist(StorageLevel.DISK_ONLY)  # memory is for the sort
     try:
         n = held.count()
         buckets = buckets or min(MOST_BUCKETS, 1 + n // 10_000)
@@ -73,24 +76,35 @@ def keep_index(segments: DataFrame, name: str, id_col: str = "segment_id", text_
         posts = held.select(F.explode("lexemes").alias("lexeme"), "id", *own)
         counts = posts.groupBy("lexeme").agg(F.count("*").alias("df")).withColumn("bucket", bucket_of(F.col("lexeme"), buckets)).select("bucket", "lexeme", "df")
         keep(counts.repartition("bucket").sortWithinPartitions("bucket", "lexeme").unionByName(sizes).write.partitionBy("bucket"), f"{name}_df")
+        rare = kept(spark, f"{name}_df").where((F.col("bucket") >= 0) & (F.col("df") < RARE * n)).agg(F.sum("df")).first()[0] or 0
+        parts = max(1, ceil(rare / buckets / POSTS_A_TASK))
         # As many lexemes as 20 segments hold on average, at most.
         common = kept(spark, f"{name}_df").where((F.col("bucket") >= 0) & (F.col("df") >= RARE * n)).select("lexeme")
-        order = ["bucket", "lexeme", *own[:1], "id"]
-        dealt = posts.join(common, "lexeme", "left_anti").withColumn("bucket", bucket_of(F.col("lexeme"), buckets)).repartitionByRange(*order).sortWithinPartitions(*order)
-        # A row of no lexeme, so that an index without postings is a table all the same.
-        nothing = spark.sql("select cast(null as string) as lexeme").select("lexeme", *[F.lit(None).cast(k).alias(c) for c, k in dealt.dtypes if c not in ("lexeme", "bucket")], F.lit(-1).alias("bucket"))
-        keep(dealt.unionByName(nothing).write.partitionBy("bucket").option("compression", "zstd"), f"{name}_postings")
+        dealt = posts.join(F.broadcast(common), "lexeme", "left_anti")
+        # A row of no lexeme, so that an index without postings is a table all the same. It comes before the sort, as rows that lose their order are sorted again when they are written.
+        nothing = spark.sql("select cast(null as string) as lexeme").select("lexeme", *[F.lit(None).cast(k).alias(c) for c, k in dealt.dtypes if c != "lexeme"])
+        bucket = F.coalesce(bucket_of(F.col("lexeme"), buckets), F.lit(-1))
+        dealt = dealt.unionByName(nothing).repartitionById(buckets * parts, F.greatest(bucket, F.lit(0)) * parts + F.coalesce(part_of(F.col("lexeme"), buckets, parts), F.lit(0)))
+        dealt = dealt.withColumn("bucket", bucket).sortWithinPartitions("bucket", "lexeme", *own[:1], "id")
+        keep(dealt.write.partitionBy("bucket").option("compression", "zstd"), f"{name}_postings")
     finally:
         held.unpersist()
 
 
 MOST_BUCKETS = 4096
+#: Some 70 MB while they are sorted.
+POSTS_A_TASK = 500_000
 
 
 def bucket_of(lexeme: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(lexeme.cast("binary")), F.lit(buckets)).cast("int")
 
 
+def part_of(lexeme: Column, buckets: int, parts: int) -> Column:
+    """Which of the parts of its bucket a lexeme goes to; a lexeme is in one."""
+    return F.pmod(F.floor(F.crc32(lexeme.cast("binary")) / buckets), F.lit(parts)).cast("int")
+
+
 class Index:
     """A kept index by its name, with the stemmer it was kept with; how much it holds is read once."""
 

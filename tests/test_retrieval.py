@@ -193,3 +193,31 @@ def test_an_index_of_nothing(spark, tmp_path):
     for k, rows in enumerate((s, s.where("segment_id > 5"))):
         search.keep_index(rows, f"{tmp_path}/{k}")
         assert search.hybrid_search(rows, "same or other", None, index=f"{tmp_path}/{k}").count() == 0
+
+
+def test_a_task_sorts_few_postings_and_once(spark, archive, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "POSTS_A_TASK", 100)
+    search.keep_index(archive, f"{tmp_path}/cut", buckets=2)
+    got = search.Index(spark, f"{tmp_path}/cut").postings.where("lexeme is not null").select("*", F.input_file_name().alias("file")).collect()
+    assert sorted((r["lexeme"], r["id"]) for r in got) == sorted((w, x[0]) for w, ids in postings_by_word().items() if len(ids) < search.RARE * sum(x[6] for x in ROWS) for x in ids)
+    files = Counter(r["file"] for r in got)
+    assert len(files) >= 6 and max(files.values()) < 400
+    assert all(len({r["file"] for r in got if r["lexeme"] == w}) == 1 for w in {r["lexeme"] for r in got})
+    for file in files:
+        rows = [(r["lexeme"], r["started_at"], r["id"]) for r in spark.read.parquet(file).collect()]
+        assert rows == sorted(rows)
+
+
+def postings_by_word():
+    out = {}
+    for x in ROWS:
+        for w in {*re.findall(r"\w+", x[4].lower())} if x[6] else ():
+            out.setdefault(w, []).append(x)
+    return out
+
+
+def test_the_texts_of_what_was_found_are_asked_by_id(spark, archive):
+    out = Archive(spark, archive, archive, spark.createDataFrame([], schema.COMMITMENT)).recall(ROWS[5][4], ROWS[5][5], limit=3)
+    ids = [r["id"] for r in out.collect()]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(ids) == 3 and all(f"{i}" in plan.split("segment_id#", 1)[1] for i in ids) and " IN (" in plan
