@@ -667,3 +667,10 @@ def test_queries_against_their_sql(spark, name):
     got = con.execute(registry.oracle_sql()[name])
     columns = [c[0] for c in got.description]
     assert bag(registry.queries()[name](spark, "/root/testdata/sf0.001").select(columns).collect()) == bag(got.fetchall())
+
+
+def test_pipeline_asks_for_written_verdicts(spark, docs):
+    import corpus_pipeline as C
+
+    plan = C.quality(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "kept" in plan and "sqrt" not in plan and "repeat_words" not in plan
