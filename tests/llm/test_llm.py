@@ -674,3 +674,14 @@ def test_pipeline_asks_for_written_verdicts(spark, docs):
 
     plan = C.quality(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "kept" in plan and "sqrt" not in plan and "repeat_words" not in plan
+
+
+def test_what_is_asked_again_and_again_is_worked_on_once():
+    from emberlog.llm import bpe
+
+    asked = []
+    known = bpe.Recent(lambda k: asked.append(k) or k.upper(), 20)
+    for k in range(200):
+        assert known["often"] == "OFTEN" and known[f"once{k}"] == f"ONCE{k}"
+        assert len(known) + len(known.older) <= 20
+    assert asked.count("often") == 1 and known["x" * 65] == "X" * 65 and "x" * 65 not in known
