@@ -7,6 +7,7 @@ their points, then by boxes of parts of them, and only where these leave it open
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,10 @@ from emberlog.store import written
 PARTS = 8
 #: Links up to which components are found where the job was called from: some 20 MB of names.
 AT_HAND = 100_000
+#: Cells of a tile in each direction: neighbours are looked for by tile, and a cell lies within reach of four tiles at most.
+TILE = 4
+#: Cells of a field in each direction: links within a field are joined in one place first, links between fields after.
+FIELD = 64
 CELL = ["g", "a", "b"]
 
 
@@ -61,6 +66,31 @@ def components(links: DataFrame) -> DataFrame:
         before = after
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """node, root of links (x, hx, y, hy) between nodes of the fields hx and hy: as components gives them.
+
+    A field has so few cells, and so few nodes, that all links within it are joined at once, several fields together;
+    only links from one field to another go through the rounds, between what their fields have made of their ends.
+    """
+    links = written(links, "links")
+    inner, outer = links.where("hx = hy"), links.where("hx <> hy")
+    groups = -(-inner.count() // AT_HAND) or 1
+
+    def join(key: tuple, rows: pa.Table) -> pa.Table:
+        both = joined_roots(list(zip(rows.column("x").to_pylist(), rows.column("y").to_pylist(), strict=True)))
+        return pa.table({"node": pa.array([n for n, _ in both], pa.string()), "root": pa.array([r for _, r in both], pa.string())})
+
+    dealt = inner.select("x", "y", F.pmod(F.xxhash64("hx"), F.lit(groups)).alias("h"))
+    own = written(dealt.groupBy("h").applyInArrow(join, "node string, root string"), "fields")
+    if outer.isEmpty():
+        return own
+    end = lambda rows, c: rows.join(own.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(c, F.coalesce(f"{c}_root", c)).drop(f"{c}_root")
+    between = components(end(end(outer.select("x", "y"), "x"), "y"))
+    far = between.select(F.col("node").alias("root"), F.col("root").alias("far"))
+    alone = between.join(own.select("node"), "node", "left_anti")
+    return own.join(far, "root", "left").select("node", F.coalesce("far", "root").alias("root")).unionByName(alone)
+
+
 def boxes(points: DataFrame, by: list[str]) -> DataFrame:
     """The box around the points of each group."""
     return points.groupBy(*by).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
@@ -77,17 +107,33 @@ def least_and_most() -> tuple[Column, Column]:
     return square(apart("s", "n", "s2", "n2")) + square(apart("w", "e", "w2", "e2")), square(across("s", "n", "s2", "n2")) + square(across("w", "e", "w2", "e2"))
 
 
+def tile(c: str) -> Column:
+    return F.floor(F.col(c) / TILE)
+
+
+def tiles_in_reach(rows: DataFrame, back: int) -> DataFrame:
+    """rows (a, b), once for each tile (ta, tb) that holds a cell up to 2 further on in a, back before it, and 2 either way in b."""
+    of = lambda c, less: F.sequence(F.floor((F.col(c) - less) / TILE), F.floor((F.col(c) + 2) / TILE))
+    return rows.withColumn("ta", F.explode(of("a", back))).withColumn("tb", F.explode(of("b", 2)))
+
+
+def field(g: str, a: str, b: str) -> Column:
+    return F.struct(F.col(g).alias("g"), F.floor(F.col(a) / FIELD).alias("a"), F.floor(F.col(b) / FIELD).alias("b"))
+
+
 def linked_cells(dense: DataFrame, eps: float, side: float) -> DataFrame:
-    """x, y: pairs of dense cells (points g, a, b, lat, lon) that hold two points within eps of each other."""
+    """x, hx, y, hy: pairs of dense cells (points g, a, b, lat, lon) that hold two points within eps of each other, and
+    their fields."""
     limit = F.lit(eps * eps)
-    half = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)]
     other = lambda rows, more=(): rows.select("g", F.col("a").alias("a2"), F.col("b").alias("b2"), *[F.col(c).alias(f"{c}2") for c in more])
     low, high = least_and_most()
     whole = boxes(dense, CELL)
-    pairs = whole.withColumn("o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in half]))).withColumns({"a2": F.col("a") + F.col("o.i"), "b2": F.col("b") + F.col("o.j")})
-    pairs = pairs.join(other(whole, "snwe"), ["g", "a2", "b2"]).where(low <= limit).withColumn("sure", high <= limit)
+    after = (F.col("a2") > F.col("a")) | ((F.col("a2") == F.col("a")) & (F.col("b2") > F.col("b")))
+    beside = F.col("a2").between(F.col("a"), F.col("a") + 2) & F.col("b2").between(F.col("b") - 2, F.col("b") + 2) & after
+    pairs = tiles_in_reach(whole, 0).join(other(whole, "snwe").withColumns({"ta": tile("a2"), "tb": tile("b2")}), ["g", "ta", "tb"]).where(beside)
+    pairs = pairs.where(low <= limit).withColumn("sure", high <= limit)
     pairs = written(pairs.select("g", "a", "b", "a2", "b2", "sure"), "cells")
-    ends = [cell_name("g", "a", "b").alias("x"), cell_name("g", "a2", "b2").alias("y")]
+    ends = [cell_name("g", "a", "b").alias("x"), field("g", "a", "b").alias("hx"), cell_name("g", "a2", "b2").alias("y"), field("g", "a2", "b2").alias("hy")]
     part = lambda c: F.floor(F.col(c) / (side / PARTS))
     placed = dense.withColumns({"u": part("lat"), "v": part("lon")})
     parts = boxes(placed, [*CELL, "u", "v"])
@@ -126,21 +172,32 @@ def density_clusters(points: DataFrame, key: str, eps: float = 0.0015, least: in
     cells = spots.groupBy(*CELL).agg(F.sum("n").alias("in_cell"), F.min("id").alias("first"))
     marked = written(spots.join(cells, CELL).withColumn("dense", F.col("in_cell") >= least), "marked")
     dense, thin = marked.where("dense"), marked.where("not dense")
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)]))
-    asked = thin.select("g", point_name("g", "lat", "lon").alias("x"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("id").alias("x_id"), "a", "b", around.alias("o")).withColumns({"a": F.col("a") + F.col("o.i"), "b": F.col("b") + F.col("o.j")}).drop("o")
+    asked = tiles_in_reach(thin.select("g", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("id").alias("x_id"), "a", "b"), 2)
+    asked = asked.withColumnsRenamed({"a": "a1", "b": "b1"})
+    spread = marked.select(*CELL, "lat", "lon", "n", "dense", tile("a").alias("ta"), tile("b").alias("tb"))
+    reach = F.col("a").between(F.col("a1") - 2, F.col("a1") + 2) & F.col("b").between(F.col("b1") - 2, F.col("b1") + 2)
     within = square(F.col("lat") - F.col("lat1")) + square(F.col("lon") - F.col("lon1")) <= eps * eps
-    found = asked.join(marked, CELL).where(within).select("x", "x_id", F.when(F.col("dense"), cell_name("g", "a", "b")).otherwise(point_name("g", "lat", "lon")).alias("y"), "dense", "n")
-    near = written(found.groupBy("x", "y", "dense").agg(F.sum("n").alias("n"), F.min("x_id").alias("x_id")), "near")
-    core = near.groupBy("x").agg(F.sum("n").alias("n"), F.min("x_id").alias("first")).where(F.col("n") >= least)
-    nodes = written(core.select(F.col("x").alias("node"), "first").unionByName(dense.select(cell_name("g", "a", "b").alias("node"), "first").distinct()), "nodes")
+    # Of a dense cell only its cell, of a thin one the place: rows that count together have the same y.
+    place_of = lambda c: F.when(~F.col("dense"), F.col(c)).alias(c)
+    found = asked.join(spread, ["g", "ta", "tb"]).where(reach & within).select("g", "a1", "b1", "lat1", "lon1", "x_id", *CELL[1:], place_of("lat"), place_of("lon"), "n")
+    found = found.groupBy("g", "a1", "b1", "lat1", "lon1", "a", "b", "lat", "lon").agg(F.sum("n").alias("n"), F.min("x_id").alias("x_id"))
+    named_y = F.when(F.col("lat").isNull(), cell_name("g", "a", "b")).otherwise(point_name("g", "lat", "lon")).alias("y")
+    near = written(found.select("g", "a1", "b1", "lat1", "lon1", "a", "b", "n", "x_id", point_name("g", "lat1", "lon1").alias("x"), named_y), "near")
+    core = near.groupBy("x").agg(F.sum("n").alias("n"), F.min("x_id").alias("first"), *[F.first(c).alias(c) for c in ("g", "a1", "b1", "lat1", "lon1")]).where(F.col("n") >= least)
+    core = core.select(F.col("x").alias("node"), "first", "g", F.col("a1").alias("a"), F.col("b1").alias("b"), F.col("lat1").alias("lat"), F.col("lon1").alias("lon"))
+    crowded = cells.where(F.col("in_cell") >= least).select(cell_name("g", "a", "b").alias("node"), "first", *CELL, F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    nodes = written(core.unionByName(crowded), "nodes")
+    points_at = nodes.where("lat is not null").select("node")
     to_core = near.join(nodes.select(F.col("node").alias("y")), "y", "left_semi")
-    links = linked_cells(dense, eps, side).unionByName(to_core.join(core.select("x"), "x", "left_semi").select("x", "y"))
-    named = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("g", F.regexp_extract("node", r"(?s)^[cp]:[^:]*:[^:]*:(.*)$", 1))
+    own_links = to_core.join(points_at.withColumnRenamed("node", "x"), "x", "left_semi").where("x <> y")
+    links = linked_cells(dense, eps, side).unionByName(own_links.select("x", field("g", "a1", "b1").alias("hx"), "y", field("g", "a", "b").alias("hy")))
+    named = nodes.join(contracted(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = named.groupBy("g", "root").agg(F.min("first").alias("first"))
     numbers = firsts.withColumn("cluster", (F.row_number().over(Window.partitionBy("g").orderBy("first")) - 1).cast("long"))  # a row a cluster
-    known = written(named.join(numbers.select("root", "cluster"), "root").select("node", "cluster"), "known")
-    border = to_core.join(core.select("x"), "x", "left_anti").join(known.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("cluster").alias("cluster"))
-    every = known.unionByName(border.select(F.col("x").alias("node"), "cluster"))
-    kinds = cells.select(*CELL, (F.col("in_cell") >= least).alias("dense"))
-    named_points = place.join(kinds, CELL, "left").withColumn("node", F.when(F.col("dense"), cell_name("g", "a", "b")).otherwise(point_name("g", "lat", "lon")))
-    return named_points.join(every, "node", "left").select(key, "id", "cluster")
+    known = written(named.join(numbers.select("root", "cluster"), "root").select("node", *CELL, "lat", "lon", "cluster"), "known")
+    border = to_core.join(points_at.withColumnRenamed("node", "x"), "x", "left_anti").join(known.select(F.col("node").alias("y"), "cluster"), "y")
+    border = border.groupBy("g", "a1", "b1", "lat1", "lon1").agg(F.min("cluster").alias("cluster")).withColumnsRenamed({"a1": "a", "b1": "b", "lat1": "lat", "lon1": "lon"})
+    # A row a cell: a dense cell's cluster (no place), or those of a thin cell's places, fewer than least.
+    every = known.drop("node").unionByName(border).groupBy(*CELL).agg(F.collect_list(F.struct("lat", "lon", "cluster")).alias("of"))
+    own = F.filter("of", lambda e: e["lat"].isNull() | ((e["lat"] == F.col("lat")) & (e["lon"] == F.col("lon"))))
+    return place.join(every, CELL, "left").select(key, "id", F.get(own, F.lit(0))["cluster"].alias("cluster"))

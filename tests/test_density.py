@@ -66,3 +66,30 @@ def test_components_in_rounds_are_those_at_once(spark, monkeypatch):
 def test_no_points(spark):
     assert density.density_clusters(spark.createDataFrame([], POINTS), "who", EPS).count() == 0
     assert sessions.dbscan is density.density_clusters
+
+
+def test_links_within_fields_are_joined_before_those_between_them(spark, monkeypatch):
+    r = random.Random(5)
+    place = {f"n{k}": ("k", r.randrange(3), 0) for k in range(60)}
+    pairs = [(*r.sample(sorted(place), 2),) for _ in range(45)]
+    rows = [(x, place[x], y, place[y]) for x, y in pairs]
+    df = spark.createDataFrame(rows, "x string, hx struct<g: string, a: bigint, b: bigint>, y string, hy struct<g: string, a: bigint, b: bigint>")
+    whole = sorted(map(tuple, density.components(df.select("x", "y")).collect()))
+    seen = []
+    plain = density.components
+    monkeypatch.setattr(density, "components", lambda links: (seen.append(links.count()), plain(links))[1])
+    assert sorted(map(tuple, density.contracted(df).collect())) == whole
+    assert seen == [sum(place[x] != place[y] for x, y in pairs)]
+    seen.clear()
+    inner = df.where("hx = hy")
+    assert sorted(map(tuple, density.contracted(inner).collect())) == sorted(map(tuple, plain(inner.select("x", "y")).collect())) and not seen
+
+
+def test_a_point_goes_to_four_tiles_at_most(spark):
+    cells = spark.createDataFrame([(a, b) for a in range(-9, 9) for b in range(-5, 5)], "a long, b long")
+    got = {}
+    for x in density.tiles_in_reach(cells, 2).collect():
+        got.setdefault((x["a"], x["b"]), []).append((x["ta"], x["tb"]))
+    for (a, b), tiles in got.items():
+        assert len(tiles) <= 4
+        assert set(tiles) == {((a + i) // density.TILE, (b + j) // density.TILE) for i in range(-2, 3) for j in range(-2, 3)}
