@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from emberlog.functions.text import let
+
 #: Endings of Russian and Ukrainian nouns and adjectives (case, number), verbs (person, tense) and reflexives, unaccented
 #: and in lower case, each with what may follow it.
 NOUNS = ["а", "я", "у", "ю", "ом", "ем", "ою", "ею", "ой", "ей", "е", "и", "ы", "і", "ї", "о", "ов", "ев", "ів", "їв", "єв", "ам", "ям", "ами", "ями", "ах", "ях", "ові", "еві", "єві", "ь", "й", "ию", "ия", "ие", "ии", "ий", "ія", "ії", "ію", "єю", "ій", "ью", "ям", "иям", "иями", "иях", "іям", "іями", "іях"]
@@ -27,6 +29,8 @@ def pattern(endings: list[str], letters: str) -> str:
 
 
 PATTERNS = [pattern(CYRILLIC, "а-яёіїєґ"), pattern(LATIN, "a-z")]
+#: All of them for words on lines of their own, in Java's dialect: a word is of one alphabet, so one of them fits at most.
+LINES = f"(?md)(?:{'|'.join(PATTERNS[::-1])})"
 
 
 def stem(word: Column) -> Column:
@@ -37,5 +41,7 @@ def stem(word: Column) -> Column:
 
 
 def stems(words: Column) -> Column:
-    """For text.tokens(stem=...): the stems of an array of tokens."""
-    return F.transform(words, stem)
+    """For text.tokens(stem=...): the stems of an array of tokens, a line each of one text that is looked through once."""
+    lines = F.split(F.regexp_replace(F.array_join(words, "\n", "\n"), LINES, "$1$2"), "\n", -1)
+    # A null, a line end within a word and an empty array each give more lines than words.
+    return let(lines, lambda found: F.when(F.size(found) == F.size(words), found).otherwise(F.transform(words, stem)))

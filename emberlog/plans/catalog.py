@@ -55,6 +55,11 @@ def segs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(F.col("doc_id").alias("segment_id"), F.concat(F.lit("c"), F.pmod("doc_id", F.lit(7))).alias("thread_key"), F.array("source").alias("sources"), F.col("ts").alias("started_at"), F.coalesce("text", F.lit("")).alias("raw_text"), "embedding", (F.col("doc_id") % 11 != 5).alias("is_substantive"), "label", "lang")
 
 
+def seg_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of segs and what search asks of them, without vectors and times: no text is shuffled for a join."""
+    return texts(spark, sf_dir).select(F.col("doc_id").alias("segment_id"), F.coalesce("text", F.lit("")).alias("raw_text"), (F.col("doc_id") % 11 != 5).alias("is_substantive"))
+
+
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 3) -> list[float]:
     return read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"]
 
@@ -128,7 +133,7 @@ def rrf(spark, sf_dir):
 
 @query("lexeme_df", f"WITH {SEG_SQL}, {POST_SQL} SELECT lexeme, df FROM df")
 def lexeme_df(spark, sf_dir):
-    return search.lexeme_df(segs(spark, sf_dir), "segment_id", "raw_text")
+    return search.lexeme_df(seg_texts(spark, sf_dir), "segment_id", "raw_text")
 
 
 STEM_SQL = "lexeme"
@@ -138,7 +143,7 @@ for _p in stems.PATTERNS:
 
 @query("stemmed_df", f"WITH {SEG_SQL}, post AS (SELECT DISTINCT segment_id AS id, unnest({TOKENS_SQL('raw_text')}) AS lexeme FROM sub), s AS (SELECT DISTINCT id, {STEM_SQL} AS lexeme FROM post) SELECT lexeme, count(*) AS df FROM s GROUP BY 1")
 def stemmed_df(spark, sf_dir):
-    return search.lexeme_df(segs(spark, sf_dir), "segment_id", "raw_text", stems.stems)
+    return search.lexeme_df(seg_texts(spark, sf_dir), "segment_id", "raw_text", stems.stems)
 
 
 @query("result_slots", f"WITH {SEG_SQL}, r AS (SELECT source, row_number() OVER (PARTITION BY lang ORDER BY started_at, segment_id) AS rank FROM seg) SELECT source, count(*) AS slots FROM r WHERE rank <= 20 GROUP BY 1")

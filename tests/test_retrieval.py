@@ -221,3 +221,24 @@ def test_the_texts_of_what_was_found_are_asked_by_id(spark, archive):
     ids = [r["id"] for r in out.collect()]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert len(ids) == 3 and all(f"{i}" in plan.split("segment_id#", 1)[1] for i in ids) and " IN (" in plan
+
+
+def test_stems_of_many_words_are_those_of_each(spark):
+    from emberlog.functions import stems
+    from emberlog.functions import text as T
+
+    rows = [(["cats", "столами", "x1s", "", "日本", "catsа", "houses", "s", "нее"],), ([],), (None,), (["runs", None, "runs"],), (["runs\ncats", "dogs"],), ([None, "runs\ncats"],), (["boxes\n"],), ([""],), ([None],), (["walks\rruns", "cats dogs"],)]
+    got = spark.createDataFrame(rows, "w array<string>").select(stems.stems(F.col("w")).alias("all"), F.transform("w", stems.stem).alias("each")).collect()
+    assert [r["all"] for r in got] == [r["each"] for r in got]
+    asked = []
+    text = spark.createDataFrame([("Cats cats cat dogs cats",)], "t string")
+    assert text.select(T.lexemes(F.col("t"), lambda words: (asked.append(words), stems.stems(words))[1])).first()[0] == ["cat", "dog"]
+    assert text.select(asked[0]).first()[0] == ["cats", "cat", "dogs"]
+
+
+def test_frequencies_are_found_without_joining_texts(spark):
+    from emberlog.plans import catalog
+
+    for name in ("lexeme_df", "stemmed_df"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "embedding" not in plan
