@@ -118,6 +118,23 @@ def test_residual_rounds_end_close_to_the_bound(spark, sizes):
     assert (fills <= 50).sum() <= 1
 
 
+def test_words_of_plain_letters_are_those_of_the_library():
+    from emberlog.llm import bpe
+
+    path = vocabulary_path("word_bpe_49k.json")
+    lib, encoder, counter = bpe.library(path), bpe.WordEncoder(path), bpe.WordCounter(path)
+    assert all(map(encoder.plain, ["Größe,", "été", "съёмка's", "l'Été", "naïve_42!"]))
+    assert not any(map(encoder.plain, ["e\u0301", "\u0130", "日本", "a\u00a0b", "ς", "a\tb"]))
+    r = random.Random(31)
+    some = [*map(chr, bpe.PLAIN_LETTERS), *"abcXYZ019'.,_-#s", "'s", "'RE", "\u0301", "\u0306", "\u00d7"]
+    texts = ["".join(r.choice(some) for _ in range(r.randint(1, 9))) for _ in range(20_000)] + [f"{x}{chr(c)}{y}" for c in bpe.PLAIN_LETTERS for x in ("", "a", "A'", "1") for y in ("", "b", "'s", "1")]
+    for text in texts:
+        ids = lib.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == np.array(ids, "<u4").tobytes() and counter.count(text) == len(ids), text
+    encoder.split = None  # the library is not asked for these
+    assert len(encoder.encode("Zürcher Straßenlaternen mögen's, весёлые ёжики")) > 0
+
+
 def random_texts(n, seed=3):
     """Texts of any code point, a third of their characters, among letters, spaces and special strings."""
     r = random.Random(seed)
