@@ -255,12 +255,46 @@ def verify(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
     return y.join(x.hint("merge"), "center").select("member", "center", "x", "y").mapInArrow(run, "member long, center long, linked boolean")
 
 
+#: Most links that are joined in one task; more are dealt into so many parts that each has about as many.
+PART_LINKS = 100_000
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links a, b, sorted, and for each the least node reachable."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        rx, ry = root[x], root[y]
+        apart = rx != ry
+        if not apart.any():
+            return nodes, nodes[root]
+        x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
+        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node and comp (the least node reachable) for every node with a link, by alternating large and small stars.
+    """node and comp (the least node reachable) for every node with a link to another.
 
-    Each half step hooks neighbours to the least of their neighbourhood; it ends when a full step changes nothing.
+    Links are dealt evenly into parts of about PART_LINKS, and each part is joined in one task. Where there is more than
+    one part, what the parts make of them goes on by alternating large and small stars: each half step hooks neighbours
+    to the least of their neighbourhood; it ends when a full step changes nothing.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+
+    def join(key: tuple, x: pa.Table) -> pa.Table:
+        nodes, least = least_reachable(x.column("a").to_numpy(), x.column("b").to_numpy())
+        return pa.table({"node": nodes, "comp": least})
+
+    links = links.where("a <> b")
+    parts = -(-links.count() // PART_LINKS)
+    part = F.pmod(F.xxhash64("a", "b"), F.lit(max(1, parts))).alias("part")
+    joined = materialize(links.select("a", "b", part).groupBy("part").applyInArrow(join, "node long, comp long"))
+    if parts <= 1:
+        return joined
+    edges = materialize(joined.select(F.col("node").alias("u"), F.col("comp").alias("v")).where("u <> v").distinct())
+    drop_scratch(links.sparkSession, joined)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from emberlog.llm import centroids, quality_classifier, resampling
+from emberlog.llm import centroids, jaccard_join, quality_classifier, resampling
 
 VECTORS = "vec_id long, embedding array<float>, cluster string, v int"
 DOCS = "doc_id long, text string, score string, rank string, y int, place string"
@@ -248,3 +248,23 @@ def test_resampling_sql_says_the_same(spark):
     df = spark.createDataFrame([(i, t, None, None, 0, None) for i, t in docs], DOCS)
     got = map(tuple, importance(df, spark.createDataFrame([(1, "alpha BETA the 日本語")], "item_id long, text string")))
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_links_of_one_part_are_joined_without_rounds(spark, monkeypatch):
+    r = random.Random(5)
+    path = list(range(1000, 1060))
+    r.shuffle(path)
+    links = [*zip(path, path[1:], strict=False), *((-7, x) for x in range(40)), *((r.randrange(2000, 2100), r.randrange(2000, 2100)) for _ in range(60)), (5, 5), (-(1 << 63), (1 << 63) - 1)]
+    root = {x: x for link in links if link[0] != link[1] for x in link}
+    for _ in root:
+        for a, b in (x for x in links if x[0] != x[1]):
+            root[a] = root[b] = min(root[a], root[b])
+    table = spark.createDataFrame(links, "a long, b long")
+    written, plain = [], jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df: (written.append(1), plain(df))[1])
+    assert dict(map(tuple, jaccard_join.components(table).collect())) == root
+    assert len(written) == 1
+    monkeypatch.setattr(jaccard_join, "PART_LINKS", 30)
+    assert dict(map(tuple, jaccard_join.components(table).collect())) == root
+    assert len(written) > 3
+    assert jaccard_join.components(table.limit(0)).count() == 0
